@@ -52,10 +52,8 @@ def _or(found: Column, otherwise: Column) -> Column:
 
 def first_alternative(*choices: Column) -> Column:
     """First array that is not empty."""
-    found = choices[-1]
-    for choice in reversed(choices[:-1]):
-        found = let(choice, lambda c, rest=found: _or(c, rest))
-    return found
+    head, *rest = choices
+    return let(head, lambda c: _or(c, first_alternative(*rest))) if rest else head
 
 
 def place(text: Column, places: list[str] = fixed.PLACES, whole_word: bool = True) -> Column:

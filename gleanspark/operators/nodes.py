@@ -12,6 +12,8 @@ whose text is not page text (``#script``, ``#style``, ...).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +44,15 @@ def shred(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 
-def has_class(node: Column, *tokens: str) -> Column:
-    """All the given tokens are among the node's classes."""
-    classes = F.split(F.coalesce(node["attrs"]["class"], F.lit("")), r"\s+")
-    found = F.lit(True)
-    for token in tokens:
-        found = found & F.array_contains(classes, token)
-    return found
+def has_class(node: Column, token: str) -> Column:
+    """The token is among the node's classes; null for a node without classes."""
+    return node["attrs"]["class"].rlike(rf"(^|\s){re.escape(token)}(\s|$)")
 
 
 def is_element(node: Column, *tags: str) -> Column:
-    return node["tag"].isin(*tags) if tags else ~node["tag"].startswith("#")
+    if not tags:
+        return ~node["tag"].startswith("#")
+    return node["tag"] == tags[0] if len(tags) == 1 else node["tag"].isin(*tags)
 
 
 def attr(node: Column, name: str) -> Column:
@@ -73,15 +73,16 @@ def select(
     classes = [cls] if isinstance(cls, str) else list(cls or [])
 
     def wanted(n: Column) -> Column:
+        # a test of an absent attribute is null, which drops the node
         test = is_element(n, *tags)
-        if classes:
-            test = test & has_class(n, *classes)
+        for token in classes:
+            test = test & has_class(n, token)
         if has:
             test = test & attr(n, has).isNotNull()
         for name, value in (equals or {}).items():
-            test = test & F.coalesce(attr(n, name) == value, F.lit(False))
+            test = test & (attr(n, name) == value)
         for name, pattern in (matches or {}).items():
-            test = test & F.coalesce(attr(n, name).rlike(pattern), F.lit(False))
+            test = test & attr(n, name).rlike(pattern)
         return test
 
     return F.filter(nodes, wanted)
@@ -114,13 +115,7 @@ def ancestor_hint(nodes: Column, node: Column, pattern: str, hops: int = 3) -> C
     """The id or class of one of the nearest ``hops`` ancestors matches ``pattern``."""
 
     def label(n: Column) -> Column:
-        return F.lower(
-            F.concat_ws(
-                " ",
-                F.coalesce(attr(n, "id"), F.lit("")),
-                F.coalesce(attr(n, "class"), F.lit("")),
-            )
-        )
+        return F.lower(F.concat_ws(" ", attr(n, "id"), attr(n, "class")))
 
     found, at = F.lit(False), node
     for _ in range(hops):

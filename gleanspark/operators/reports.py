@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +51,7 @@ def records_per_page(df: DataFrame) -> DataFrame:
     return df.groupBy("source_site", "page_num").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row per key. An aggregate, so repeats are dropped before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
+def split_bad(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with all required values, and the rejected rest, so that one bad row stops nothing."""
+    complete = reduce(and_, [F.col(c).isNotNull() for c in required])
+    return df.filter(complete), df.filter(~complete)
