@@ -57,7 +57,9 @@ posts AS (
 
 def _as_pages(items: DataFrame, site: str, before: str = "''") -> DataFrame:
     """Pages made of the items of ten posts in key order, after a common beginning."""
-    grouped = items.groupBy("page_id", "page_num").agg(
+    # a fixed number of partitions, as small pages would be merged into too few to read in parallel
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    grouped = items.repartition(cores, "page_id", "page_num").groupBy("page_id", "page_num").agg(
         F.array_sort(F.collect_list(F.struct("k", "html"))).alias("items")
     )
     body = F.array_join(F.transform("items", lambda i: i["html"]), "\n")
@@ -143,7 +145,8 @@ def listing_pages(spark: SparkSession, sf_dir: str, *sites: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, sf_dir: str, *sites: str) -> DataFrame:
     """``(page_id, url, html)`` for nine of ten posts."""
-    found = posts(spark, sf_dir).filter("k % 10 <> 7")
+    cores = spark.sparkContext.defaultParallelism
+    found = posts(spark, sf_dir).filter("k % 10 <> 7").repartition(cores, "k")
     parts = []
     for site in sites:
         if site in DETAILS:

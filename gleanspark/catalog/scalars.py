@@ -478,14 +478,15 @@ def _(spark, sf):
     return _mail_docs(spark, sf).select("doc_id", F.array_join(found, "|").alias("emails"))
 
 
-_ORDERED = f"""{_MAIL_DOCS}, e AS (SELECT doc_id, t, unnest([{_sql_normal('e')} for e in {_SQL_FOUND} if {_sql_wanted('e')}]) AS e,
-    generate_subscripts([e for e in {_SQL_FOUND} if {_sql_wanted('e')}], 1) AS i FROM d),
-    u AS (SELECT doc_id, any_value(t) AS t, e, min(i) AS i FROM e GROUP BY doc_id, e)"""
+_ORDERED = f"""{_MAIL_DOCS}, seen AS (SELECT doc_id, t,
+    unnest([{_sql_normal('x')} for x in {_SQL_FOUND} if {_sql_wanted('x')}]) AS email,
+    generate_subscripts([x for x in {_SQL_FOUND} if {_sql_wanted('x')}], 1) AS i FROM d),
+    ordered AS (SELECT doc_id, any_value(t) AS t, email, min(i) AS i FROM seen GROUP BY doc_id, email)"""
 
 
 @query(
     "distinct_emails",
-    f"{_ORDERED} SELECT doc_id, string_agg(e, '|' ORDER BY i) AS emails FROM u GROUP BY doc_id",
+    f"{_ORDERED} SELECT doc_id, string_agg(email, '|' ORDER BY i) AS emails FROM ordered GROUP BY doc_id",
 )
 def _(spark, sf):
     found = F.array_join(emails.candidate_emails(col("t")), "|")
@@ -494,10 +495,10 @@ def _(spark, sf):
 
 @query(
     "contextual_email",
-    f"""{_ORDERED}, w AS (SELECT *, instr(lower(t), e) - 1 AS at FROM u),
-        a AS (SELECT *, spot >= 0 AND {sql_any("lower(substring(t, greatest(spot - 100, 0) + 1, spot + length(e) + 100 - greatest(spot - 100, 0)))", fixed.APPLY_WORDS)}
-        AS applies FROM w)
-        SELECT d.doc_id, coalesce(arg_min(e, i) FILTER (WHERE applies), arg_min(e, i), 'none') AS email
+    f"""{_ORDERED}, spots AS (SELECT *, instr(lower(t), email) - 1 AS spot FROM ordered),
+        a AS (SELECT doc_id, email, i, spot >= 0 AND {sql_any("lower(substring(t, greatest(spot - 100, 0) + 1, spot + length(email) + 100 - greatest(spot - 100, 0)))", fixed.APPLY_WORDS)}
+        AS applies FROM spots)
+        SELECT d.doc_id, coalesce(arg_min(a.email, i) FILTER (WHERE applies), arg_min(a.email, i), 'none') AS email
         FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, sf):

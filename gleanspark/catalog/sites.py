@@ -222,7 +222,7 @@ def _(spark, sf):
     contact = Registry()["link_detail"].contact
     rows = _raw(spark, sf, "link_detail").select("page_id", "pos", "detail_url")
     found = enrich.enrich(rows, detail_pages(spark, sf, "link_detail"), contact, how="inner")
-    return found.select("page_id", "pos", "detail.title")
+    return found.select("page_id", "pos", "detail.record.title")
 
 
 @query(

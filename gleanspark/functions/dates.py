@@ -40,10 +40,14 @@ def _parse(text: Column, pattern: str, order: str, full_names_only: bool = False
     return _to_date(part["y"], month, part["d"])
 
 
+def _without_commas(text: Column) -> Column:
+    return collapse_blanks(py_strip(F.replace(text, F.lit(","), F.lit(""))))
+
+
 def month_day_year(text: Column, full_names_only: bool = False) -> Column:
     """``August 5, 2025`` or ``Aug 5 2025``; the text must hold nothing else."""
-    plain = collapse_blanks(py_strip(F.replace(text, F.lit(","), F.lit(""))))
-    return _parse(plain, r"^([A-Za-z]+) (\d{1,2}) (\d{4})$", "mdy", full_names_only)
+    pattern = r"^([A-Za-z]+) (\d{1,2}) (\d{4})$"
+    return let(_without_commas(text), lambda t: _parse(t, pattern, "mdy", full_names_only))
 
 
 def parse_date(text: Column) -> Column:
@@ -56,7 +60,7 @@ def parse_date(text: Column) -> Column:
             _parse(plain, r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ynd"),
         )
 
-    return let(collapse_blanks(py_strip(F.replace(text, F.lit(","), F.lit("")))), by_format)
+    return let(_without_commas(text), by_format)
 
 
 def strip_expiry_prefix(text: Column) -> Column:
@@ -83,10 +87,12 @@ def parse_expiry(text: Column, mode: str = "strict") -> Column:
 
 def _strict(text: Column) -> Column:
     def read(t: Column) -> Column:
-        found = month_day_year(first_date_text(t))
         whole = parse_date(F.regexp_replace(t, r"(?U)[^\w\s\-,]", ""))
-        posted = F.when(t.rlike("(?iU)posted"), after_posting(found))
-        return F.coalesce(posted, whole, found)
+        posted = t.rlike("(?iU)posted")
+        return let(
+            month_day_year(first_date_text(t)),
+            lambda found: F.coalesce(F.when(posted, after_posting(found)), whole, found),
+        )
 
     return let(strip_expiry_prefix(text), read)
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .extract import detail_fields
+from .extract import detail_record
 from .nodes import shred
 
 
@@ -26,12 +26,12 @@ def detail_facts(
     """``(detail_url, detail)`` with one row per URL (the lowest page id of several).
 
     Each detail page is read once, however many profiles look it up: ``detail`` has a column per
-    entry of ``contacts`` and, if asked for, the fields of a whole listing.
+    entry of ``contacts`` and, if asked for, the fields of a whole listing as ``record``.
     """
     nodes = F.col("nodes")
     fields = {name: contact(nodes) for name, contact in contacts.items()}
     if with_record:
-        fields |= detail_fields(nodes)
+        fields["record"] = detail_record(nodes)
     order = ["page_id"] if "page_id" in details.columns else []
     facts = (
         shred(details.select(*order, "url", "html"))
@@ -71,7 +71,7 @@ def enrich(
     """Join listings to their detail pages on ``detail_url``, adding ``apply_email``.
 
     A left join keeps every listing and uses the default where no address is found; an inner join
-    drops listings without a detail page and adds all fields of that page as ``detail``. With
+    drops listings without a detail page and adds the fields of that page as ``detail.record``. With
     ``top_n`` only listings of that rank within their page (column ``rank``) are looked up.
     """
     if top_n is not None:

@@ -88,7 +88,7 @@ def cards(nodes: Column, site: dict) -> Column:
     def footer_text(card: Column, icon: str) -> Column:
         footer = first(N.select(N.descendants(nodes, card), "div", "job-listing-footer"))
         mark = first(N.select(N.descendants(nodes, footer), "i", icon))
-        return N.trimmed_text(nodes, let(mark, lambda m: N.ancestor(nodes, m, "li")))
+        return N.trimmed_text(nodes, N.ancestor(nodes, mark, "li"))
 
     def part(card: Column, tag: str, cls: str) -> Column:
         return N.trimmed_text(nodes, first(N.select(N.descendants(nodes, card), tag, cls)))
@@ -507,23 +507,31 @@ def harvested(nodes: Column, site: dict) -> Column:
     )
 
 
-def detail_fields(nodes: Column) -> dict[str, Column]:
+def detail_record(nodes: Column) -> Column:
     """Title, company, location, expiry and description of a detail page; null where not found."""
-    text = N.page_text(nodes, "\n")
     heading = first(N.select(nodes, ["h1", "h2", "h3"]))
     meta = N.meta_content(nodes, [("property", "og:site_name"), ("name", "author")])
-    posted = dates.posted_expiry(dates.detail_date_text(text))
-    return {
-        "title": F.nullif(N.joined_text(nodes, heading), F.lit("")),
-        "company": F.coalesce(
-            labelled_field(text, fixed.COMPANY_LABELS, 80),
-            py_strip(F.nullif(meta, F.lit(""))),
-        ),
-        "location": labelled_field(text, fixed.LOCATION_LABELS, 60),
-        "expiry_text": dates.expiry_label(posted),
-        "expiry_date": posted,
-        "description": truncate(N.joined_text(nodes, content_block(nodes), " "), 500),
-    }
+
+    def labelled(text: Column) -> Column:
+        return F.struct(
+            labelled_field(text, fixed.COMPANY_LABELS, 80).alias("company"),
+            labelled_field(text, fixed.LOCATION_LABELS, 60).alias("location"),
+            dates.posted_expiry(dates.detail_date_text(text)).alias("expiry_date"),
+        )
+
+    def finish(found: Column) -> Column:
+        company = F.coalesce(found["company"], py_strip(F.nullif(meta, F.lit(""))))
+        description = truncate(N.joined_text(nodes, content_block(nodes), " "), 500)
+        return F.struct(
+            F.nullif(N.joined_text(nodes, heading), F.lit("")).alias("title"),
+            company.alias("company"),
+            found["location"],
+            dates.expiry_label(found["expiry_date"]).alias("expiry_text"),
+            found["expiry_date"],
+            description.alias("description"),
+        )
+
+    return let(let(N.page_text(nodes, "\n"), labelled), finish)
 
 
 def content_block(nodes: Column) -> Column:

@@ -90,7 +90,9 @@ def select(
 
 def descendants(nodes: Column, node: Column) -> Column:
     """Nodes below ``node`` in document order (``nodes`` is the whole page)."""
-    return F.slice(nodes, node["pre"] + 2, node["post"] - node["pre"] + node["depth"])
+    return let(
+        node, lambda n: F.slice(nodes, n["pre"] + 2, n["post"] - n["pre"] + n["depth"])
+    )
 
 
 def parent(nodes: Column, node: Column) -> Column:
@@ -99,11 +101,15 @@ def parent(nodes: Column, node: Column) -> Column:
 
 def ancestor(nodes: Column, node: Column, tag: str) -> Column:
     """Nearest element of that tag above ``node``, or null."""
-    above = F.filter(
-        F.slice(nodes, F.lit(1), node["pre"]),
-        lambda a: (a["tag"] == tag) & (a["post"] > node["post"]),
-    )
-    return F.try_element_at(above, F.lit(-1))
+
+    def nearest(n: Column) -> Column:
+        above = F.filter(
+            F.slice(nodes, F.lit(1), n["pre"]),
+            lambda a: (a["tag"] == tag) & (a["post"] > n["post"]),
+        )
+        return F.try_element_at(above, F.lit(-1))
+
+    return let(node, nearest)
 
 
 def inside(node: Column, outer: Column) -> Column:
@@ -130,8 +136,11 @@ def ancestor_hint(nodes: Column, node: Column, pattern: str, hops: int = 3) -> C
 
 
 def strings(nodes: Column, node: Column) -> Column:
-    """The page-text pieces below ``node``."""
-    texts = F.filter(descendants(nodes, node), lambda d: d["tag"] == TEXT)
+    """The page-text pieces below ``node``, which is bound already."""
+    texts = F.filter(
+        F.slice(nodes, node["pre"] + 2, node["post"] - node["pre"] + node["depth"]),
+        lambda d: d["tag"] == TEXT,
+    )
     return F.transform(texts, lambda d: d["text"])
 
 

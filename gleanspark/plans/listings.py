@@ -94,9 +94,9 @@ def with_details(
         return joined.drop("detail")
     is_record = F.col("site").isin(*[p.name for p in from_detail])
     text = F.nullif(F.col("title"), F.lit(""))
-    made = {name: F.col(f"detail.{name}") for name in ("company", "location", "expiry_text", "expiry_date")}
-    made["title"] = F.coalesce("detail.title", text, F.lit(fixed.DETAIL_TITLE))
-    made["description"] = F.coalesce("detail.description", text, F.lit(fixed.DETAIL_DESCRIPTION))
+    made = {name: F.col(f"detail.record.{name}") for name in ("company", "location", "expiry_text", "expiry_date")}
+    made["title"] = F.coalesce("detail.record.title", text, F.lit(fixed.DETAIL_TITLE))
+    made["description"] = F.coalesce("detail.record.description", text, F.lit(fixed.DETAIL_DESCRIPTION))
     return (
         joined.filter(~is_record | F.col("detail").isNotNull())
         .withColumns({n: F.when(is_record, c).otherwise(F.col(n)) for n, c in made.items()})
