@@ -164,6 +164,6 @@ SPARK_EXPIRY_TEXT = """CASE o_orderkey % 8
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(k, day, expiry_text)`` with the order date written in one of eight forms."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread(table(spark, sf_dir, "orders")).selectExpr(
         "o_orderkey AS k", "CAST(o_orderdate AS DATE) AS day", f"{SPARK_EXPIRY_TEXT} AS expiry_text"
     )

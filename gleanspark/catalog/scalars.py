@@ -40,7 +40,7 @@ col = F.col
 )
 def _(spark, sf):
     marked = F.concat(F.lit("\n“"), col("text"), F.lit("”–"), col("text"), F.lit("…\t"))
-    return table(spark, sf, "documents").select("doc_id", text.clean_text(marked).alias("cleaned"))
+    return spread_docs(spark, sf).select("doc_id", text.clean_text(marked).alias("cleaned"))
 
 
 @query(
@@ -403,9 +403,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     nation = table(spark, sf, "nation")
-    customer = table(spark, sf, "customer").join(
-        F.broadcast(nation), col("c_nationkey") == col("n_nationkey")
-    )
+    customer = table(spark, sf, "customer").join(nation, col("c_nationkey") == col("n_nationkey"))
     page = "concat('x\nLOCATION', CASE WHEN c_custkey % 2 = 0 THEN ' : ' ELSE ' ' END, n_name, '\r\nmore')"
     found = X.labelled_field(F.expr(page), fixed.LOCATION_LABELS, 60)
     return customer.select("c_custkey", found.alias("location"))

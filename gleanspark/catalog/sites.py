@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -16,7 +18,7 @@ from ..plans.profiles import Registry
 from ..sources import sinks
 from ..sources.pages import first_pages
 from .base import AS_OF, query, quote
-from .rendered import CANDIDATES, POSTS, expected, detail_pages, listing_pages
+from .rendered import CANDIDATES, DETAILS, POSTS, expected, detail_pages, listing_pages
 
 col = F.col
 
@@ -37,8 +39,8 @@ OUTPUT = [
 
 def listed(spark, sf, *sites):
     """Finished listings of the given layouts, in one plan."""
-    with_details = [s for s in sites if s in ("cards", "headings", "candidates", "link_detail")]
-    details = detail_pages(spark, sf, *with_details) if with_details else None
+    with_details = {s.removesuffix("_lenient") for s in sites} & set(DETAILS)
+    details = detail_pages(spark, sf, *sorted(with_details)) if with_details else None
     found = listing_pages(spark, sf, *sites)
     return L.run(found, details, AS_OF, Registry(), list(sites)).select(*OUTPUT)
 
@@ -57,15 +59,7 @@ _listing_query("extract_link_detail", "link_detail")
 _listing_query("extract_cards_alt", "cards_alt")
 
 
-@query(
-    "extract_cards_lenient",
-    expected("cards_lenient").replace(
-        "CASE WHEN has_detail THEN email ELSE 'N/A' END AS apply_email", "'N/A' AS apply_email"
-    ),
-)
-def _(spark, sf):
-    return listed(spark, sf, "cards_lenient")
-
+_listing_query("extract_cards_lenient", "cards_lenient")
 
 SITES = ["cards", "headings", "jsonld", "candidates", "link_detail"]
 _UNION = " UNION ALL ".join(f"(SELECT * FROM ({expected(s)}))" for s in SITES)
@@ -255,15 +249,21 @@ def _(spark, sf):
         t AS (SELECT page_id, CAST(unnest(range(2, least(n, 29) + 1)) AS INT) AS page_num FROM p)
         SELECT 'cards' AS site, page_id, page_num, 'https://vacancymail.co.zw/jobs/?ordering=later&page=' || page_num AS url FROM t
         UNION ALL SELECT 'jsonld', page_id, page_num, 'https://zimbojobs.com/?page=' || page_num FROM t WHERE page_num <= 20
-        UNION ALL SELECT 'link_detail', page_id, page_num, '{_BASE}?paged=' || page_num FROM t""",
+        UNION ALL SELECT 'link_detail', page_id, page_num, '{_BASE}?paged=' || page_num FROM t
+        UNION ALL SELECT 'headings', page_id, 2, 'https://jobszimbabwe.co.zw/page/2/' FROM p
+        UNION ALL SELECT 'cards_alt', page_id, page_num, 'https://jobszimbabwe.co.zw/?start=' || (10 * (page_num - 1))
+        FROM t WHERE page_num <= 15""",
 )
 def _(spark, sf):
     found = listing_pages(spark, sf, "cards")
+    registry = Registry()
+    # the earlier layout, with this page's pagination block
+    registry.add(registry["cards_alt"].with_(total_pages=registry["cards"].total_pages))
     parts = [
-        L.frontier(found, Registry()[site]).withColumn("site", F.lit(site))
-        for site in ("cards", "jsonld", "link_detail")
+        L.frontier(found, registry[site]).withColumn("site", F.lit(site))
+        for site in ("cards", "jsonld", "link_detail", "headings", "cards_alt")
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("first_page_only", f"WITH {POSTS} SELECT DISTINCT page_id FROM posts WHERE page_num = 1")

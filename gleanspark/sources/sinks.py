@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,12 +63,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot(df: DataFrame, out: str, run_ts: str) -> bool:
     """Write a timed snapshot, then the latest copy; nothing at all if there are no listings.
 
-    The listings are computed once, into a Parquet table that all four copies are written from, so
-    a lost executor repeats a read and not the extraction.
+    The listings are computed once, into a Parquet table in the shared folder that all four copies
+    are written from, so a lost executor repeats a read and not the extraction.
     """
     spark = df.sparkSession
-    table = f"{out}/records/run_ts={run_ts}"
-    df.write.mode("overwrite").parquet(table)
+    table = f"{scratch_folder(spark)}/records-{run_ts}-{uuid.uuid4().hex}"
+    df.write.parquet(table)
     stored = spark.read.schema(df.schema).parquet(table)
     if stored.isEmpty():
         return False
