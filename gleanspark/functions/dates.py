@@ -37,7 +37,7 @@ def _parse(text: Column, pattern: str, order: str, full_names_only: bool = False
     """Parse a whole text by a pattern whose three groups are named by ``order`` (m, n, d, y)."""
     part = {key: extract_or_null(text, pattern, i) for i, key in enumerate(order, start=1)}
     month = part["n"].cast("int") if "n" in part else _month_number(part["m"], full_names_only)
-    return _to_date(part["y"], month, part["d"])
+    return F.when(text.rlike(pattern), _to_date(part["y"], month, part["d"]))
 
 
 def _without_commas(text: Column) -> Column:

@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str.strip sees it, beyond what (?U)\s covers; characters
-# rewritten by the ASCII cleanup; line ends as Python's str.splitlines sees them.
-_BLANK = r"(?U)[\s\x1c-\x1f]"
+# The characters Python's str.strip removes, characters rewritten by the ASCII cleanup,
+# and line ends as Python's str.splitlines sees them.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _DASHES_AND_QUOTES = ("–—‘’“”…", "--''\"\"")
-_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def py_strip(text: Column) -> Column:
-    """Strip every kind of blank from both ends; ``trim`` only strips spaces."""
-    blank = _BLANK.removeprefix("(?U)")
-    return F.regexp_replace(text, f"(?U)^{blank}+|{blank}+$", "")
+    """Strip every kind of blank from both ends; ``trim`` alone only strips spaces."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column) -> Column:
     """ASCII only: dashes and quotes are rewritten, other characters are removed, ends stripped."""
-    plain = F.translate(text, *_DASHES_AND_QUOTES)
-    return py_strip(F.regexp_replace(plain, r"[^\x00-\x7F]+", ""))
+    plain = F.regexp_replace(F.translate(text, *_DASHES_AND_QUOTES), r"[^\x00-\x7F]+", "")
+    # as many bytes as characters: nothing to rewrite
+    is_ascii = F.octet_length(text) == F.length(text)
+    return py_strip(F.when(is_ascii, text).otherwise(plain))
 
 
 def collapse_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, f"{_BLANK}+", " ")
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def or_default(value: Column, default: str | Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,6 +24,7 @@ VOID_TAGS = frozenset(
 )
 OPAQUE_TAGS = frozenset(["script", "style", "template", "rt", "rp"])
 KEEP_BLANK_TAGS = frozenset(["pre", "textarea"])
+SPECIAL_TAGS = OPAQUE_TAGS | KEEP_BLANK_TAGS
 
 _NODES_PER_BATCH = 100_000
 
@@ -36,13 +38,14 @@ class NodeReader(HTMLParser):
 
     def clear(self) -> None:
         self.page_ends, self.errors = [0], []
-        self.pre, self.post, self.parent, self.depth = [], [], [], []
+        self.pre, self.post, self.parent, self.depth = (array("i") for _ in range(4))
         self.tag, self.text, self.attrs = [], [], []
 
     def read(self, html: str | None) -> None:
         """Add the nodes of one page, or none and the reason why it could not be read."""
         self.reset()
         self.start, self.open, self.pending, self.closed = len(self.pre), [], [], 0
+        self.special = 0  # open elements that change how text is kept
         error = None if html is not None else "no html"
         if html is not None:
             try:
@@ -59,7 +62,7 @@ class NodeReader(HTMLParser):
         self.page_ends.append(len(self.pre))
         self.errors.append(error)
 
-    def columns(self) -> list[list]:
+    def columns(self) -> list:
         return [self.pre, self.post, self.parent, self.depth, self.tag, self.attrs, self.text]
 
     def arrow(self) -> pa.ListArray:
@@ -74,7 +77,10 @@ class NodeReader(HTMLParser):
         maps = pa.MapArray.from_arrays(
             pa.array(attr_ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())
         )
-        ints = [pa.array(c, pa.int32()) for c in (self.pre, self.post, self.parent, self.depth)]
+        ints = [
+            pa.Array.from_buffers(pa.int32(), len(c), [None, pa.py_buffer(c)])
+            for c in (self.pre, self.post, self.parent, self.depth)
+        ]
         columns = [*ints, pa.array(self.tag, pa.string()), maps, pa.array(self.text, pa.string())]
         nodes = pa.StructArray.from_arrays(
             columns, names=["pre", "post", "parent", "depth", "tag", "attrs", "text"]
@@ -91,17 +97,20 @@ class NodeReader(HTMLParser):
         self.attrs.append(attrs)
         self.text.append(text)
         self.open.append((index, tag))
+        self.special += tag in SPECIAL_TAGS
 
     def _close(self) -> None:
-        self.post[self.start + self.open.pop()[0]] = self.closed
+        index, tag = self.open.pop()
+        self.post[self.start + index] = self.closed
         self.closed += 1
+        self.special -= tag in SPECIAL_TAGS
 
     def _flush(self) -> None:
         if not self.pending:
             return
         text = "".join(self.pending)
         self.pending.clear()
-        names = [tag for _, tag in self.open]
+        names = [tag for _, tag in self.open] if self.special else []
         if not text.strip(" \n\t\f\r") and KEEP_BLANK_TAGS.isdisjoint(names):
             text = "\n" if "\n" in text else " "
         opaque = next((name for name in reversed(names) if name in OPAQUE_TAGS), None)
@@ -121,7 +130,9 @@ class NodeReader(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(name == tag for _, name in self.open):
+        if self.open[-1][1] == tag:
+            self._close()
+        elif any(name == tag for _, name in self.open):
             while self.open[-1][1] != tag:
                 self._close()
             self._close()
@@ -130,6 +141,10 @@ class NodeReader(HTMLParser):
         if data:
             self.pending.append(data)
 
+    def updatepos(self, i, j):
+        # line numbers are not needed
+        return j
+
     def _split_text(self, _):
         self._flush()
 
