@@ -1,29 +1,67 @@
-"""The corpus pipeline: documents of low quality or no known language go, near and inner repeats go, the rest is packed."""
+"""The corpus pipeline: documents of low quality or no known language go, near copies and repeated passages go, the rest is packed."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanspark.llm import packing
+from gleanspark.llm import jaccard, langid, packing, quality, suffix_dedup
+from gleanspark.llm.common import shipped
 from gleanspark.llm.queries import TOKENIZER
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones among them, predicts to be of quality."""
+    return quality.good(docs, shipped(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is told with some certainty."""
+    shipped(spark)
+    return langid.known(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document of the smallest id; documents without an id stay."""
+    shipped(spark)
+    first = jaccard.cluster(docs).where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # a repeated row stays once
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that occur again; characters that a cut splits go."""
+    shipped(spark)
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = suffix_dedup.dedup(docs, keep=rest)
+    text = F.try_validate_utf8(F.col("kept"))
+    found = found.withColumn("text", F.coalesce(text, F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document piece in sequences of 4096 tokens."""
+    shipped(spark)
     return packing.pack(packing.pieces(docs, TOKENIZER))
 
 
-STAGES: list[tuple[str, Stage]] = [("pack", pack)]
-#: No stage before the last can be written in SQL; tests hold the pipeline against brute force.
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
+    ("language ID", known_language),
+    ("n-gram Jaccard join", no_near_copies),
+    ("suffix-array dedup", no_repeated_passages),
+    ("best-fit packing", pack),
+]
+#: No stage can be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

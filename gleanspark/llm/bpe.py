@@ -18,12 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gleanspark.llm.common import slices, utf8
+from gleanspark.llm.common import slices
 
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?*%&#$|]*)")  # letters, then signs of which the tokenizer makes one word
-_CACHED, _CACHED_CHARS = 200_000, 48
+_PIECES, _WORDS, _PAIRS, _CACHED_CHARS = 100_000, 400_000, 400_000, 48
 _loaded: dict[int, Vocabulary] = {}
 
 
@@ -37,9 +37,9 @@ def byte_characters() -> list[str]:
 class _Recent(dict):
     """What make() gives for a text, kept for the texts met lately: a full table becomes the older one, whose hits move back."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, most: int) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
         found = self.older.get(text)
@@ -47,7 +47,7 @@ class _Recent(dict):
             found = self.make(text)
             if len(text) > _CACHED_CHARS:
                 return found
-        if len(self) >= _CACHED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[text] = found
@@ -89,13 +89,13 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
         self.code = {i: int(i).to_bytes(4, "little") for i in spelled}
-        self.known_words, self.pieces = _Recent(self.encode_word), _Recent(self.encode_piece)
+        self.known_words, self.pieces = _Recent(self.encode_word, _WORDS), _Recent(self.encode_piece, _PIECES)
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether the merge rules leave these two tokens side by side; kept in the pair table."""
         known = self.pairs.get(first << 32 | second)
         if known is None:
-            if len(self.pairs) >= _CACHED:
+            if len(self.pairs) >= _PAIRS:
                 self.pairs.clear()
             known = self.pairs[first << 32 | second] = self._compatible(first, second)
         return known
@@ -149,20 +149,32 @@ class Vocabulary:
 
     def _backtrack(self, text: str, taken: list[int], token: int) -> list[int]:
         """The walk over all of text, from tokens taken so far and the longest match that comes next."""
-        at, open_at = sum(self.length[i] for i in taken), bytearray(b"\1") * (len(text) + 1)
-        while at < len(text):
-            end = at + self.length[token]
-            if open_at[end] and (not taken or self.compatible(taken[-1], token)):
+        length, known, shorter, n = self.length, self.pairs, self.shorter, len(text)
+        at, open_at = sum([length[i] for i in taken]), bytearray(b"\1") * (n + 1)
+        longest: dict[int, int] = {}
+        while at < n:
+            end = at + length[token]
+            fits = open_at[end]
+            if fits and taken:
+                fits = known.get(taken[-1] << 32 | token)
+                if fits is None:
+                    fits = self.compatible(taken[-1], token)
+            if fits:
                 taken.append(token)
                 at = end
-                if at < len(text):
-                    token = next(self.words.iter_long(text, at))[1]
-            elif (shorter := self._shorter(token)) is not None:
-                token = shorter
+                if at < n:
+                    token = longest.get(at)
+                    if token is None:
+                        _, token = next(self.words.iter_long(text, at))
+                        longest[at] = token
+                continue
+            less = shorter[token] if token in shorter else self._shorter(token)
+            if less is not None:
+                token = less
             else:
                 open_at[at] = 0  # nothing fits from here: give back the token before and go on with a shorter one
                 token = taken.pop()
-                at -= self.length[token]
+                at -= length[token]
         return taken
 
     def encode_piece(self, piece: str) -> bytes:
@@ -246,5 +258,3 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
     found = df.select(df[key].alias("key"), df[ids].alias("ids")).mapInArrow(run, f"key {kind}, n_tokens long, ids binary, decoded string")
     return found.withColumnRenamed("key", key)
 
-
-__all__ = ["Vocabulary", "byte_characters", "decode", "encode", "loaded", "read_file", "utf8"]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into numpy arrays at a time; a longer text is taken alone.
@@ -18,6 +21,19 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its Python workers, so that a query runs where it is not installed."""
+    context = spark.sparkContext
+    if not any(Path(x).name.startswith("gleanspark-") for x in context._python_includes):
+        source = Path(__file__).resolve().parents[1]
+        name = f"{tempfile.mkdtemp()}/gleanspark-package.zip"  # on the driver, which hands it out
+        with zipfile.ZipFile(name, "w") as archive:
+            for file in sorted(source.rglob("*.py")):
+                archive.write(file, file.relative_to(source.parent))
+        context.addPyFile(name)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df from the folder of spark.checkpoint.dir: lineage is cut, a lost executor costs no earlier step.
 
@@ -32,6 +48,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held_out(key: str, folds: int, rest: int) -> Column:
+    """Whether crc32 of the key as text leaves this remainder; a null key counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds)) == rest
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, nulls as empty texts, and where each text begins (one more entry: the end)."""
     texts = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
@@ -88,6 +109,34 @@ def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((sums[end] - sums[begin]) * _power_table(len(sums), _INVERSE)[begin])
 
 
+def summed_blocks(df: DataFrame) -> DataFrame:
+    """(block, sums) of rows (block, counts): compressed 32-bit counts added up by block."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        total: np.ndarray | int = 0
+        for counts in table.column("counts"):
+            total = total + np.frombuffer(zlib.decompress(counts.as_py()), np.uint32).astype(np.uint64)
+        packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], ["block", "sums"])
+
+    return df.groupBy("block").applyInArrow(run, "block int, sums binary")
+
+
+def table_of_blocks(df: DataFrame, buckets: int, block: int) -> np.ndarray:
+    """A table of counts of a fixed size from rows (block, counts)."""
+    table = np.zeros(buckets, np.uint32)
+    for row in summed_blocks(df).toLocalIterator():
+        table[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.sums), np.uint32)
+    return table
+
+
+def blocks_of(counts: np.ndarray, block: int) -> tuple[pa.Array, pa.Array]:
+    """The parts of a table of counts that hold any, as (block, counts)."""
+    parts = [(n, counts[n * block : (n + 1) * block]) for n in range(len(counts) // block)]
+    parts = [(n, zlib.compress(x.astype(np.uint32).tobytes(), 1)) for n, x in parts if x.any()]
+    return pa.array([n for n, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -97,11 +146,17 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes without ASCII white space: first byte, end, and row of each; no word crosses texts."""
+_NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
+
+def words(data: np.ndarray, begin: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes without ASCII white space (letters: of ASCII letters and non-ASCII bytes): first byte, end, and row of each.
+
+    No word crosses texts.
+    """
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    solid = ~_SPACE[data]
+    solid = ~(_NO_LETTER if letters else _SPACE)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[begin] = True
     first = solid & edge[:-1]

@@ -23,7 +23,7 @@ from gleanspark.llm.common import checkpointed, slices
 
 CAPACITY, END = 4096, 1
 #: Pieces of one length that are ranked together in one task, about.
-RANKED = 20_000
+RANKED = 2_000
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
