@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 import zlib
@@ -38,6 +39,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df from the folder of spark.checkpoint.dir: lineage is cut, a lost executor costs no earlier step.
 
     Where the setting is unset, a temporary folder is taken in local mode (tests) and an error is raised on a cluster.
+    Spark removes the shuffle files of finished steps when the driver collects its garbage, which it is asked to do here: on large
+    inputs they would fill the disks long before the driver's memory.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -45,7 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if folder is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp())
-    return df.checkpoint()
+    done = df.checkpoint()
+    gc.collect()
+    context._jvm.System.gc()
+    return done
 
 
 def held_out(key: str, folds: int, rest: int) -> Column:

@@ -79,14 +79,66 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *(pa.nulls(n, pa.int64()),) * 3, block, packed], names)
 
 
-def _alpha(a: Column, b: Column) -> Column:
-    """The least common shingles of two sets of these sizes that link."""
-    return F.floor((3 * (a + b) + 6) / 7)
+def _may_link(one: str, other: str) -> Column:
+    """Size and position filter where this is the first shingle, in order, that two prefixes share.
 
+    A place is the size of a set and, in its low half, the shingle's position.
+    """
+    (n1, at1), (n2, at2) = ((F.shiftright(p, 32), F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))) for p in (one, other))
+    least = F.floor((3 * (n1 + n2) + 6) / 7)  # common shingles of two sets that link
+    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (1 + F.least(n1 - at1 - 1, n2 - at2 - 1) >= least)
+
+
+def _prefix(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, of which two sets that link share one, and a hash of them with the set's size."""
+    size = len(shingles)
+    prefix = shingles[np.argsort(table[_bucket(shingles)], kind="stable")[: size - (3 * size + 3) // 4 + 1]]
+    return prefix, int(mixed(np.array([mixed(prefix).sum(dtype=np.uint64) + np.uint64(size)], np.uint64))[0])
+
+
+def _groups(counts):
+    """(key, gid) of every text with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, begin in slices(batch, "text"):
+                sets = shingle_sets(data, begin)
+                filled = pa.array([len(x) > 0 for x in sets])
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(filled), _as_long([_prefix(x, counts.value)[1] for x in sets if len(x)])], ["key", "gid"])
+
+    return run
 
-def _may_link(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
-    """Size and position filter where this is the first shingle, in order, that two prefixes share."""
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (1 + F.least(n1 - at1 - 1, n2 - at2 - 1) >= _alpha(n1, n2))
+
+def _met(docs: DataFrame, counts) -> DataFrame:
+    """(token, lot, gid, place) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # groups that this task has sent
+        for batch in batches:
+            for _, data, begin in slices(batch, "text"):
+                tokens, gids, places = [], [], []
+                for x in shingle_sets(data, begin):
+                    if not len(x):
+                        continue
+                    prefix, gid = _prefix(x, counts.value)
+                    if gid in done:
+                        continue
+                    done.add(gid)
+                    tokens.append(prefix)
+                    gids.append(np.full(len(prefix), gid, np.uint64))
+                    places.append(np.arange(len(prefix)) + (len(x) << 32))
+                if len(done) > 1_000_000:
+                    done.clear()
+                if tokens:
+                    token, gid = np.concatenate(tokens), np.concatenate(gids)
+                    lots = (counts.value[_bucket(token)] // LOT + 1).astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array((mixed(gid ^ np.uint64(0x51)) % lots).astype(np.int32)), _as_long(gid), pa.array(np.concatenate(places))], ["token", "lot", "gid", "place"])
+
+    rows = docs.mapInArrow(run, "token long, lot int, gid long, place long")
+    lot = W.partitionBy("token", "lot")
+    shared = rows.withColumn("least", F.min("gid").over(lot)).withColumn("most", F.max("gid").over(lot))
+    # equal groups of several tasks are several rows, which the pairs drop again
+    return shared.where("least <> most or lot > 0").select("token", "lot", "gid", "place")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -126,75 +178,42 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     table = table_of_blocks(first.where("block is not null").select("block", "counts"), BUCKETS, BLOCK)  # 4 MB
     counts = docs.sparkSession.sparkContext.broadcast(table)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for batch in batches:
-            for rows, data, begin in slices(batch, "text"):
-                sets = shingle_sets(data, begin)
-                out, g1, g2 = [], [], []
-                for x in sets:
-                    order = np.argsort(table[_bucket(x)], kind="stable")[: len(x) - (3 * len(x) + 3) // 4 + 1] if len(x) else []
-                    prefix = x[order]
-                    out.append(prefix.tobytes())
-                    g1.append(int(mixed(prefix).sum(dtype=np.uint64)))
-                    g2.append(int(mixed(prefix ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)))
-                sized = pa.array([len(x) for x in sets], pa.int64())
-                every = pa.RecordBatch.from_arrays([rows.column(0), sized, _as_long(g1), _as_long(g2), pa.array(out, pa.binary())], ["key", "n", "g1", "g2", "prefix"])
-                yield every.filter(pa.array([len(x) > 0 for x in sets]))
-
-    # classes: equal sets; groups: equal prefix and size
-    classes = signed.where("n > 0 and key is not null").groupBy("s1", "s2", "n").agg(F.min("key").alias("cid"))
-    same = signed.where("n > 0 and key is not null").join(classes, ["s1", "s2", "n"]).select("key", "n", "cid")
-    same = checkpointed(same)
-    prefixed = checkpointed(docs.where("key is not null").mapInArrow(prefixes, f"key {kind}, n long, g1 long, g2 long, prefix binary"))
-    groups = prefixed.groupBy("g1", "g2", "n").agg(F.min("key").alias("leader"), F.max("key").alias("last"), F.first("prefix").alias("prefix"))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                each = [np.frombuffer(x or b"", np.uint64) for x in rows.column(2).to_pylist()]
-                sizes = np.array([len(x) for x in each])
-                every = np.concatenate(each)
-                lots = table[_bucket(every)] // LOT + 1  # more than one where the table shows a common shingle
-                pick = np.repeat(np.arange(len(each)), sizes)
-                leader = rows.column(0).take(pa.array(pick))
-                lot = (mixed(pick.astype(np.uint64) + np.uint64(at) + every) % lots.astype(np.uint64)).astype(np.int32)
-                place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.RecordBatch.from_arrays([_as_long(every), pa.array(lot), leader, rows.column(1).take(pa.array(pick)), pa.array(place)], ["token", "lot", "leader", "n", "at"])
-
-    rows = groups.select("leader", "n", "prefix").mapInArrow(tokens, f"token long, lot int, leader {kind}, n long, at long")
-    lot = W.partitionBy("token", "lot")
-    met = rows.withColumn("lead", F.min(F.struct("leader", "n", "at")).over(lot)).withColumn("shared", F.count("*").over(lot))
-    met = checkpointed(met.where("shared > 1 or lot > 0").select("token", "lot", "leader", "n", "at", "lead"))
-
-    # members of groups that hold several classes, and every class that meets another group
-    grouped = prefixed.select("key", "g1", "g2", "n")
-    several = groups.where("leader <> last").select("g1", "g2", "n", "leader")
-    members = grouped.join(several, ["g1", "g2", "n"]).select("key", "leader").join(same.select("key", "cid"), "key").select("leader", "cid").distinct()
-    members = checkpointed(members)
-    leaders = same.select(F.col("key").alias("leader"), F.col("cid").alias("leader_cid"))
-    inner = members.join(leaders, "leader").select(F.col("cid").alias("a"), F.col("leader_cid").alias("b"))
-    star = met.where(_may_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"))).select(F.col("leader").alias("a"), F.col("lead.leader").alias("b"))
-    lots = met.where("leader = lead.leader").select("token", "lot", "leader", "n", "at")
-    later, zero = lots.where("lot > 0").alias("x"), lots.where("lot = 0").alias("y")
-    across = later.join(zero, "token").where(_may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))).select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b"))
-    outer = star.unionByName(across).where("a <> b").distinct()
-    outer = outer.join(leaders.withColumnRenamed("leader", "a").withColumnRenamed("leader_cid", "ca"), "a").join(leaders.withColumnRenamed("leader", "b").withColumnRenamed("leader_cid", "cb"), "b")
-    pairs = outer.select(F.col("ca").alias("a"), F.col("cb").alias("b")).unionByName(inner).where("a <> b")
+    # classes: equal sets
+    filled = signed.where("n > 0 and key is not null")
+    classes = filled.groupBy("s1", "s2", "n").agg(F.min("key").alias("cid"))
+    same = checkpointed(filled.join(classes, ["s1", "s2", "n"]).select("key", "n", "cid"))
+    # groups: equal prefix and size, by a hash of both
+    keyed = docs.where("key is not null")
+    grouped = keyed.mapInArrow(_groups(counts), f"key {kind}, gid long")
+    members = checkpointed(grouped.join(same.select("key", "cid"), "key").select("gid", "cid").distinct())
+    leaders = checkpointed(members.groupBy("gid").agg(F.min("cid").alias("leader")))
+    met = checkpointed(_met(keyed, counts))
+
+    # the first of a lot stands for it: members against their group's leader, groups against their lot's first, lots against the first lot
+    inner = members.join(leaders, "gid").where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
+    lead = F.min(F.struct("gid", "place")).over(W.partitionBy("token", "lot"))
+    led = met.withColumn("lead", lead)
+    star = led.where(_may_link("place", "lead.place")).select(F.col("gid").alias("g"), F.col("lead.gid").alias("h"))
+    firsts = led.where("gid = lead.gid").select("token", "lot", "gid", "place").distinct()
+    later, zero = firsts.where("lot > 0").alias("x"), firsts.groupBy("token").agg(F.min(F.struct("lot", "gid", "place")).alias("f"))
+    zero = zero.select("token", F.col("f.gid").alias("h"), F.col("f.place").alias("p"))
+    across = later.join(zero, "token").where(_may_link("place", "p")).select(F.col("gid").alias("g"), "h")
+    outer = star.unionByName(across).where("g <> h").distinct()
+    outer = outer.join(leaders.select(F.col("gid").alias("g"), F.col("leader").alias("a")), "g").join(leaders.select(F.col("gid").alias("h"), F.col("leader").alias("b")), "h")
+    pairs = outer.select("a", "b").unionByName(inner).where("a <> b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # whole sets of the classes that may link, from their texts
-    wanted = met.select("leader").distinct().join(leaders, "leader").select(F.col("leader_cid").alias("key")).unionByName(members.select(F.col("cid").alias("key"))).distinct()
+    several = members.groupBy("gid").count().where("count > 1").select("gid")
+    wanted = checkpointed(members.join(met.select("gid").unionByName(several).distinct(), "gid").select(F.col("cid").alias("key")).distinct())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, begin in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in shingle_sets(data, begin)], pa.binary())], ["key", "shingles"])
 
-    sets = docs.join(wanted, "key", "left_semi").mapInArrow(whole, f"key {kind}, shingles binary")
-    sets = checkpointed(sets.dropDuplicates(["key"]))
+    chosen = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = checkpointed(chosen.mapInArrow(whole, f"key {kind}, shingles binary"))
     # rows that share a key are one document
     twins = same.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).where("b <> top")
     twins = same.join(twins, "key").select(F.col("cid").alias("a"), "b").where("a <> b")
@@ -204,18 +223,16 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     # what still lies in different components, though a shingle or a group is shared
     root = wanted.join(roots, wanted["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"))
     root = checkpointed(root)
-    expanded = members.join(root, members["cid"] == root["key"]).select("leader", "cid", "root")
-    lone = leaders.join(members.select("leader").distinct(), "leader", "left_anti").join(root, F.col("leader_cid") == F.col("key")).select("leader", F.col("leader_cid").alias("cid"), "root")
-    units = checkpointed(expanded.unionByName(lone))
-    mixed_groups = units.groupBy("leader").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    spread = met.select("token", "leader").join(mixed_groups, "leader").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
-    open_rows = met.join(spread, "token", "left_semi").select("token", "leader", "n", "at").join(units, "leader")
-    open_rows = checkpointed(open_rows.select("token", "cid", "root", "n", "at"))
+    units = checkpointed(members.join(root, members["cid"] == root["key"]).select("gid", "cid", "root"))
+    spans = units.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    spread = met.select("token", "gid").join(spans, "gid").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
+    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "place").distinct().join(units, "gid")
+    open_rows = checkpointed(open_rows.select("token", "cid", "root", "place"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).where("x.root < y.root").where(_may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    cross = x.join(y, F.col("x.token") == F.col("y.token")).where("x.root < y.root").where(_may_link("x.place", "y.place"))
     cross = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     x, y = units.alias("x"), units.alias("y")
-    within = x.join(y, F.col("x.leader") == F.col("y.leader")).where("x.root < y.root").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    within = x.join(y, F.col("x.gid") == F.col("y.gid")).where("x.root < y.root").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     rest = cross.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(checkpointed(_verified(rest, sets)))
     roots = components(links)
