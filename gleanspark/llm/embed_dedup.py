@@ -23,7 +23,7 @@ COSINE = 0.95
 #: Blocks, and axes of a block that its grid has; a cell is two ranges wide.
 BLOCKS, AXES = 4, 3
 #: Vectors of one cell that are compared in one task; the vectors of a fuller cell are dealt into lots, and lots meet in pairs.
-LOT = 8192
+LOT = 16_384
 _STRIP = 256
 
 
@@ -32,18 +32,20 @@ def _good(x: list | None) -> bool:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, dims, vector): dims 0 and no vector where the row links with nothing."""
+    """(key, dims, vector): the parts as bytes, of the column's own precision; dims 0 and no vector where the row links with nothing."""
     for batch in batches:
+        kind = np.float32 if batch.column(1).type.value_type == pa.float32() else np.float64
         for at in range(0, batch.num_rows, 4096):
             rows = batch.slice(at, 4096)
             each = [x if _good(x) else None for x in rows.column(1).to_pylist()]
-            vectors = [None if x is None else (np.asarray(x, np.float64) + 0.0).tobytes() for x in each]
+            vectors = [None if x is None else (np.asarray(x, kind) + kind(0)).tobytes() for x in each]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(x or ()) for x in each], pa.int32()), pa.array(vectors, pa.binary())], ["key", "dims", "vector"])
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    """Vectors of one number of dimensions, scaled to length one."""
-    vectors = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _units(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of one number of dimensions, in double precision, scaled to length one."""
+    raw = b"".join(column.to_pylist())
+    vectors = np.frombuffer(raw, np.float32 if len(raw) == 4 * dims * len(column) else np.float64).astype(np.float64).reshape(len(column), dims)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # no square overflows or vanishes
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
@@ -61,7 +63,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of products of unit vectors, a row for each dimension."""
     sums: dict[int, np.ndarray] = {}
     for d, rows in _by_dims(batches, 4096):
-        v = _units(rows.column("vector"))
+        v = _units(rows.column("vector"), d)
         sums[d] = sums.get(d, 0) + v.T @ v
     for d, m in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([d] * d, pa.int32()), pa.array(range(d), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["dims", "row", "sums"])
@@ -84,7 +86,7 @@ def _cells(plans: dict):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, rows in _by_dims(batches, 1024):
-            v = _units(rows.column("vector"))
+            v = _units(rows.column("vector"), d)
             for b, (axes, reach) in enumerate(plans[d]):
                 x = (v @ axes[:, :AXES]) / (2 * reach)
                 home = np.floor(x).astype(np.int64)
@@ -129,25 +131,32 @@ def _compared(plans: dict, cosine: float):
         table = table.sort_by("cid")
         cid, copies, home, lot = (table.column(c) for c in ("cid", "copies", "home", "lot"))
         copies, home, lot = np.asarray(copies), np.asarray(home), np.asarray(lot)
-        v = _units(table.column("vector").combine_chunks())
+        v = _units(table.column("vector").combine_chunks(), d)
         spread = [v @ axes for axes, _ in plans[d]]
-        x, reach = spread[b], plans[d][b][1]
+        # a first look in single precision, with more than its rounding added to the range
+        x, reach = spread[b].astype(np.float32), plans[d][b][1] ** 2 + 1e-5
         square = np.einsum("ij,ij->i", x, x)
+        own, guests = ([np.flatnonzero((home == h) & (lot == k)) for k in (i, j)] for h in (True, False))
+        # vectors that live here with each other and with visitors; of two lots, across the lots only
+        sides = [(own[0], np.concatenate([own[1], guests[1]]))] + ([(own[1], guests[0])] if i != j else [])
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(v), _STRIP):
-            far = square[at : at + _STRIP, None] + square[None, at:] - 2 * x[at : at + _STRIP] @ x[at:].T
-            p, q = np.nonzero(far <= reach * reach)
-            p, q = p + at, q + at
-            fit = (p < q) & (home[p] | home[q]) & ((lot[p] != lot[q]) if i != j else True)
-            p, q = p[fit], q[fit]
-            linked = np.einsum("ij,ij->i", v[p], v[q]) >= cosine
-            p, q = p[linked], q[linked]
-            for k in range(b):  # a pair that an earlier block has is counted there
-                gap = spread[k][p] - spread[k][q]
-                new = np.einsum("ij,ij->i", gap, gap) > plans[d][k][1] ** 2
-                p, q = p[new], q[new]
-            found.append((p, q))
-        p, q = (np.concatenate(c) for c in zip(*found, strict=True))
+        for side, other in sides:
+            for at in range(0, len(side), _STRIP):
+                strip = side[at : at + _STRIP]
+                far = square[strip, None] + square[None, other] - 2 * x[strip] @ x[other].T
+                p, q = np.nonzero(far <= reach)
+                p, q = strip[p], other[q]
+                if i == j:
+                    fit = (p < q) | ~home[q]
+                    p, q = p[fit], q[fit]
+                linked = np.einsum("ij,ij->i", v[p], v[q]) >= cosine
+                p, q = p[linked], q[linked]
+                for k in range(b):  # a pair that an earlier block has is counted there
+                    gap = spread[k][p] - spread[k][q]
+                    new = np.einsum("ij,ij->i", gap, gap) > plans[d][k][1] ** 2
+                    p, q = p[new], q[new]
+                found.append((p, q))
+        p, q = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         links = np.zeros(len(v), np.int64)
         np.add.at(links, p, copies[q])
         np.add.at(links, q, copies[p])
