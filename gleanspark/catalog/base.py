@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import fixed
 from ..operators.classify import first_match_rules, weighted_rules
-from ..sources.pages import scan_pages, spread
+from ..sources.pages import scan_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(scan_pages(spark, f"{sf_dir}/pages.parquet"))
+    return scan_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def quote(text: str) -> str:
@@ -164,6 +164,6 @@ SPARK_EXPIRY_TEXT = """CASE o_orderkey % 8
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(k, day, expiry_text)`` with the order date written in one of eight forms."""
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k", "CAST(o_orderdate AS DATE) AS day", f"{SPARK_EXPIRY_TEXT} AS expiry_text"
     )

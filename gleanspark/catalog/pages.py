@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import urls
 from ..functions.arrays import first, first_by, let
-from ..functions.text import lines, truncate
+from ..functions.text import lines
 from ..operators import enrich
 from ..operators import extract as X
 from ..operators import nodes as N
@@ -31,7 +31,7 @@ from .base import (
     sql_unescape,
     table,
 )
-from .rendered import POSTS, detail_pages, listing_pages
+from .rendered import PORTAL, POSTS, detail_pages, listing_pages
 
 col = F.col
 
@@ -86,14 +86,14 @@ def _(spark, sf):
 @query(
     "select_attr",
     """SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS linked,
-       CAST(len(regexp_extract_all(html, '<meta charset="utf-8">')) AS INT) AS utf8, 0 AS latin FROM pages""",
+       CAST(len(regexp_extract_all(html, '<meta charset="utf-8">')) AS INT) AS utf8, CAST(len(regexp_extract_all(html, '<a href="/the">')) AS INT) AS to_the FROM pages""",
 )
 def _(spark, sf):
     return shredded(spark, sf).select(
         "page_id",
         F.size(N.select(col("nodes"), "a", has="href")).alias("linked"),
         F.size(N.select(col("nodes"), equals={"charset": "utf-8"})).alias("utf8"),
-        F.size(N.select(col("nodes"), equals={"charset": "latin-1"})).alias("latin"),
+        F.size(N.select(col("nodes"), "a", equals={"href": "/the"})).alias("to_the"),
     )
 
 
@@ -120,19 +120,22 @@ def _(spark, sf):
     )
 
 
-@query("first_alternative", "SELECT page_id, 'nav' AS tag FROM pages")
+@query(
+    "first_alternative",
+    f"WITH {POSTS} SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'p' ELSE 'script' END AS tag FROM posts",
+)
 def _(spark, sf):
     found = X.first_alternative(
-        N.select(col("nodes"), "section"), N.select(col("nodes"), "nav"), N.select(col("nodes"), "div")
+        N.select(col("nodes"), "section"), N.select(col("nodes"), "script"), N.select(col("nodes"), "p")
     )
-    return shredded(spark, sf).select(
+    return N.shred(listing_pages(spark, sf, "jsonld").select("page_id", "html")).select(
         "page_id", F.explode(F.transform(found, lambda n: n["tag"])).alias("tag")
     )
 
 
 @query(
     "nearest_ancestor",
-    f"WITH {LINKS} SELECT page_id, pos, {sql_strip('text')} AS item, 'nav' AS block FROM links",
+    f"WITH {LINKS} SELECT page_id, pos, {sql_strip('text')} AS item FROM links",
 )
 def _(spark, sf):
     found = F.transform(
@@ -140,12 +143,30 @@ def _(spark, sf):
         lambda a, i: F.struct(
             (i + 1).alias("pos"),
             N.trimmed_text(col("nodes"), N.ancestor(col("nodes"), a, "li")).alias("item"),
-            N.ancestor(col("nodes"), a, "nav")["tag"].alias("block"),
         ),
     )
     return shredded(spark, sf).select("page_id", F.inline(found))
 
 
+@query(
+    "ancestor_or_none",
+    f"""WITH {POSTS} SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN page_id % 3 > 0 AND k % 10 > 2 OR page_id % 3 = 2 AND k % 10 > 0
+        THEN 'p' END AS block FROM posts""",
+)
+def _(spark, sf):
+    found = F.transform(
+        N.select(col("nodes"), "a"),
+        lambda a, i: F.struct((i + 1).alias("pos"), N.ancestor(col("nodes"), a, "p")["tag"].alias("block")),
+    )
+    return N.shred(listing_pages(spark, sf, "few_links").select("page_id", "html")).select("page_id", F.inline(found))
+
+
+@query("min_title", f"WITH {LINKS} SELECT page_id, pos, {sql_strip('text')} AS title FROM links WHERE length({sql_strip('text')}) >= 4")
+def _(spark, sf):
+    titled = F.transform(N.anchors(col("nodes")), lambda a: F.struct(a["pos"], a["text"].alias("title")))
+    return shredded(spark, sf).select("page_id", F.inline(X.min_title(titled, 4)))
+
+
 @query(
     "parent_of",
     """SELECT page_id, tag, parent_tag, CAST(n AS BIGINT) AS n FROM (
@@ -239,16 +260,16 @@ def _(spark, sf):
     return shredded(spark, sf).select("page_id", n_links.alias("n_links")).filter("n_links > 0")
 
 
-@query("meta_content", f"WITH {POSTS} SELECT k AS page_id, 'Portal' AS site FROM posts WHERE has_detail")
+@query("meta_content", f"WITH {POSTS} SELECT k AS page_id, {PORTAL} AS site FROM posts WHERE has_detail")
 def _(spark, sf):
     site = N.meta_content(col("nodes"), [("property", "og:site_name"), ("name", "author")])
     details = detail_pages(spark, sf, "link_detail").select("page_id", "html")
     return N.shred(details).select("page_id", site.alias("site"))
 
 
-@query("content_block", f"SELECT page_id, left({sql_joined(ARTICLE)}, 500) AS content FROM pages")
+@query("content_block", f"SELECT page_id, {sql_joined(ARTICLE)} AS content FROM pages")
 def _(spark, sf):
-    content = truncate(N.joined_text(col("nodes"), X.content_block(col("nodes")), " "), 500)
+    content = N.joined_text(col("nodes"), X.content_block(col("nodes")), " ")
     return shredded(spark, sf).select("page_id", content.alias("content"))
 
 
@@ -283,31 +304,14 @@ def _(spark, sf):
 @query(
     "dedup_url",
     f"""WITH {LINKS} SELECT page_id, pos, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS r
-        FROM (SELECT l.page_id, l.pos, 'https://h.example' || lower(left(l.href, 3)) || 'x' AS url FROM links l)) WHERE r = 1""",
+        FROM (SELECT l.page_id, l.pos, o.origin || l.href AS url FROM links l JOIN {_ORIGIN} ON l.page_id = o.page_id)) WHERE r = 1""",
 )
 def _(spark, sf):
     linked = F.transform(
-        N.anchors(col("nodes")),
-        lambda a: F.struct(
-            a["pos"],
-            urls.resolve_url(
-                "https://h.example/", F.concat(F.lit("./"), F.lower(F.substring(a["href"], 1, 3)), F.lit("x"))
-            ).alias("url"),
-        ),
+        N.anchors(col("nodes")), lambda a: F.struct(a["pos"], urls.resolve_url(col("url"), a["href"]).alias("url"))
     )
     found = first_by(linked, lambda a: a["url"])
-    return shredded(spark, sf).select("page_id", F.inline(found))
-
-
-@query(
-    "cap_per_page",
-    f"""WITH {LINKS} SELECT page_id, pos, href FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r
-        FROM links WHERE length(href) > 4) WHERE r <= 3""",
-)
-def _(spark, sf):
-    kept = F.slice(F.filter(N.anchors(col("nodes")), lambda a: F.length(a["href"]) > 4), 1, 3)
-    found = F.transform(kept, lambda a: F.struct(a["pos"], a["href"]))
-    return shredded(spark, sf).select("page_id", F.inline(found))
+    return N.shred(pages(spark, sf).select("page_id", "url", "html")).select("page_id", F.inline(found))
 
 
 # --- a new site is a new profile --------------------------------------------------------------------

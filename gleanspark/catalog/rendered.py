@@ -57,9 +57,7 @@ posts AS (
 
 def _as_pages(items: DataFrame, site: str, before: str = "''") -> DataFrame:
     """Pages made of the items of ten posts in key order, after a common beginning."""
-    # a fixed number of partitions, as small pages would be merged into too few to read in parallel
-    cores = items.sparkSession.sparkContext.defaultParallelism
-    grouped = items.repartition(cores, "page_id", "page_num").groupBy("page_id", "page_num").agg(
+    grouped = items.groupBy("page_id", "page_num").agg(
         F.array_sort(F.collect_list(F.struct("k", "html"))).alias("items")
     )
     body = F.array_join(F.transform("items", lambda i: i["html"]), "\n")
@@ -79,7 +77,7 @@ PAGINATION = """concat('<ul class="pagination"><li><a href="?page=2">2</a></li><
     page_id % 40 + 1, '">Last</a></li></ul>')"""
 
 ITEMS = {
-    "cards": """concat('<a class="big job-listing" href="/jobs/', k, '"><h3 class="job-listing-title">', title,
+    "cards": """concat('<a class="big job-listing" href="/jobs/', k, CASE WHEN k % 7 = 3 THEN '#apply' ELSE '' END, '"><h3 class="job-listing-title">', title,
         '</h3><h4 class="job-listing-company"> ', company, '</h4>\n<p class="job-listing-text">', description,
         '</p><div class="job-listing-footer"><ul><li><i class="icon-material-outline-location-on"></i> ', town,
         '</li>', CASE WHEN expiry_text = 'N/A' THEN '' ELSE concat(
@@ -90,9 +88,11 @@ ITEMS = {
         '</p></div><div><h3>Menu</h3></div>')""",
     "jsonld": """CASE WHEN page_id % 4 = 0 THEN '<p>nothing here</p>' ELSE concat(
         '<script type="application/ld+json">{"@type":"', CASE WHEN k % 5 = 4 THEN 'Organization' ELSE 'JobPosting' END,
-        '","title":"', title, '","hiringOrganization":', CASE k % 5 WHEN 3 THEN concat('"', company, '"')
+        CASE WHEN k % 6 = 1 THEN '","title":"Old Title' ELSE '' END, '","title":"', title, '","hiringOrganization":', CASE k % 5 WHEN 3 THEN concat('"', company, '"')
         WHEN 2 THEN '{}' ELSE concat('{"name":"', company, '"}') END, ',"jobLocation":{"address":{"addressLocality":"',
-        town, '"}},"description":"', description, '","url":"/x/', k, '"}</script>') END""",
+        town, '"}},"description":"', description, CASE WHEN k % 11 = 5 THEN concat(repeat(' x', 300), ' nurse midwife')
+        ELSE '' END, CASE WHEN k % 9 = 2 THEN '","sameAs":["https://a.example/1"]' ELSE concat('","url":"/x/', k, '"') END,
+        '}</script>') END""",
     "candidates": f"""CASE k % 4
         WHEN 0 THEN concat('<article><a href="/job/', k, '">', title, ' ', k, '</a><small>', company, '</small> ', town,
             '. Posted on ', {LONG}, '</article>')
@@ -101,18 +101,47 @@ ITEMS = {
         WHEN 2 THEN concat('<div class="job"><a href="/job/', k, '">QA</a></div>')
         ELSE concat('<li class="job"><h3>', title, ' ', k, '</h3> <span class="company">', company, '</span> ', town,
             '</li>') END""",
-    "link_detail": """concat('<div class="results"><a href="/careers/job/', k, '">', title, '</a></div>',
+    "link_detail": """concat('<div class="results"><a href="/careers/job/', k, CASE WHEN k % 7 = 3 THEN '#apply' ELSE '' END, '">', title, '</a></div>',
         '<a href="mailto:x', k, '@y.example">mail</a> <a href="#top">Top</a>')""",
     "few_links": """CASE WHEN page_id % 3 > 0 AND k % 10 > 2 OR page_id % 3 = 2 AND k % 10 > 0
         THEN '<p><b><i><a href="/z">z</a></i></b></p>'
         WHEN k % 10 = 0 THEN concat('<a href="/jobs/', k, '">one</a>')
         ELSE concat('<a href="/about/job-', k, '">Read about ', k, '</a>') END""",
+    "generic": """concat('<div class="item card"><b>', title, '</b>\n', company, '\n', CASE WHEN k % 5 = 4 THEN 'Nothing to see here'
+        ELSE concat('Vacancy ', k) END, '</div>')""",
     "cards_alt": """CASE WHEN k % 2 = 0 THEN concat('<div class="job_seen_beacon"><h2 class="title">', title,
         '</h2><span class="company">', company, '</span><div class="recJobLoc">', town, '</div><div class="summary">',
         description, '</div></div>') ELSE concat('<div class="job_seen_beacon"><a data-jk="1">', title,
         '</a><a class="turnstileLink">', company, '</a></div>') END""",
 }
-ITEMS["cards_lenient"] = ITEMS["cards"]
+ITEMS["cards_lenient"], ITEMS["cards_alt_second"] = ITEMS["cards"], ITEMS["cards_alt"]
+
+_N = "(page_id % 40 + 2)"
+#: Page links of each layout, and the number of pages that they tell.
+PAGING = {
+    "cards": (PAGINATION, "greatest(2, page_id % 40 + 1)"),
+    "headings": (
+        f"""concat('<a href="/page/', {_N}, '/">next</a><a href="/x">1 <b>2</b></a>',
+        CASE WHEN page_id % 5 = 0 THEN '<p>Page 1,050</p>' ELSE '' END)""",
+        f"CASE WHEN page_id % 5 = 0 THEN 1050 ELSE {_N} END",
+    ),
+    "jsonld": (f"""concat('<a href="?page=', {_N}, '">next</a><a href="/x">1 <b>2</b></a>')""", f"greatest(12, {_N})"),
+    "candidates": (
+        f"""concat('<a href="/page/', {_N}, '/">on</a><div class="Pagination"><a href="/z">', {_N} + 3, '</a></div>',
+        CASE WHEN page_id % 3 = 0 THEN concat('<p> next ', {_N} + 107, ' </p>') ELSE '<p> 9000 </p>' END)""",
+        f"{_N} + CASE WHEN page_id % 3 = 0 THEN 107 ELSE 3 END",
+    ),
+    "link_detail": (f"""concat('<a href="?paged=', {_N}, '">on</a><a href="/page/', {_N} + 1, '/">on</a>')""", f"{_N} + 1"),
+    "cards_alt": (f"""concat('<nav class="np"><a>', {_N}, '</a><a>1 <b>99</b></a></nav><a>500</a>')""", _N),
+}
+#: What differs where numbers near paging words count up to 100 only.
+PAGING_LIMITED = {"candidates": f"{_N} + 3"}
+
+
+def paging_pages(spark: SparkSession, sf_dir: str, site: str) -> DataFrame:
+    """``(page_id, html)`` with nothing but the page links of a layout."""
+    numbers = table(spark, sf_dir, "orders").selectExpr("o_orderkey div 10 AS page_id").distinct()
+    return numbers.select("page_id", F.expr(PAGING[site][0]).alias("html"))
 
 DETAILS = {
     "cards": ("/jobs/", "concat('<p>Write to ', email, ' or later@y.example</p>')"),
@@ -120,7 +149,8 @@ DETAILS = {
     "candidates": ("/job/", "concat('<p>noreply@y.example</p><p>Please apply: ', email, '</p>')"),
     "link_detail": (
         "/careers/job/",
-        f"""concat('<meta property="og:site_name" content="Portal"><h1>', title, '</h1>', CASE WHEN k % 3 = 1 THEN ''
+        f"""concat('<meta ', CASE WHEN k % 2 = 0
+        THEN 'property="og:site_name" content="Portal ' ELSE 'name="author" content="Desk of ' END, town, '"><h1>', title, '</h1>', CASE WHEN k % 3 = 1 THEN ''
         ELSE concat('<p>Company: ', company, '</p>') END, '<p>Location: ', town, '</p><p>', {LONG},
         '</p><div class="entry-content">', description, '</div>', CASE WHEN k % 3 = 2
         THEN concat('<p>', replace(replace(email, '@', ' [at] '), '.example.com', ' [dot] example'), '</p>')
@@ -145,8 +175,7 @@ def listing_pages(spark: SparkSession, sf_dir: str, *sites: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, sf_dir: str, *sites: str) -> DataFrame:
     """``(page_id, url, html)`` for nine of ten posts."""
-    cores = spark.sparkContext.defaultParallelism
-    found = posts(spark, sf_dir).filter("k % 10 <> 7").repartition(cores, "k")
+    found = posts(spark, sf_dir).filter("k % 10 <> 7")
     parts = []
     for site in sites:
         if site in DETAILS:
@@ -194,6 +223,8 @@ CANDIDATES = f"""found AS (
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY sel, k) AS INT) AS pos FROM found),
 kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM placed WHERE sel IN (1, 2, 4))"""
 
+PORTAL = "CASE WHEN k % 2 = 0 THEN 'Portal ' ELSE 'Desk of ' END || town"
+
 ROWS = {
     "cards": f"""SELECT page_id, page_num, pos, title, company, town AS location, description, expiry_text,
         strict_day AS expiry_date, {_contact('cards')} FROM posts WHERE strict_day >= DATE '1998-01-01'""",
@@ -207,15 +238,16 @@ ROWS = {
         CASE k % 4 WHEN 1 THEN day WHEN 2 THEN NULL ELSE day + 30 END AS expiry_date, {_contact('headings')}
         FROM posts) WHERE expiry_date >= DATE '1998-01-01'""",
     "jsonld": f"""SELECT page_id, page_num, 1 AS pos, title, CASE WHEN k % 5 = 2 THEN
-        {quote(fixed.SITES['jsonld']['company'])} ELSE company END AS company, town AS location, description,
+        {quote(fixed.SITES['jsonld']['company'])} ELSE company END AS company, town AS location,
+        description || CASE WHEN k % 11 = 5 THEN repeat(' x', 300) || ' nurse midwife' ELSE '' END AS description,
         'N/A' AS expiry_text, CAST(NULL AS DATE) AS expiry_date, {quote(fixed.SITES['jsonld']['contact'])} AS apply_email
         FROM posts WHERE page_id % 4 <> 0 AND k % 5 < 3""",
     "candidates": f"""SELECT page_id, page_num, pos, title, company, CASE WHEN sel = 2 THEN
         '{fixed.DEFAULT_PLACE}' ELSE {_TOWN_OR_DEFAULT} END AS location, text AS description,
         CASE WHEN sel = 4 THEN 'N/A' ELSE {_EXPIRES_LATER} END AS expiry_text,
         CASE WHEN sel <> 4 THEN day + 30 END AS expiry_date,
-        {_contact('candidates', 'has_detail AND sel <> 4 AND rank <= 5')} FROM kept""",
-    "link_detail": f"""SELECT page_id, page_num, pos, title, CASE WHEN k % 3 = 1 THEN 'Portal' ELSE company END AS company,
+        {_contact('candidates', 'has_detail AND sel <> 4')} FROM kept""",
+    "link_detail": f"""SELECT page_id, page_num, pos, title, CASE WHEN k % 3 = 1 THEN {PORTAL} ELSE company END AS company,
         town AS location, description, {_EXPIRES_LATER} AS expiry_text, day + 30 AS expiry_date,
         CASE WHEN k % 3 = 2 THEN replace(email, '.example.com', '.example') ELSE email END AS apply_email
         FROM posts WHERE has_detail""",
@@ -225,6 +257,7 @@ ROWS = {
         'N/A' AS expiry_text, CAST(NULL AS DATE) AS expiry_date,
         {quote(fixed.SITES['cards_alt']['contact'])} AS apply_email FROM posts""",
 }
+ROWS["cards_alt_second"] = ROWS["cards_alt"].replace(quote(fixed.SITES["cards_alt"]["contact"]), quote(fixed.SITES["cards_alt_second"]["contact"]))
 
 _P = fixed.PLACEHOLDER
 PLACEHOLDERS = f"""SELECT printf('ZJ_%03d_001_{DAY}', page_num) AS id, {quote(_P['title'])} AS title,
@@ -236,7 +269,7 @@ PLACEHOLDERS = f"""SELECT printf('ZJ_%03d_001_{DAY}', page_num) AS id, {quote(_P
 
 def expected(site: str) -> str:
     """A query for the finished listings of one layout, without its WITH."""
-    categories = FIRST_CATEGORIES if site in ("cards_lenient", "cards_alt") else CATEGORIES
+    categories = FIRST_CATEGORIES if site in ("cards_lenient", "cards_alt", "cards_alt_second") else CATEGORIES
     ctes = f"{POSTS}, {CANDIDATES}" if site == "candidates" else POSTS
     rows = _finished(site, ROWS[site], categories)
     if site == "jsonld":

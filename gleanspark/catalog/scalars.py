@@ -10,7 +10,7 @@ from ..operators import classify as C
 from ..operators import extract as X
 from ..operators import reports
 from ..plans.listings import record_id
-from ..sources.pages import route_by_host, spread
+from ..sources.pages import route_by_host
 from .base import (
     AS_OF,
     CATEGORIES,
@@ -40,7 +40,7 @@ col = F.col
 )
 def _(spark, sf):
     marked = F.concat(F.lit("\n“"), col("text"), F.lit("”–"), col("text"), F.lit("…\t"))
-    return spread_docs(spark, sf).select("doc_id", text.clean_text(marked).alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", text.clean_text(marked).alias("cleaned"))
 
 
 @query(
@@ -89,18 +89,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", title.alias("title"), company.alias("company"))
 
 
-@query(
-    "min_title",
-    r"""SELECT doc_id, title FROM (SELECT doc_id, regexp_extract(text, '^[^\s]+', 0) AS title FROM documents)
-        WHERE length(title) >= 5""",
-)
-def _(spark, sf):
-    titled = table(spark, sf, "documents").select(
-        "doc_id", F.regexp_extract("text", r"^[^\s]+", 0).alias("title")
-    )
-    return titled.filter(F.length("title") >= 5)
-
-
 _JOB_TEXT = f"{sql_clean('text')} || CASE WHEN doc_id % 3 = 0 THEN ' Apply' ELSE '' END"
 
 
@@ -437,11 +425,7 @@ def _mail_docs(spark, sf):
         WHEN 1 THEN 'noreply@x.com; Jobs [at] acme [dot] com' WHEN 2 THEN
         'admin [at] acme [dot] com, c.d@e.org c.d@e.org' ELSE '' END"""
     shown = F.concat(text.clean_text(col("text")), F.lit(" ..."), F.expr(tail))
-    return spread_docs(spark, sf).select("doc_id", shown.alias("t"))
-
-
-def spread_docs(spark, sf):
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents").select("doc_id", shown.alias("t"))
 
 
 @query(
@@ -513,7 +497,7 @@ def _(spark, sf):
        event_id % 3 > 0 AS ok FROM events""",
 )
 def _(spark, sf):
-    props = F.when(col("event_id") % 3 == 0, F.substring("props", 1, 4)).otherwise(col("props"))
+    props = F.when(col("event_id") % 3 == 0, F.concat(F.lit("x"), "props")).otherwise(col("props"))
     value = F.try_variant_get(F.try_parse_json(props), "$.k", "bigint")
     events = table(spark, sf, "events").select("event_id", value.alias("k"))
     good, bad = reports.split_bad(events, ["k"])
@@ -527,7 +511,7 @@ _SQL_SRC = """src AS (SELECT doc_id AS id, regexp_extract(text, '^[^\\n]*', 0) A
 
 
 def _docs(spark, sf):
-    return spread_docs(spark, sf).select(
+    return table(spark, sf, "documents").select(
         "doc_id",
         F.regexp_extract("text", r"^[^\n]*", 0).alias("title"),
         col("text").alias("description"),
@@ -561,3 +545,29 @@ def _(spark, sf):
 @query("classify_first_match", f"WITH {_SQL_SRC}, {FIRST_CATEGORIES} SELECT id AS doc_id, category FROM categories")
 def _(spark, sf):
     return C.classify(_docs(spark, sf), "first").select("doc_id", "category")
+
+
+_RULES = """rules AS (SELECT 'R' || n_regionkey AS category, CAST(n_regionkey AS INT) AS ord, 'primary' AS tier,
+    lower(n_name) AS keyword FROM nation UNION ALL SELECT DISTINCT 'S', 9, 'secondary', lower(c_mktsegment) FROM customer)"""
+
+
+@query(
+    "classify_by_table",
+    f"""WITH {_RULES}, src AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN lower(n_name) ELSE '' END AS t,
+        CASE WHEN c_custkey % 4 > 0 THEN lower(c_mktsegment) ELSE '' END AS d FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        points AS (SELECT c_custkey, category, ord, sum(CASE WHEN tier = 'primary' THEN 10 ELSE 2 END) AS score FROM src, rules
+        WHERE contains(CASE WHEN tier = 'primary' THEN t ELSE d END, keyword) GROUP BY ALL),
+        best AS (SELECT c_custkey, arg_max(category, score * 1000 - ord) AS category, max(score) AS score FROM points GROUP BY 1)
+        SELECT c_custkey, category, CAST(score AS BIGINT) AS score FROM src LEFT JOIN best USING (c_custkey)""",
+)
+def _(spark, sf):
+    nations, customers = table(spark, sf, "nation"), table(spark, sf, "customer")
+    rules = nations.selectExpr("concat('R', n_regionkey) AS category", "CAST(n_regionkey AS INT) AS ord", "'primary' AS tier", "n_name AS keyword")
+    rules = rules.unionByName(customers.selectExpr("'S' AS category", "9 AS ord", "'secondary' AS tier", "c_mktsegment AS keyword").distinct())
+    named = customers.join(nations, col("c_nationkey") == col("n_nationkey")).select(
+        "c_custkey",
+        F.when(col("c_custkey") % 3 > 0, col("n_name")).alias("title"),
+        F.when(col("c_custkey") % 4 > 0, col("c_mktsegment")).alias("description"),
+        F.lit(None).cast("string").alias("company"),
+    )
+    return C.classify_by_table(named, rules, "c_custkey", fold_keywords=True)

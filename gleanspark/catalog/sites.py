@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -9,16 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import truncate
 from ..operators import enrich, reports
 from ..operators import extract as X
 from ..operators import nodes as N
 from ..plans import listings as L
-from ..plans.profiles import Registry
+from ..plans.profiles import Registry, builtin_profiles
 from ..sources import sinks
 from ..sources.pages import first_pages
-from .base import AS_OF, query, quote
-from .rendered import CANDIDATES, DETAILS, POSTS, expected, detail_pages, listing_pages
+from .base import AS_OF, query, quote, table
+from .rendered import CANDIDATES, DETAILS, PAGING, PAGING_LIMITED, POSTS, detail_pages, expected, listing_pages, paging_pages
 
 col = F.col
 
@@ -57,13 +57,13 @@ _listing_query("extract_jsonld", "jsonld")
 _listing_query("extract_candidates", "candidates")
 _listing_query("extract_link_detail", "link_detail")
 _listing_query("extract_cards_alt", "cards_alt")
+_listing_query("extract_cards_alt_second", "cards_alt_second")
 
 
 _listing_query("extract_cards_lenient", "cards_lenient")
 
 SITES = ["cards", "headings", "jsonld", "candidates", "link_detail"]
 _UNION = " UNION ALL ".join(f"(SELECT * FROM ({expected(s)}))" for s in SITES)
-_TWO = " UNION ALL ".join(f"(SELECT * FROM ({expected(s)}))" for s in SITES[:2])
 
 
 @query("union_sites", _UNION)
@@ -96,12 +96,12 @@ def _(spark, sf):
 
 @query(
     "dedup_snippet",
-    f"WITH {POSTS}, {CANDIDATES} SELECT page_id, pos, left(text, 200) AS snippet FROM placed",
+    f"WITH {POSTS}, {CANDIDATES} SELECT page_id, pos, text AS snippet FROM placed",
 )
 def _(spark, sf):
     rows = F.transform(
         X.unique_candidates(col("nodes")),
-        lambda c, i: F.struct((i + 1).alias("pos"), truncate(c["text"], 200).alias("snippet")),
+        lambda c, i: F.struct((i + 1).alias("pos"), c["text"].alias("snippet")),
     )
     found = N.shred(listing_pages(spark, sf, "candidates").select("page_id", "html"))
     return found.select("page_id", F.inline(rows))
@@ -151,7 +151,7 @@ _HOST = _BASE.removesuffix("/careers/")
 @query(
     "second_pass_links",
     f"""WITH {POSTS} SELECT page_id, '{_HOST}/x/' || k AS url, title AS text FROM posts
-        WHERE page_id % 4 <> 0 AND k % 5 <> 4""",
+        WHERE page_id % 4 <> 0 AND k % 5 <> 4 AND k % 9 <> 2""",
 )
 def _(spark, sf):
     found = N.shred(listing_pages(spark, sf, "jsonld").select("page_id", "html"))
@@ -171,11 +171,57 @@ def _(spark, sf):
 
 @query(
     "quarantine_pages",
-    f"WITH {POSTS} SELECT DISTINCT page_id, 1 AS n_links FROM posts WHERE page_id % 3 = 2",
+    f"""WITH {POSTS} SELECT page_id, 1 AS n_links, string_agg(CASE WHEN k % 10 > 0 THEN
+        '<p><b><i><a href="/z">z</a></i></b></p>' ELSE '<a href="/jobs/' || k || '">one</a>' END, chr(10) ORDER BY k) AS html
+        FROM posts WHERE page_id % 3 = 2 GROUP BY page_id""",
 )
 def _(spark, sf):
     found = L.quarantine(listing_pages(spark, sf, "few_links"), Registry()["link_detail"])
-    return found.select("page_id", "n_links")
+    return found.select("page_id", "n_links", "html")
+
+
+@query(
+    "rejected_pages",
+    "SELECT page_id, url, 'no html' AS parse_error FROM pages WHERE page_id % 7 = 3",
+)
+def _(spark, sf):
+    damaged = table(spark, sf, "pages").withColumn("html", F.when(col("page_id") % 7 != 3, col("html")))
+    return L.rejected(damaged)
+
+
+@query(
+    "extract_generic",
+    f"""WITH {POSTS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INT) AS pos,
+        title || company AS title, title || company || chr(10) || 'Vacancy ' || k AS description FROM posts WHERE k % 5 <> 4""",
+)
+def _(spark, sf):
+    rows = X.generic(col("nodes"), fixed.SITES["jsonld"])
+    found = N.shred(listing_pages(spark, sf, "generic").select("page_id", "html"))
+    return found.select("page_id", F.inline(rows)).select("page_id", "pos", "title", "description")
+
+
+@query(
+    "raw_pages",
+    f"SELECT * FROM ({expected('cards')})",
+)
+def _(spark, sf):
+    """Pages as fetched: the profile and the page number come from the URL."""
+    number = F.when(col("page_num") > 1, F.concat(F.lit("&page="), col("page_num"))).otherwise(F.lit(""))
+    url = F.concat(F.lit(Registry()["cards"].base_url), number)
+    found = listing_pages(spark, sf, "cards").select("page_id", url.alias("url"), "html")
+    return L.run(found, detail_pages(spark, sf, "cards"), AS_OF).select(*OUTPUT)
+
+
+@query(
+    "cap_per_page",
+    f"""WITH {POSTS} SELECT page_id, pos, job_url FROM (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k, i)
+        AS INT) AS pos, 'https://vacancybox.co.zw/job/' || k AS job_url
+        FROM posts, unnest([0, 1]) AS r(i) WHERE k % 4 < 3 AND (i = 0 OR k % 4 = 1)) WHERE pos <= 3""",
+)
+def _(spark, sf):
+    rows = X.link_fallback(col("nodes"), {**fixed.SITES["candidates"], "limits": {"links": 3}})
+    found = N.shred(listing_pages(spark, sf, "candidates").select("page_id", "html"))
+    return found.select("page_id", F.inline(rows)).select("page_id", "pos", "job_url")
 
 
 @query(
@@ -235,35 +281,52 @@ def _(spark, sf):
 # --- page counts ------------------------------------------------------------------------------------
 
 
-@query(
-    "max_page",
-    f"WITH {POSTS} SELECT DISTINCT page_id, greatest(2, page_id % 40 + 1) AS total_pages FROM posts",
-)
+_PAGE_IDS = "p AS (SELECT DISTINCT o_orderkey // 10 AS page_id FROM orders)"
+
+
+def _max_page_query(site):
+    @query(
+        "max_page" if site == "cards" else f"max_page_{site}",
+        f"WITH {_PAGE_IDS} SELECT page_id, CAST({PAGING[site][1]} AS BIGINT) AS total_pages FROM p",
+    )
+    def _(spark, sf):
+        return L.max_page(paging_pages(spark, sf, site), Registry()[site])
+
+
+for _site in PAGING:
+    _max_page_query(_site)
+
+_URLS = {
+    "cards": "'https://vacancymail.co.zw/jobs/?ordering=later&page=' || n",
+    "headings": "'https://jobszimbabwe.co.zw/page/' || n || '/'",
+    "jsonld": "'https://zimbojobs.com/?page=' || n",
+    "candidates": "'https://vacancybox.co.zw/page/' || n || '/'",
+    "link_detail": f"'{_BASE}?paged=' || n",
+    "cards_alt": "'https://jobszimbabwe.co.zw/?start=' || (10 * (n - 1))",
+}
+
+
+def _frontier_sql(site: str, limits: dict) -> str:
+    total = PAGING_LIMITED[site] if limits and site in PAGING_LIMITED else PAGING[site][1]
+    most = min([limits.get("pages", 10**9), limits.get("last_page", 10**9)])
+    return f"""SELECT '{site}' AS site, page_id, CAST(n AS INT) AS page_num, {_URLS[site]} AS url FROM (SELECT page_id,
+        unnest(range(2, least({total}, {most}) + 1)) AS n FROM p)"""
+
+
+def _frontiers(spark, sf, limits):
+    registry = Registry(builtin_profiles(limits))
+    parts = [L.frontier(paging_pages(spark, sf, site), registry[site]).withColumn("site", F.lit(site)) for site in PAGING]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("frontier_urls", f"WITH {_PAGE_IDS} " + " UNION ALL ".join(_frontier_sql(s, {}) for s in PAGING))
 def _(spark, sf):
-    return L.max_page(listing_pages(spark, sf, "cards"), Registry()["cards"])
+    return _frontiers(spark, sf, None)
 
 
-@query(
-    "frontier_urls",
-    f"""WITH {POSTS}, p AS (SELECT DISTINCT page_id, greatest(2, page_id % 40 + 1) AS n FROM posts),
-        t AS (SELECT page_id, CAST(unnest(range(2, least(n, 29) + 1)) AS INT) AS page_num FROM p)
-        SELECT 'cards' AS site, page_id, page_num, 'https://vacancymail.co.zw/jobs/?ordering=later&page=' || page_num AS url FROM t
-        UNION ALL SELECT 'jsonld', page_id, page_num, 'https://zimbojobs.com/?page=' || page_num FROM t WHERE page_num <= 20
-        UNION ALL SELECT 'link_detail', page_id, page_num, '{_BASE}?paged=' || page_num FROM t
-        UNION ALL SELECT 'headings', page_id, 2, 'https://jobszimbabwe.co.zw/page/2/' FROM p
-        UNION ALL SELECT 'cards_alt', page_id, page_num, 'https://jobszimbabwe.co.zw/?start=' || (10 * (page_num - 1))
-        FROM t WHERE page_num <= 15""",
-)
+@query("frontier_limited", f"WITH {_PAGE_IDS} " + " UNION ALL ".join(_frontier_sql(s, fixed.LIMITS[s]) for s in PAGING))
 def _(spark, sf):
-    found = listing_pages(spark, sf, "cards")
-    registry = Registry()
-    # the earlier layout, with this page's pagination block
-    registry.add(registry["cards_alt"].with_(total_pages=registry["cards"].total_pages))
-    parts = [
-        L.frontier(found, registry[site]).withColumn("site", F.lit(site))
-        for site in ("cards", "jsonld", "link_detail", "headings", "cards_alt")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return _frontiers(spark, sf, fixed.LIMITS)
 
 
 @query("first_page_only", f"WITH {POSTS} SELECT DISTINCT page_id FROM posts WHERE page_num = 1")
@@ -275,23 +338,23 @@ def _(spark, sf):
 
 
 def _report(spark, sf):
-    return listed(spark, sf, "cards", "headings")
+    return listed(spark, sf, *SITES)
 
 
 _BY = {"expiry": "expiry_text", "location": "location", "category": "category", "source": "source_site"}
 
 for _name, _column in _BY.items():
     query(
-        f"count_by_{_name}", f"SELECT {_column}, count(*) AS n FROM ({_TWO}) GROUP BY {_column}"
+        f"count_by_{_name}", f"SELECT {_column}, count(*) AS n FROM ({_UNION}) GROUP BY {_column}"
     )(lambda spark, sf, c=_column: reports.count_by(_report(spark, sf), c))
     if _name != "source":
         query(
             f"top5_{_name}",
-            f"SELECT {_column}, count(*) AS n FROM ({_TWO}) GROUP BY {_column} ORDER BY n DESC, {_column} LIMIT 5",
+            f"SELECT {_column}, count(*) AS n FROM ({_UNION}) GROUP BY {_column} ORDER BY n DESC, {_column} LIMIT 5",
         )(lambda spark, sf, c=_column: reports.count_by(_report(spark, sf), c, top=5))
 
 
-@query("run_totals", f"SELECT count(*) AS total_jobs FROM ({_TWO})")
+@query("run_totals", f"SELECT count(*) AS total_jobs FROM ({_UNION})")
 def _(spark, sf):
     return reports.run_totals(_report(spark, sf))
 
@@ -299,7 +362,7 @@ def _(spark, sf):
 @query(
     "site_counts",
     f"""SELECT site AS source_site, count(id) AS n FROM (VALUES ('VacancyMail'), ('Jobs Zimbabwe'), ('ZimboJobs'),
-        ('VacancyBox'), ('RecruitmentMatters')) AS s(site) LEFT JOIN ({_TWO}) ON source_site = site GROUP BY site""",
+        ('VacancyBox'), ('RecruitmentMatters')) AS s(site) LEFT JOIN ({_UNION}) ON source_site = site GROUP BY site""",
 )
 def _(spark, sf):
     return enrich.site_counts(_report(spark, sf), [p.site for p in Registry().current()])
@@ -310,7 +373,7 @@ def _(spark, sf):
     f"""SELECT count(*) AS total, count(*) FILTER (WHERE apply_email <> 'N/A') AS with_email,
         count(*) FILTER (WHERE contains(apply_email, '@')) AS with_valid_email,
         with_email * 100.0::DOUBLE / total AS email_rate, with_valid_email * 100.0::DOUBLE / total AS valid_email_rate
-        FROM ({_TWO})""",
+        FROM ({_UNION})""",
 )
 def _(spark, sf):
     return reports.email_rate(_report(spark, sf))
@@ -325,7 +388,7 @@ def _(spark, sf):
     return reports.expired_per_page(_raw(spark, sf, "cards"), AS_OF)
 
 
-@query("records_per_page", f"SELECT source_site, page_num, count(*) AS n FROM ({_TWO}) GROUP BY ALL")
+@query("records_per_page", f"SELECT source_site, page_num, count(*) AS n FROM ({_UNION}) GROUP BY ALL")
 def _(spark, sf):
     return reports.records_per_page(_report(spark, sf))
 
@@ -362,7 +425,11 @@ def _(spark, sf):
 
 
 def _folder(spark, name):
-    return f"{sinks.scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the one that all executors share; a temporary one where a test has none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='gleanspark-')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("sink_csv_roundtrip", _CSV)
@@ -382,5 +449,5 @@ def _(spark, sf):
 @query("sink_snapshot_latest", _JSON)
 def _(spark, sf):
     folder = _folder(spark, "snapshot")
-    sinks.write_snapshot(listed(spark, sf, "cards"), folder, "19980101_000000")
+    sinks.write_snapshot(listed(spark, sf, "cards"), folder, "19980101_000000", f"{folder}/scratch")
     return sinks.read_json(spark, f"{folder}/json/latest")

@@ -116,8 +116,18 @@ DEFAULT_PLACE = "Zimbabwe"
 
 EXPIRY_PREFIX = r"(?iU)^(expires|expiry|closing|closing date)[:\s-]*"
 MONTH_DAY_YEAR = r"[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}"
+POSTED_DATE = r"\s+([A-Za-z]+\s+\d{1,2},? \d{4})"
+DETAIL_DATE = r"[A-Z][a-z]+ \d{1,2},? \d{4}"
 POSTED_VALID_DAYS = 30
 
+# --- fixed values: page numbers -----------------------------------------------------------------
+
+PAGE_IN_PATH = r"/page/(\d+)/"
+PAGE_PARAMETER = r"page=(\d+)"
+PAGE_OR_PAGED = r"pag(?:e|ed)=(\d+)"
+PAGE_OF_LAST = r"page[=/](\d+)"
+PAGE_LABEL = r"(?U)Page\s+[\d,]+"
+
 # --- fixed values: contact addresses ------------------------------------------------------------
 
 PLAIN_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -137,6 +147,15 @@ ANCESTOR_HINTS = ["job", "vacancy", "career", "position", "listing", "result", "
 CANDIDATE_HREF_HINTS = ["/job/", "/jobs/", "vacancy"]
 JOB_TEXT_WORDS = ["job", "position", "vacancy", "career", "hiring", "apply", "work"]
 PAGE_WORDS = ["page", "next", "previous", "«", "»"]
+# tag, attribute that must be there, attribute patterns
+GENERIC_ELEMENTS = [
+    ("div", None, {"class": "(?i)job|listing|card|item"}),
+    ("article", None, None),
+    ("li", None, None),
+    ("div", "data-job", None),
+    ("div", None, {"id": "(?i)job"}),
+    ("a", None, {"href": "(?i)job|vacancy"}),
+]
 COMPANY_CLASS = r"(?i)(company|employer|org|org-name)"
 CONTENT_CLASS = r"(?i)(entry-content|post-content|job-description|vacancy-description)"
 CONTENT_ID = r"(?i)(content|main)"
@@ -144,19 +163,28 @@ COMPANY_LABELS = ["Company", "Employer", "Organisation", "Organization"]
 LOCATION_LABELS = ["Location"]
 
 # --- fixed values: sites ------------------------------------------------------------------------
-# profile: site, base URL, id prefix, defaults for missing location, company and contact, most pages
+# profile: site, base URL, id prefix, defaults for missing location, company and contact
 
 SITES = {
-    "cards": dict(site="VacancyMail", base_url="https://vacancymail.co.zw/jobs/?ordering=later", id_prefix="VM", location="N/A", company="N/A", contact="N/A", page_cap=None),
-    "headings": dict(site="Jobs Zimbabwe", base_url="https://jobszimbabwe.co.zw/", id_prefix="JZ", location="Zimbabwe", company="N/A", contact="Apply on Jobs Zimbabwe", page_cap=20),
-    "jsonld": dict(site="ZimboJobs", base_url="https://zimbojobs.com/", id_prefix="ZJ", location="Zimbabwe", company="ZimboJobs Employer", contact="Apply on ZimboJobs", page_cap=20),
-    "candidates": dict(site="VacancyBox", base_url="https://vacancybox.co.zw/", id_prefix="VB", location="Zimbabwe", company="VacancyBox Employer", contact="Apply on VacancyBox", page_cap=100),
-    "link_detail": dict(site="RecruitmentMatters", base_url="https://www.recruitmentmattersafrica.com/careers/", id_prefix="RM", location="N/A", company="N/A", contact="Apply on RecruitmentMatters", page_cap=100),
-    "cards_alt": dict(site="Jobs Zimbabwe", base_url="https://jobszimbabwe.co.zw/", id_prefix="ID", location="Zimbabwe", company="N/A", contact="Apply on Jobs Zimbabwe", page_cap=15),
-    "cards_alt_second": dict(site="Jobs Zimbabwe", base_url="https://zimbojobs.com/jobs", id_prefix="ID", location="Zimbabwe", company="N/A", contact="Apply on ZimboJobs", page_cap=15),
+    "cards": dict(site="VacancyMail", base_url="https://vacancymail.co.zw/jobs/?ordering=later", id_prefix="VM", location="N/A", company="N/A", contact="N/A"),
+    "headings": dict(site="Jobs Zimbabwe", base_url="https://jobszimbabwe.co.zw/", id_prefix="JZ", location="Zimbabwe", company="N/A", contact="Apply on Jobs Zimbabwe"),
+    "jsonld": dict(site="ZimboJobs", base_url="https://zimbojobs.com/", id_prefix="ZJ", location="Zimbabwe", company="ZimboJobs Employer", contact="Apply on ZimboJobs"),
+    "candidates": dict(site="VacancyBox", base_url="https://vacancybox.co.zw/", id_prefix="VB", location="Zimbabwe", company="VacancyBox Employer", contact="Apply on VacancyBox"),
+    "link_detail": dict(site="RecruitmentMatters", base_url="https://www.recruitmentmattersafrica.com/careers/", id_prefix="RM", location="N/A", company="N/A", contact="Apply on RecruitmentMatters"),
+    "cards_alt": dict(site="Jobs Zimbabwe", base_url="https://jobszimbabwe.co.zw/", id_prefix="ID", location="Zimbabwe", company="N/A", contact="Apply on Jobs Zimbabwe"),
+    "cards_alt_second": dict(site="Jobs Zimbabwe", base_url="https://zimbojobs.com/jobs", id_prefix="ID", location="Zimbabwe", company="N/A", contact="Apply on ZimboJobs"),
+}
+# limits that a site may set; none holds unless it is asked for
+LIMITS = {
+    "cards": dict(last_page=29),
+    "headings": dict(pages=20, last_page=29),
+    "jsonld": dict(generic=10, description=500, pages=20, last_page=29),
+    "candidates": dict(candidates=50, looked_up=5, links=20, title=80, description=400, pages=100, near_words=100, last_page=29),
+    "link_detail": dict(harvested=200, company=80, location=60, description=500, pages=100, last_page=29),
+    "cards_lenient": dict(last_page=49),
+    "cards_alt": dict(pages=15, last_page=49),
+    "cards_alt_second": dict(pages=15, last_page=49),
 }
-LAST_PAGE = 29
-LAST_PAGE_EARLIER = 49
 
 # Texts that stand in for missing values
 MISSING = "N/A"

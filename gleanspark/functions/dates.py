@@ -119,14 +119,11 @@ def expiry_label(day: Column) -> Column:
     return F.date_format(day, "'Expires' MMMM dd, yyyy")
 
 
-_POSTED = r"\s+([A-Za-z]+\s+\d{1,2},? \d{4})"
-
-
 def posted_text(text: Column) -> Column:
     """Date after "Posted on", else after "Posted"."""
     return F.coalesce(
-        extract_or_null(text, f"(?iU)Posted on{_POSTED}", 1),
-        extract_or_null(text, f"(?iU)Posted{_POSTED}", 1),
+        extract_or_null(text, f"(?iU)Posted on{fixed.POSTED_DATE}", 1),
+        extract_or_null(text, f"(?iU)Posted{fixed.POSTED_DATE}", 1),
     )
 
 
@@ -139,7 +136,7 @@ def listed_date_text(text: Column) -> Column:
 
 def detail_date_text(text: Column) -> Column:
     """First capitalised ``Month D, YYYY`` on a detail page."""
-    return extract_or_null(text, r"[A-Z][a-z]+ \d{1,2},? \d{4}")
+    return extract_or_null(text, fixed.DETAIL_DATE)
 
 
 def posted_expiry(posted: Column) -> Column:

@@ -34,6 +34,11 @@ def or_default(value: Column, default: str | Column) -> Column:
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
 
 
+def cut(text: Column, most: int | None) -> Column:
+    """The text, or its beginning where a limit is set."""
+    return text if most is None else truncate(text, most)
+
+
 def truncate(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 

@@ -14,6 +14,19 @@ def host(url: Column) -> Column:
     return F.lower(extract_or_null(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+def path(url: Column) -> Column:
+    """The path of a URL, a slash where there is none."""
+    found = extract_or_null(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.coalesce(found, F.lit("/"))
+
+
+def page_of(url: Column, step: int = 10) -> Column:
+    """The number of a listing page, from any form of its URL; 1 where the URL names none."""
+    offset = page_number(url, r"[?&]start=(\d+)")
+    found = F.coalesce(page_number(url, r"[?&]paged?=(\d+)"), page_number(url, fixed.PAGE_IN_PATH), F.floor(offset / step) + 1)
+    return F.coalesce(found, F.lit(1)).cast("int")
+
+
 def absolute_url(url: Column, origin: str) -> Column:
     """Host prefix for paths that start with a slash."""
     return F.when(url.startswith("/"), F.concat(F.lit(origin), url)).otherwise(url)
@@ -87,6 +100,11 @@ def resolve_url(base: str | Column, href: Column) -> Column:
     return let(F.struct(_split_url(href).alias("ref"), _split_url(base).alias("base")), choose)
 
 
+def without_fragment(url: Column) -> Column:
+    """The URL that a fetch asks for."""
+    return F.regexp_replace(url, "#.*$", "")
+
+
 def is_http(url: Column) -> Column:
     return url.rlike("^https?://")
 
@@ -111,16 +129,17 @@ def page_number(href: Column, pattern: str) -> Column:
 
 def page_label(text: Column) -> Column:
     """Number of the first ``Page 1,234`` in the text."""
-    label = F.regexp_extract(text, r"(?U)Page\s+[\d,]+", 0)
+    label = F.regexp_extract(text, fixed.PAGE_LABEL, 0)
     return number(F.replace(F.replace(label, F.lit("Page "), F.lit("")), F.lit(","), F.lit("")))
 
 
-def page_number_near_words(text: Column, reach: int = 50) -> Column:
-    """Largest number from 2 to 100 whose first occurrence has a paging word nearby."""
+def page_number_near_words(text: Column, reach: int = 50, most: int | None = None) -> Column:
+    """Largest number from 2, to ``most`` if given, whose first occurrence has a paging word nearby."""
 
     def largest(t: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\b(\d+)\b"), F.lit(1)))
-        in_range = F.filter(found, lambda n: n.try_cast("bigint").between(2, 100))
+        value = lambda n: n.try_cast("bigint")
+        in_range = F.filter(found, lambda n: (value(n) >= 2) & (F.lit(True) if most is None else value(n) <= most))
 
         def near(n: Column) -> Column:
             at = F.instr(t, n) - 1
@@ -132,9 +151,10 @@ def page_number_near_words(text: Column, reach: int = 50) -> Column:
     return let(text, largest)
 
 
-def frontier(total: Column, make_url, cap: int | None = None, last_page: int = fixed.LAST_PAGE) -> Column:
+def frontier(total: Column, make_url, cap: int | None = None, last_page: int | None = None) -> Column:
     """Pages still to fetch as ``array<struct<page_num, url>>``; empty if there is only one page."""
-    bound = F.least(total, F.lit(last_page if cap is None else min(cap, last_page)))
+    limits = [F.lit(x).cast("bigint") for x in (cap, last_page) if x is not None]
+    bound = F.least(total, *limits) if limits else total
     return F.transform(
         F.when(bound >= 2, F.sequence(F.lit(2).cast("bigint"), bound)).otherwise(
             F.array().cast("array<bigint>")

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.arrays import any_of, constant, first, let, words
 
-# Rules travel inside the plan, so their number must stay small.
-MAX_RULES = 5_000
 RULES_TYPE = "array<struct<category:string,ord:int,tier:string,keyword:string>>"
 
 
@@ -51,17 +49,15 @@ def first_match_rules() -> list[Rule]:
 
 
 def rules_from(table: DataFrame) -> list[Rule]:
-    """Rules of a table ``(category, ord, tier, keyword)``; refuses tables that are not small."""
-    rows = table.select(*Rule._fields).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return sorted((Rule(*row) for row in rows), key=lambda r: r.ord)
+    """Rules of a table ``(category, ord, tier, keyword)`` that travel inside the plan.
+
+    Meant for rules that people wrote; a table of any size goes to ``classify_by_table``.
+    """
+    return sorted((Rule(*row) for row in table.select(*Rule._fields).collect()), key=lambda r: r.ord)
 
 
 def _prepared(rules: list[Rule], fold_keywords: bool) -> list[Rule]:
     rules = [r for r in rules if r.keyword]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     if fold_keywords:
         return [r._replace(keyword=r.keyword.lower()) for r in rules]
     # texts are compared in lower case, so other keywords can never be found
@@ -141,7 +137,7 @@ def keyword_hits(
     fold_keywords: bool = False,
 ) -> Column:
     """Rules that apply, as ``array<struct<category, ord, tier, keyword, points>>``."""
-    rules = _prepared(rules or weighted_rules(), fold_keywords)
+    rules = _prepared(weighted_rules() if rules is None else rules, fold_keywords)
 
     def weigh(texts: Column) -> Column:
         weighed = F.transform(
@@ -160,7 +156,7 @@ def category_scores(
     fold_keywords: bool = False,
 ) -> Column:
     """Points of every category with a hit, as ``array<struct<category, ord, score>>``."""
-    rules = rules or weighted_rules()
+    rules = weighted_rules() if rules is None else rules
     categories = dict.fromkeys((r.category, r.ord) for r in rules)
     table = constant(
         [{"category": c, "ord": o} for c, o in categories], "array<struct<category:string,ord:int>>"
@@ -168,7 +164,7 @@ def category_scores(
 
     def total(hits: Column) -> Column:
         def of(category: Column) -> Column:
-            own = F.filter(hits, lambda h: h["ord"] == category["ord"])
+            own = F.filter(hits, lambda h: (h["ord"] == category["ord"]) & (h["category"] == category["category"]))
             score = F.aggregate(own, F.lit(0), lambda s, h: s + h["points"])
             return category.withField("score", F.when(F.size(own) > 0, score))
 
@@ -216,7 +212,7 @@ def first_match_category(
     fold_keywords: bool = False,
 ) -> Column:
     """First category, in rule order, with a keyword in any of the three texts."""
-    rules = _prepared(rules or first_match_rules(), fold_keywords)
+    rules = _prepared(first_match_rules() if rules is None else rules, fold_keywords)
 
     def earliest(texts: Column) -> Column:
         in_one_text = F.filter(
@@ -245,3 +241,29 @@ def classify(
     if "category" in df.columns:
         category = F.coalesce(F.col("category"), category)
     return df.withColumn("category", category)
+
+
+def classify_by_table(df: DataFrame, rules: DataFrame, key: str, fold_keywords: bool = False) -> DataFrame:
+    """``(key, category, score)`` by a table of rules of any size: the category with the most points, null without any.
+
+    A keyword meets the texts that hold its first three characters (an equi join), and is then looked for as a whole;
+    neither side is collected or broadcast by hint.
+    """
+    table = rules.select(*Rule._fields).filter((F.col("keyword") != "") & F.col("keyword").isNotNull())
+    lowered = F.lower("keyword")
+    table = table.withColumn("keyword", lowered) if fold_keywords else table.filter(F.col("keyword") == lowered)
+    table = table.withColumn("_gram", F.substring("keyword", 1, 3)).distinct()
+    texts = df.select(F.col(key).alias("_key"), _texts(F.col("title"), F.col("description"), F.col("company")).alias("_t"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("_t.all"), F.lit(1)))
+
+    def grams_of(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(F.col("_t.all"), i, F.lit(n)))
+
+    grams = [grams_of(n) for n in (1, 2, 3)]
+    met = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams)))).join(table, "_gram")
+    rule = F.struct(*Rule._fields)
+    points = met.withColumn("_points", F.when(F.contains(F.col("_t.all"), F.col("keyword")), _points(rule, F.col("_t"))))
+    scores = points.filter(F.col("_points").isNotNull()).groupBy("_key", "category", "ord").agg(F.sum("_points").alias("score"))
+    best = scores.filter("score > 0").groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("rank"), "ord", "category")).alias("best"))
+    found = texts.select("_key").join(best, "_key", "left")
+    return found.select(F.col("_key").alias(key), F.col("best.category").alias("category"), (-F.col("best.rank")).alias("score"))

@@ -1,9 +1,9 @@
 """Listings joined to the facts of their detail pages.
 
 Detail pages are read where they lie and reduced to a few short columns before anything is
-shuffled, so no HTML crosses the network. One row per URL is kept by a partial aggregation. The join
-itself is a plain equi join: with adaptive execution Spark broadcasts a side only after measuring
-it, and splits the partition of a URL that very many listings share.
+shuffled, so no HTML crosses the network. One row per URL is kept, and repeats are dropped before the
+shuffle too. The join itself is a plain equi join: with adaptive execution Spark broadcasts a side only
+after measuring it, and splits the partition of a URL that very many listings share.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.urls import without_fragment
 from .extract import detail_record
 from .nodes import shred
 
@@ -21,9 +23,12 @@ Contact = Callable[[Column], Column]
 
 
 def detail_facts(
-    details: DataFrame, contacts: dict[str, Contact], with_record: bool = False
+    details: DataFrame,
+    contacts: dict[str, Contact],
+    with_record: bool = False,
+    limits: dict[str, int] | None = None,
 ) -> DataFrame:
-    """``(detail_url, detail)`` with one row per URL (the lowest page id of several).
+    """``(detail_url, detail)`` with one row per URL (the lowest page id of several), fragments dropped.
 
     Each detail page is read once, however many profiles look it up: ``detail`` has a column per
     entry of ``contacts`` and, if asked for, the fields of a whole listing as ``record``.
@@ -31,33 +36,35 @@ def detail_facts(
     nodes = F.col("nodes")
     fields = {name: contact(nodes) for name, contact in contacts.items()}
     if with_record:
-        fields["record"] = detail_record(nodes)
+        fields["record"] = detail_record(nodes, limits)
     order = ["page_id"] if "page_id" in details.columns else []
     facts = (
         shred(details.select(*order, "url", "html"))
         .filter(F.col("url").isNotNull() & F.col("parse_error").isNull())
         .select(
-            F.col("url").alias("detail_url"),
+            without_fragment(F.col("url")).alias("detail_url"),
             *order,
             F.struct(*[c.alias(name) for name, c in fields.items()]).alias("detail"),
         )
     )
-    best = F.min_by("detail", F.struct(*order) if order else F.struct("detail"))
-    return facts.groupBy("detail_url").agg(best.alias("detail"))
+    # a rank of one is cut off on both sides of the shuffle
+    ranked = W.partitionBy("detail_url").orderBy(*(order or ["detail"]))
+    return facts.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").select("detail_url", "detail")
 
 
 def lookup(listings: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
-    """Listings with ``detail``, matched on ``detail_url``.
+    """Listings with ``detail``, matched on ``detail_url`` without its fragment.
 
     Listings without a URL find nothing; they get keys of their own, so that they spread over all
-    partitions instead of meeting in the one for null.
+    partitions instead of meeting in the one for null. The key is a new value on both sides, so the join
+    has shuffles of its own and Spark can split a partition of them: it cannot split one that is already
+    dealt out for something else.
     """
-    if how == "inner":
-        return listings.join(facts, "detail_url", "inner")
     spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("page_id", "pos"), F.lit(4096)))
-    keyed = listings.withColumn("_key", F.coalesce(F.col("detail_url"), spread))
-    facts = facts.withColumnRenamed("detail_url", "_key")
-    return keyed.join(facts, "_key", "left").drop("_key")
+    key = F.concat(F.lit("@"), without_fragment(F.col("detail_url")))
+    keyed = listings.withColumn("_key", key if how == "inner" else F.coalesce(key, spread))
+    facts = facts.select(F.concat(F.lit("@"), "detail_url").alias("_key"), "detail")
+    return keyed.join(facts, "_key", how).drop("_key")
 
 
 def enrich(

@@ -1,11 +1,13 @@
 """Listings of a page, as arrays of structs computed inside the page's own row.
 
 Every extractor maps the node array of a page to ``array<struct<ROW>>``. Positions are numbered
-before rows are dropped, caps are counted after, and no step needs a shuffle.
+before rows are dropped, and no step needs a shuffle. A page gives all its listings and whole texts;
+limits are settings of a site (``site["limits"]``, none by default) and are counted after rows are dropped.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import dates
 from ..functions.arrays import any_of, first, first_by, let
-from ..functions.text import lead_lines, lines, or_default, py_strip, split_title, truncate
+from ..functions.text import cut, lead_lines, lines, or_default, py_strip, split_title
 from ..functions.urls import href_hint, is_http, resolve_url
 from . import nodes as N
 
@@ -41,6 +43,15 @@ def row(**values: Column) -> Column:
     return F.struct(*fields)
 
 
+def limit(site: dict, name: str) -> int | None:
+    """A limit that the site sets; None where it sets none."""
+    return site.get("limits", {}).get(name)
+
+
+def _first_rows(rows: Column, most: int | None) -> Column:
+    return rows if most is None else F.slice(rows, 1, most)
+
+
 def none() -> Column:
     return F.array().cast(f"array<{ROW}>")
 
@@ -59,7 +70,7 @@ def first_alternative(*choices: Column) -> Column:
 def place(text: Column, places: list[str] = fixed.PLACES, whole_word: bool = True) -> Column:
     """First place of the list, in list order, that the text names; null without one."""
     if whole_word:
-        named = [F.when(text.rlike(rf"(?iU)\b{p}\b"), F.lit(p)) for p in places]
+        named = [F.when(text.rlike(rf"(?iU)\b{re.escape(p)}\b"), F.lit(p)) for p in places]
         return F.coalesce(*named)
     return let(
         F.lower(text),
@@ -67,9 +78,10 @@ def place(text: Column, places: list[str] = fixed.PLACES, whole_word: bool = Tru
     )
 
 
-def labelled_field(text: Column, labels: list[str], most: int) -> Column:
-    """Value after ``Label:`` on the same line, at most ``most`` characters; null without one."""
-    pattern = rf"(?iU)(?:{'|'.join(labels)})\s*[:\-]\s*([^\n\r]{{2,{most}}})"
+def labelled_field(text: Column, labels: list[str], most: int | None = None) -> Column:
+    """Value after ``Label:`` on the same line, cut at ``most`` characters if given; null without one."""
+    longest = "" if most is None else most
+    pattern = rf"(?iU)(?:{'|'.join(labels)})\s*[:\-]\s*([^\n\r]{{2,{longest}}})"
     return py_strip(dates.extract_or_null(text, pattern, 1))
 
 
@@ -205,7 +217,10 @@ def _is_posting(value: Column) -> Column:
 
 
 def json_values(nodes: Column) -> Column:
-    """Embedded JSON-LD scripts as variants; null where a script is not valid JSON."""
+    """Embedded JSON-LD scripts as variants; null where a script is not valid JSON.
+
+    Of a repeated key the last value counts, by the session setting that ``shred`` makes.
+    """
     return F.transform(N.json_ld(nodes), lambda t: F.try_parse_json(t))
 
 
@@ -239,9 +254,7 @@ def jsonld(nodes: Column, site: dict) -> Column:
                 location=F.when(locality.isNull(), F.lit(site["location"])).otherwise(
                     _variant(v, "$.jobLocation.address.addressLocality", "string")
                 ),
-                description=truncate(
-                    string_or(v, "$.description", fixed.JSONLD_DESCRIPTION), 500
-                ),
+                description=string_or(v, "$.description", fixed.JSONLD_DESCRIPTION),
             ),
         )
 
@@ -252,18 +265,13 @@ def jsonld(nodes: Column, site: dict) -> Column:
     )
 
 
-def generic(nodes: Column, site: dict, cap: int = 10) -> Column:
+def generic(nodes: Column, site: dict) -> Column:
     """Any element that looks like a job: first line as title, no expiry."""
     kinds = [
-        N.select(nodes, "div", matches={"class": "(?i)job|listing|card|item"}),
-        N.select(nodes, "article"),
-        N.select(nodes, "li"),
-        N.select(nodes, "div", has="data-job"),
-        N.select(nodes, "div", matches={"id": "(?i)job"}),
-        N.select(nodes, "a", matches={"href": "(?i)job|vacancy"}),
+        N.select(nodes, tag, has=has, matches=matches) for tag, has, matches in fixed.GENERIC_ELEMENTS
     ]
     texts = F.transform(F.concat(*kinds), lambda n: N.joined_text(nodes, n))
-    kept = F.slice(F.filter(texts, looks_like_job), 1, cap)
+    kept = _first_rows(F.filter(texts, looks_like_job), limit(site, "generic"))
 
     def read(t: Column, i: Column) -> Column:
         return row(
@@ -294,12 +302,8 @@ def jsonld_or_placeholder(nodes: Column, site: dict) -> Column:
 
 def candidate_nodes(nodes: Column) -> Column:
     """Elements found by ten selectors in selector order, then parents of job-like links."""
-    lists = N.select(nodes, "ul", "jobs")
-    items = let(
-        lists,
-        lambda uls: F.filter(
-            N.select(nodes, "li"), lambda li: F.exists(uls, lambda ul: N.inside(li, ul))
-        ),
+    items = F.filter(
+        N.select(nodes, "li"), lambda li: N.ancestor(nodes, li, "ul", "jobs").isNotNull()
     )
     linked = F.filter(N.select(nodes, "a", has="href"), lambda a: href_hint(N.attr(a, "href")))
     return F.concat(
@@ -318,13 +322,13 @@ def candidate_nodes(nodes: Column) -> Column:
 
 
 def unique_candidates(nodes: Column) -> Column:
-    """Candidates with text, the first for each 200-character beginning: ``struct<node, text>``."""
+    """Candidates with text, the first for each text: ``struct<node, text>``."""
     # an element found twice has the same text, so dropping repeats first saves reading it again
     elements = first_by(candidate_nodes(nodes), lambda n: n["pre"])
     read = F.transform(
         elements, lambda n: F.struct(n.alias("node"), N.joined_text(nodes, n, " ").alias("text"))
     )
-    return first_by(F.filter(read, lambda c: c["text"] != ""), lambda c: truncate(c["text"], 200))
+    return first_by(F.filter(read, lambda c: c["text"] != ""), lambda c: c["text"])
 
 
 def company_near(nodes: Column, element: Column, default: str) -> Column:
@@ -347,8 +351,12 @@ def company_near(nodes: Column, element: Column, default: str) -> Column:
     )
 
 
-def candidates(nodes: Column, site: dict, cap: int = 50, enriched: int = 5) -> Column:
-    """Job-like elements; only the first few of a page are looked up."""
+def candidates(nodes: Column, site: dict) -> Column:
+    """Job-like elements, all of them looked up unless the site limits that.
+
+    Limits: ``title`` characters of a text that stands for a title, ``candidates`` rows, ``looked_up`` rows.
+    """
+    title_most, looked_up = limit(site, "title"), limit(site, "looked_up")
 
     def locate(c: Column, i: Column) -> Column:
         link = first(N.select(N.descendants(nodes, c["node"]), "a", has="href"))
@@ -364,7 +372,7 @@ def candidates(nodes: Column, site: dict, cap: int = 50, enriched: int = 5) -> C
             N.select(N.descendants(nodes, c["node"]), ["h1", "h2", "h3", "h4"])
         )
         title = F.when(c["link"].isNotNull(), N.joined_text(nodes, c["link"], " ")).otherwise(
-            F.coalesce(N.joined_text(nodes, heading, " "), truncate(c["text"], 80))
+            F.coalesce(N.joined_text(nodes, heading, " "), cut(c["text"], title_most))
         )
         url = F.when(
             c["link"].isNotNull(),
@@ -383,20 +391,25 @@ def candidates(nodes: Column, site: dict, cap: int = 50, enriched: int = 5) -> C
             location=F.coalesce(place(c["text"], whole_word=False), F.lit(site["location"])),
             expiry_text=dates.expiry_label(expiry),
             expiry_date=expiry,
-            description=truncate(c["text"], 400),
+            description=c["text"],
             job_url=c["url"],
-            detail_url=F.when(i < enriched, c["url"]),
+            detail_url=c["url"] if looked_up is None else F.when(i < looked_up, c["url"]),
         )
 
     named = F.transform(F.transform(unique_candidates(nodes), locate), name)
     # one row per URL before short titles are dropped; rows without a URL all stay
     by_url = first_by(named, lambda c: F.coalesce(c["url"], F.concat(F.lit("#"), c["pos"])))
-    kept = F.slice(F.filter(by_url, lambda c: F.length(c["title"]) >= 3), 1, cap)
+    kept = _first_rows(min_title(by_url), limit(site, "candidates"))
     return F.transform(kept, finish)
 
 
-def link_fallback(nodes: Column, site: dict, cap: int = 20) -> Column:
-    """The first job links of a page, with constants for all other fields."""
+def min_title(rows: Column, least: int = 3) -> Column:
+    """Rows whose title has at least ``least`` characters."""
+    return F.filter(rows, lambda c: F.length(c["title"]) >= least)
+
+
+def link_fallback(nodes: Column, site: dict) -> Column:
+    """The job links of a page, with constants for all other fields."""
     links = F.filter(
         N.select(nodes, "a", has="href"), lambda a: F.contains(N.attr(a, "href"), F.lit("/job/"))
     )
@@ -411,7 +424,7 @@ def link_fallback(nodes: Column, site: dict, cap: int = 20) -> Column:
             job_url=resolve_url(site["base_url"], N.attr(a, "href")),
         )
 
-    return F.transform(F.slice(links, 1, cap), read)
+    return F.transform(_first_rows(links, limit(site, "links")), read)
 
 
 def candidates_or_links(nodes: Column, site: dict) -> Column:
@@ -448,7 +461,7 @@ def second_pass_links(nodes: Column, base: str) -> Column:
     """URLs of JSON-LD postings, single or in a list."""
 
     def of(v: Column, *names: str) -> Column:
-        values = [F.nullif(_variant(v, f"$.{n}", "string"), F.lit("")) for n in names]
+        values = [F.nullif(F.when(_is_string(_variant(v, f"$.{n}")), _variant(v, f"$.{n}", "string")), F.lit("")) for n in names]
         title = F.nullif(_variant(v, "$.title", "string"), F.lit(""))
         return F.when(
             _is_object(v) & _is_posting(v),
@@ -481,7 +494,7 @@ def third_pass_links(anchors: Column, base: str) -> Column:
     return _links(base, F.filter(anchors, fits))
 
 
-def harvest_links(nodes: Column, site: dict, cap: int = 200, few: int = 5) -> Column:
+def harvest_links(nodes: Column, site: dict, few: int = 5) -> Column:
     """Links to detail pages in three passes, as ``array<struct<url, text>>``, first per URL."""
     base = site["base_url"]
 
@@ -496,7 +509,7 @@ def harvest_links(nodes: Column, site: dict, cap: int = 200, few: int = 5) -> Co
         return let(two, add_third)
 
     found = let(N.anchors(nodes), passes)
-    return F.slice(first_by(found, lambda a: a["url"]), 1, cap)
+    return _first_rows(first_by(found, lambda a: a["url"]), limit(site, "harvested"))
 
 
 def harvested(nodes: Column, site: dict) -> Column:
@@ -507,21 +520,22 @@ def harvested(nodes: Column, site: dict) -> Column:
     )
 
 
-def detail_record(nodes: Column) -> Column:
+def detail_record(nodes: Column, limits: dict[str, int] | None = None) -> Column:
     """Title, company, location, expiry and description of a detail page; null where not found."""
+    limits = limits or {}
     heading = first(N.select(nodes, ["h1", "h2", "h3"]))
     meta = N.meta_content(nodes, [("property", "og:site_name"), ("name", "author")])
 
     def labelled(text: Column) -> Column:
         return F.struct(
-            labelled_field(text, fixed.COMPANY_LABELS, 80).alias("company"),
-            labelled_field(text, fixed.LOCATION_LABELS, 60).alias("location"),
+            labelled_field(text, fixed.COMPANY_LABELS, limits.get("company")).alias("company"),
+            labelled_field(text, fixed.LOCATION_LABELS, limits.get("location")).alias("location"),
             dates.posted_expiry(dates.detail_date_text(text)).alias("expiry_date"),
         )
 
     def finish(found: Column) -> Column:
         company = F.coalesce(found["company"], py_strip(F.nullif(meta, F.lit(""))))
-        description = truncate(N.joined_text(nodes, content_block(nodes), " "), 500)
+        description = N.joined_text(nodes, content_block(nodes), " ")
         return F.struct(
             F.nullif(N.joined_text(nodes, heading), F.lit("")).alias("title"),
             company.alias("company"),

@@ -32,7 +32,9 @@ def shred(pages: DataFrame) -> DataFrame:
 
     Select only the columns needed later: they all cross to the Python worker and back. Results are
     cut into batches by node count, so a batch of very large pages cannot grow without bound.
+    Variants read from the nodes later keep the last of repeated JSON keys (a session setting).
     """
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [f for f in pages.schema.fields if f.name != "html"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
     schema = ", ".join([*fields, f"nodes {NODE_TYPE}", "parse_error string"])
@@ -99,15 +101,21 @@ def parent(nodes: Column, node: Column) -> Column:
     return F.get(nodes, node["parent"])
 
 
-def ancestor(nodes: Column, node: Column, tag: str) -> Column:
-    """Nearest element of that tag above ``node``, or null."""
+def ancestor(nodes: Column, node: Column, tag: str, cls: str | None = None) -> Column:
+    """Nearest element of that tag (and class) above ``node``, or null. Takes as many steps as the node is deep."""
+
+    def fits(a: Column) -> Column:
+        test = a["tag"] == tag
+        return test if cls is None else test & F.coalesce(has_class(a, cls), F.lit(False))
 
     def nearest(n: Column) -> Column:
-        above = F.filter(
-            F.slice(nodes, F.lit(1), n["pre"]),
-            lambda a: (a["tag"] == tag) & (a["post"] > n["post"]),
-        )
-        return F.try_element_at(above, F.lit(-1))
+        # up the parents, and no further once the tag is found
+        def up(at: Column, _: Column) -> Column:
+            return F.when(at.isNull() | fits(at), at).otherwise(parent(nodes, at))
+
+        steps = F.sequence(F.lit(1), F.greatest(n["depth"], F.lit(1)))
+        found = F.aggregate(steps, parent(nodes, n), up)
+        return F.when(fits(found), found)
 
     return let(node, nearest)
 

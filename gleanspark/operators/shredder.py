@@ -148,7 +148,14 @@ class NodeReader(HTMLParser):
     def _split_text(self, _):
         self._flush()
 
-    handle_comment = handle_decl = handle_pi = unknown_decl = _split_text
+    def unknown_decl(self, data):
+        """A marked section: the text of CDATA is page text, as a string of its own."""
+        self._flush()
+        if data[:6].upper() == "CDATA[":
+            self.pending.append(data[6:])
+            self._flush()
+
+    handle_comment = handle_decl = handle_pi = _split_text
 
 
 def shred_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.dates import is_current
-from ..functions.text import clean_text
+from ..functions.text import clean_text, cut
 from ..functions.urls import frontier as still_to_fetch
+from ..functions.urls import page_of
 from ..operators import enrich
 from ..operators.classify import CLASSIFIERS
 from ..operators.nodes import shred
@@ -77,11 +78,15 @@ def with_details(
     default = _by_site(profiles, lambda p: p.default_contact)
     found_by = list(dict.fromkeys(p.contact for p in profiles if p.contact))
     if details is None or not found_by:
-        return raw.withColumn("apply_email", default)
+        made = [p.name for p in profiles if p.detail_record]
+        return raw.filter(~F.col("site").isin(*made)).withColumn("apply_email", default)
     names = {contact: f"contact_{i}" for i, contact in enumerate(found_by)}
     from_detail = [p for p in profiles if p.detail_record]
     facts = enrich.detail_facts(
-        details, {name: contact for contact, name in names.items()}, bool(from_detail)
+        details,
+        {name: contact for contact, name in names.items()},
+        bool(from_detail),
+        from_detail[0].limits if from_detail else None,
     )
     # the URL is only a key for profiles that look their listings up
     key = _by_site(profiles, lambda p: F.col("detail_url") if p.contact else F.lit(None))
@@ -105,7 +110,7 @@ def with_details(
 
 
 def finish(raw: DataFrame, profiles: list[SiteProfile], as_of: str) -> DataFrame:
-    """Classify, clean, number and name the columns."""
+    """Classify the texts as found, clean and cut them, number the rows and name the columns."""
     texts = ["title", "company", "location", "expiry_text", "description"]
     raw = raw.withColumns({c: F.coalesce(F.col(c), F.lit(fixed.MISSING)) for c in texts})
     title, description, company = F.col("title"), F.col("description"), F.col("company")
@@ -116,9 +121,15 @@ def finish(raw: DataFrame, profiles: list[SiteProfile], as_of: str) -> DataFrame
     }
     category = _by_site(profiles, lambda p: classifiers[p.classifier])
     prefix = _by_site(profiles, lambda p: p.id_prefix)
+
+    def cut_by_site(name: str) -> Column:
+        if name != "description" or not any(p.limits.get(name) for p in profiles):
+            return F.col(name)
+        return _by_site(profiles, lambda p: cut(F.col(name), p.limits.get(name)))
+
     return raw.select(
         record_id(prefix, F.col("page_num"), F.col("pos"), as_of).alias("id"),
-        *[clean_text(F.col(c)).alias(c) for c in texts],
+        *[clean_text(cut_by_site(c)).alias(c) for c in texts],
         F.coalesce(F.col("category"), category).alias("category"),
         _by_site(profiles, lambda p: p.site).alias("source_site"),
         "apply_email",
@@ -156,20 +167,42 @@ def run(
     profiles: list[str] | None = None,
     first_page_only: bool = False,
 ) -> DataFrame:
-    """All sites in one plan; optionally only the first page of each."""
+    """All sites in one plan; optionally only the first page of each.
+
+    ``pages`` has ``url, html``. What it lacks of ``page_id``, ``site`` and ``page_num`` is filled in: a hash of
+    the URL, the profile that reads it, and the page number that it names.
+    """
     registry = registry or Registry()
     chosen = [registry[n] for n in profiles] if profiles else registry.current()
+    pages = routed(pages, registry, chosen)
     return extract(first_pages(pages) if first_page_only else pages, chosen, as_of, details)
 
 
+def routed(pages: DataFrame, registry: Registry, profiles: list[SiteProfile]) -> DataFrame:
+    """Pages with ``page_id, site, page_num``; those that are there stay."""
+    url = F.col("url")
+    filled = {
+        "page_id": lambda: F.xxhash64(url),
+        "site": lambda: registry.of_url(url, profiles),
+        "page_num": lambda: page_of(url),
+    }
+    return pages.withColumns({n: make() for n, make in filled.items() if n not in pages.columns})
+
+
+def rejected(pages: DataFrame) -> DataFrame:
+    """Pages that cannot be read, listing or detail pages, with the reason: ``(page_id, url, parse_error)``."""
+    found = shred(pages.select("page_id", "url", "html"))
+    return found.filter(F.col("parse_error").isNotNull()).select("page_id", "url", "parse_error")
+
+
 def frontier(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     """Pages still to fetch, from the first listing page of a site: ``(page_id, page_num, url)``."""
     base = F.lit(profile.base_url)
     todo = still_to_fetch(
         profile.total_pages(F.col("nodes")),
         lambda n: profile.page_url(base, n),
-        profile.page_cap,
-        profile.last_page,
+        profile.limits.get("pages"),
+        profile.limits.get("last_page"),
     )
     return shred(pages.select("page_id", "html")).select("page_id", F.inline(todo))
 
@@ -181,11 +214,10 @@ def max_page(pages: DataFrame, profile: SiteProfile) -> DataFrame:
 
 
 def quarantine(pages: DataFrame, profile: SiteProfile, most: int = 1) -> DataFrame:
-    """Pages with hardly any usable link, with their HTML, to be looked at."""
-    kept = pages.select("page_id", "url", "html", F.col("html").alias("page_html"))
-    found = F.size(profile.rows(F.col("nodes")))
-    return (
-        shred(kept)
-        .select("page_id", "url", F.col("page_html").alias("html"), found.alias("n_links"))
-        .filter(F.col("n_links") <= most)
-    )
+    """Pages with hardly any usable link, with their HTML, to be looked at.
+
+    Only the numbers of the few pages found are joined back to the pages.
+    """
+    counted = shred(pages.select("page_id", "html")).select("page_id", F.size(profile.rows(F.col("nodes"))).alias("n_links"))
+    few = counted.filter(F.col("n_links") <= most).groupBy("page_id").agg(F.min("n_links").alias("n_links"))
+    return pages.select("page_id", "url", "html").join(few, "page_id")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ class SiteProfile:
 
     ``rows`` maps the nodes of a listing page to listings, ``total_pages`` to the number of pages,
     and ``contact`` maps the nodes of a detail page to an address. Without ``contact`` no detail page
-    is looked up; with ``detail_record`` the detail page makes the whole listing.
+    is looked up; with ``detail_record`` the detail page makes the whole listing. ``limits`` cut rows,
+    characters and page numbers (``fixed.LIMITS`` has those of the built-in sites); without them all are kept.
     """
 
     name: str
@@ -36,13 +38,16 @@ class SiteProfile:
     filter_current: bool = False
     on_unparsed: str = "drop"
     classifier: str = "weighted"
-    page_cap: int | None = None
-    last_page: int = fixed.LAST_PAGE
+    limits: dict[str, int] = field(default_factory=dict)
 
     @property
     def host(self) -> str:
         return self.base_url.split("/")[2]
 
+    @property
+    def base_path(self) -> str:
+        return "/" + self.base_url.split("?")[0].split("/", 3)[3].rstrip("/")
+
     def with_(self, **changes) -> SiteProfile:
         return replace(self, **changes)
 
@@ -60,23 +65,26 @@ def _linked(nodes: Column) -> Column:
     return emails.link_or_text_email(hrefs, N.page_text(nodes, " "))
 
 
-def _profile(name: str, rows: extract.Extractor, site: dict | None = None, **options) -> SiteProfile:
-    values = site or fixed.SITES[name]
+def _profile(limits: dict, name: str, rows: extract.Extractor, site: dict | None = None, **options) -> SiteProfile:
+    values = {**(site or fixed.SITES[name]), "limits": limits.get(name, {})}
     return SiteProfile(
         name=name,
         site=values["site"],
         base_url=values["base_url"],
         id_prefix=values["id_prefix"],
         default_contact=values["contact"],
-        page_cap=values["page_cap"],
+        limits=values["limits"],
         rows=lambda nodes: rows(nodes, values),
         **options,
     )
 
 
-def builtin_profiles() -> dict[str, SiteProfile]:
-    """The five current profiles and the three earlier ones."""
-    early = dict(last_page=fixed.LAST_PAGE_EARLIER, classifier="first")
+def builtin_profiles(limits: dict[str, dict[str, int]] | None = None) -> dict[str, SiteProfile]:
+    """The five current profiles and the three earlier ones; ``limits`` by profile, such as ``fixed.LIMITS``."""
+    limits = limits or {}
+    make = partial(_profile, limits)
+    early = dict(classifier="first")
+    in_text = partial(pagination.in_links_and_text, near_words=limits.get("candidates", {}).get("near_words"))
     early_cards = {**fixed.SITES["cards"], "expiry_mode": "lenient"}
     alt = dict(
         total_pages=pagination.in_np_block,
@@ -84,7 +92,7 @@ def builtin_profiles() -> dict[str, SiteProfile]:
         **early,
     )
     profiles = [
-        _profile(
+        make(
             "cards",
             extract.cards,
             total_pages=pagination.in_pagination,
@@ -92,7 +100,7 @@ def builtin_profiles() -> dict[str, SiteProfile]:
             contact=_plain,
             filter_current=True,
         ),
-        _profile(
+        make(
             "headings",
             extract.headings,
             total_pages=pagination.in_links_and_label,
@@ -100,20 +108,20 @@ def builtin_profiles() -> dict[str, SiteProfile]:
             contact=_plain,
             filter_current=True,
         ),
-        _profile(
+        make(
             "jsonld",
             extract.jsonld_or_placeholder,
             total_pages=pagination.in_links,
             page_url=urls.query_url,
         ),
-        _profile(
+        make(
             "candidates",
             extract.candidates_or_links,
-            total_pages=pagination.in_links_and_text,
+            total_pages=in_text,
             page_url=urls.path_url,
             contact=_in_context,
         ),
-        _profile(
+        make(
             "link_detail",
             extract.harvested,
             total_pages=pagination.in_links_by_path_or_parameter,
@@ -121,7 +129,7 @@ def builtin_profiles() -> dict[str, SiteProfile]:
             contact=_linked,
             detail_record=True,
         ),
-        _profile(
+        make(
             "cards_lenient",
             extract.cards,
             early_cards,
@@ -132,8 +140,8 @@ def builtin_profiles() -> dict[str, SiteProfile]:
             on_unparsed="keep",
             **early,
         ),
-        _profile("cards_alt", extract.cards_alt, **alt),
-        _profile("cards_alt_second", extract.cards_alt, **alt),
+        make("cards_alt", extract.cards_alt, **alt),
+        make("cards_alt_second", extract.cards_alt, **alt),
     ]
     return {p.name: p for p in profiles}
 
@@ -156,5 +164,13 @@ class Registry:
     def __iter__(self):
         return iter(self._profiles.values())
 
+    def of_url(self, url: Column, profiles: list[SiteProfile]) -> Column:
+        """The profile that reads a page: its host, then the longest base path the URL begins with; null for none."""
+        chosen = F.lit(None).cast("string")
+        for profile in sorted(reversed(profiles), key=lambda p: len(p.base_path)):
+            fits = (urls.host(url) == profile.host) & F.startswith(urls.path(url), F.lit(profile.base_path))
+            chosen = F.when(fits, F.lit(profile.name)).otherwise(chosen)
+        return chosen
+
     def current(self) -> list[SiteProfile]:
         return [self._profiles[name] for name in CURRENT if name in self._profiles]

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.urls import host
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan of few files.
-
-    Reading HTML is the costly step, and a small table may arrive in one partition. A table with
-    at least as many partitions as cores is left alone, so large inputs are never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table of pages."""
     return spark.read.parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +19,6 @@ CSV_WRITE = {
 CSV_READ = {"header": True, "escape": '"', "multiLine": True}
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a local one where there is no cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gleanspark-")
-
-
 def fill_missing(df: DataFrame) -> DataFrame:
     return df.fillna(fixed.MISSING)
 
@@ -60,19 +49,46 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def write_snapshot(df: DataFrame, out: str, run_ts: str) -> bool:
+def write_quarantine(df: DataFrame, path: str, run_ts: str) -> None:
+    """Write the pages set aside by a run, with their HTML, as JSON lines of their own folder."""
+    df.write.mode("overwrite").json(f"{path}/run_ts={run_ts}")
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a folder, whatever its store, and the folder in it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _replace(spark: SparkSession, new: str, old: str) -> None:
+    """Put a folder that is completely written in the place of another."""
+    system, target = _folder(spark, old)
+    system.delete(target, True)
+    system.mkdirs(target.getParent())
+    if not system.rename(_folder(spark, new)[1], target):
+        raise OSError(f"{new} could not be renamed to {old}")
+
+
+def write_snapshot(df: DataFrame, out: str, run_ts: str, scratch: str) -> bool:
     """Write a timed snapshot, then the latest copy; nothing at all if there are no listings.
 
-    The listings are computed once, into a Parquet table in the shared folder that all four copies
-    are written from, so a lost executor repeats a read and not the extraction.
+    The listings are computed once, into a table in ``scratch`` (a folder that all executors share) from which
+    all copies are written; it goes at the end. A latest copy is written beside the old one and takes its place when
+    it is complete.
     """
     spark = df.sparkSession
-    table = f"{scratch_folder(spark)}/records-{run_ts}-{uuid.uuid4().hex}"
-    df.write.parquet(table)
-    stored = spark.read.schema(df.schema).parquet(table)
-    if stored.isEmpty():
-        return False
-    for folder in (f"run_ts={run_ts}", "latest"):
-        write_csv(stored, f"{out}/csv/{folder}")
-        write_json(stored, f"{out}/json/{folder}")
-    return True
+    name = uuid.uuid4().hex
+    table = f"{scratch}/records-{run_ts}-{name}"
+    system, folder = _folder(spark, table)
+    try:
+        df.write.parquet(table)
+        stored = spark.read.schema(df.schema).parquet(table)
+        if stored.isEmpty():
+            return False
+        for kind, write in (("csv", write_csv), ("json", write_json)):
+            write(stored, f"{out}/{kind}/run_ts={run_ts}")
+            write(stored, f"{out}/{kind}/_new-{name}")
+            _replace(spark, f"{out}/{kind}/_new-{name}", f"{out}/{kind}/latest")
+        return True
+    finally:
+        system.delete(folder, True)

@@ -20,7 +20,7 @@ def page_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listing_stream(pages: DataFrame, profiles: list[SiteProfile], as_of: str) -> DataFrame:
-    """Finished listings with the contact defaults of their sites."""
+    """Finished listings with the contact defaults of their sites; links that only a detail page would make a listing are left out."""
     return listings.extract(pages, profiles, as_of)
 
 

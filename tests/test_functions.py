@@ -119,6 +119,8 @@ def test_page_numbers(spark):
     near = ["see page 7", "7 " + "x" * 60 + " page 9 7", "101 pages", "1 page", "« 3", ""]
     got = values(spark, near, urls.page_number_near_words(F.col("t")))
     # the first 7 of the second text is too far from the word, and later ones do not count
+    assert [g[0] for g in got] == [7, 9, 101, None, 3, None]
+    got = values(spark, near, urls.page_number_near_words(F.col("t"), most=100))
     assert [g[0] for g in got] == [7, 9, None, None, 3, None]
 
 
@@ -216,9 +218,21 @@ def test_rules_as_parameter(spark):
     rules = spark.createDataFrame([("B", 1, "primary", "x"), ("A", 0, "primary", "x")], "category string, ord int, tier string, keyword string")
     category = C.weighted_category(F.lit("an x"), F.lit(""), F.lit(""), C.rules_from(rules))
     assert spark.range(1).select(category.alias("c")).first().c == "A"
-    many = spark.range(C.MAX_RULES + 1).selectExpr("'c' category", "0 ord", "'any' tier", "cast(id as string) keyword")
-    with pytest.raises(ValueError):
-        C.rules_from(many)
+    assert spark.range(1).select(C.weighted_category(F.lit("a nurse"), F.lit(""), F.lit(""), []).alias("c")).first().c == "Other"
+    shared = [C.Rule("A", 0, "primary", "nurse"), C.Rule("B", 0, "primary", "zebra")]
+    scores = C.category_scores(F.lit("a nurse"), F.lit(""), F.lit(""), shared)
+    assert [tuple(x) for x in spark.range(1).select(scores.alias("s")).first().s] == [("A", 0, 10)]
+
+
+def test_rules_by_table(spark):
+    """As the rules of the plan, whatever their number, keywords shorter than three characters included."""
+    rules = [C.Rule("A", 0, "primary", "xy"), C.Rule("B", 1, "secondary", "nurse"), C.Rule("C", 2, "company", "firm"), C.Rule("A", 0, "exclusion", "not")]
+    rules += [C.Rule("D", 3, "primary", f"word{i}") for i in range(6000)]
+    texts = [(0, "xy nurse", "not", ""), (1, "", "a nurse", "the firm"), (2, None, None, None), (3, "word5999", "", "firm"), (4, "x", "y", "z")]
+    df = spark.createDataFrame(texts, "k int, title string, description string, company string")
+    table = spark.createDataFrame(rules, "category string, ord int, tier string, keyword string")
+    got = {r.k: (r.category, r.score) for r in C.classify_by_table(df, table, "k").collect()}
+    assert got == {0: ("A", 7), 1: ("C", 5), 2: (None, None), 3: ("D", 10), 4: (None, None)}
 
 
 def test_scores_like_a_plain_loop(spark):

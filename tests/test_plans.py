@@ -4,12 +4,15 @@ import os
 
 from pyspark.sql import functions as F
 
+from gleanspark import fixed
 from gleanspark.catalog import rendered, sites
 from gleanspark.operators import enrich, reports
+from gleanspark.operators import extract as X
+from gleanspark.operators import nodes as N
 from gleanspark.operators.classify import classify
 from gleanspark.operators.nodes import shred
 from gleanspark.plans import listings as L
-from gleanspark.plans.profiles import CURRENT, Registry
+from gleanspark.plans.profiles import CURRENT, Registry, builtin_profiles
 from gleanspark.sources import pages as P
 from gleanspark.sources import sinks
 from gleanspark.streaming import pages as S
@@ -51,13 +54,6 @@ def test_top_k(spark):
     assert "TakeOrderedAndProject" in plan(reports.count_by(spark.range(9), "id", top=5))
 
 
-def test_small_scans_are_spread_and_large_ones_left_alone(spark):
-    scan = P.scan_pages(spark, f"{SF}/pages.parquet")
-    assert P.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64)
-    assert P.spread(many) is many
-
-
 def test_hot_detail_url_is_split(spark):
     """A third of all listings share one URL, another third have none; the hot partition is split."""
     changed = {
@@ -76,17 +72,21 @@ def test_hot_detail_url_is_split(spark):
             "CASE id % 3 WHEN 0 THEN 'u0' WHEN 1 THEN concat('u', id) END AS detail_url",
             "concat('text of ', id) AS title",
         )
-        facts = spark.range(60_000).selectExpr(
-            "concat('u', id) AS detail_url", "named_struct('apply_email', concat('e', id)) AS detail"
+        # each page twice, one of them with a fragment; the first counts
+        details = spark.range(0, 6_000, 1, 8).selectExpr(
+            "id AS page_id",
+            "concat('u', id % 3000, CASE WHEN id >= 3000 THEN '#x' ELSE '' END) AS url",
+            "concat('<p>e', id, '@x.com</p>') AS html",
         )
+        facts = enrich.detail_facts(details, {"apply_email": Registry()["cards"].contact})
         joined = enrich.lookup(rows, facts)
         run = joined.select("page_id", "detail.apply_email")
         found = run.collect()
-        assert "skew=true" in plan(run)
+        assert "skew=true" in plan(run) and "SortAggregate" not in plan(run)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    expected = {i: "e0" if i % 3 == 0 else f"e{i}" if i % 3 == 1 else None for i in range(60_000)}
+    expected = {i: "e0@x.com" if i % 3 == 0 else f"e{i}@x.com" if i % 3 == 1 and i < 3000 else None for i in range(60_000)}
     assert {r.page_id: r.apply_email for r in found} == expected
 
 
@@ -110,12 +110,16 @@ def test_unknown_sites_and_first_pages(spark):
 def test_snapshot_and_empty_guard(spark, tmp_path):
     out = str(tmp_path)
     found = sites.listed(spark, SF, "cards").drop("expiry_date")
-    assert sinks.write_snapshot(found, out, "19980101_000000")
+    scratch = str(tmp_path / "scratch")
+    assert sinks.write_snapshot(found, out, "19980101_000000", scratch)
     latest = sinks.read_csv(spark, f"{out}/csv/latest").count()
     assert latest == sinks.read_json(spark, f"{out}/json/run_ts=19980101_000000").count() == found.count()
-    assert not sinks.write_snapshot(found.filter("false"), out, "19980102_000000")
+    assert not sinks.write_snapshot(found.filter("false"), out, "19980102_000000", scratch)
     assert sinks.read_csv(spark, f"{out}/csv/latest").count() == latest
     assert not os.path.exists(f"{out}/csv/run_ts=19980102_000000")
+    assert not os.listdir(scratch) and not [x for x in os.listdir(f"{out}/csv") if x.startswith("_new")]
+    assert sinks.write_snapshot(found.limit(1), out, "19980103_000000", scratch)
+    assert sinks.read_json(spark, f"{out}/json/latest").count() == 1
 
 
 def test_csv_keeps_awkward_text(spark, tmp_path):
@@ -159,3 +163,66 @@ def test_shred_keeps_other_columns(spark):
     table = spark.createDataFrame([(1, ["a"], "<p>")], "k int, `odd name` array<string>, html string")
     row = shred(table).first()
     assert (row.k, row["odd name"], len(row.nodes)) == (1, ["a"], 2)
+
+
+def one(spark, html, column):
+    return shred(spark.createDataFrame([(html,)], "html string")).select(column.alias("v")).first().v
+
+
+def test_large_pages_come_whole(spark):
+    nodes = F.col("nodes")
+    site = Registry()["candidates"]
+    blocks = "".join(f"<article><a href='/job/{i}'>Job number {i}</a></article>" for i in range(300))
+    rows = one(spark, blocks, site.rows(nodes))
+    assert len(rows) == 300 and all(r.detail_url for r in rows)
+    links = "".join(f"<a href='/careers/job/{i}'>Job number {i}</a>" for i in range(600))
+    assert len(one(spark, links, Registry()["link_detail"].rows(nodes))) == 600
+    alike = "".join(f"<article>{'same ' * 60}{x}</article>" for x in "ab")
+    assert len(one(spark, alike, X.unique_candidates(nodes))) == 2
+    limited = Registry(builtin_profiles(fixed.LIMITS))
+    rows = one(spark, blocks, limited["candidates"].rows(nodes))
+    assert len(rows) == 50 and sum(r.detail_url is not None for r in rows) == 5
+    assert len(one(spark, links, limited["link_detail"].rows(nodes))) == 200
+
+
+def test_posting_is_classified_as_a_whole_and_cut_by_a_limit(spark):
+    text = "x " * 300 + "nurse midwife"
+    html = f'<script type="application/ld+json">{{"@type":"JobPosting","title":"T","title":"Post","description":"{text}"}}</script>'
+    pages = spark.createDataFrame([(1, "jsonld", 1, html)], "page_id long, site string, page_num int, html string")
+    for limits, size in ((None, len(text)), (fixed.LIMITS, 499)):
+        (row,) = L.extract(pages, [Registry(builtin_profiles(limits))["jsonld"]], AS_OF).collect()
+        assert (row.title, row.category) == ("Post", "Healthcare") and len(row.description) == size
+
+
+def test_links_without_details_make_no_listing(spark):
+    pages = rendered.listing_pages(spark, SF, "link_detail")
+    assert L.run(pages, None, AS_OF, profiles=["link_detail"]).isEmpty()
+
+
+def test_marked_section_and_list_valued_links(spark):
+    assert one(spark, "a<![CDATA[b]]>c", N.page_text(F.col("nodes"))) == "abc"
+    html = '<script type="application/ld+json">{"@type":"JobPosting","sameAs":["https://a.example/1"]}</script>'
+    assert one(spark, html, X.second_pass_links(F.col("nodes"), "https://h.example/careers/")) == []
+
+
+def test_routing_by_host_and_path(spark):
+    registry = Registry()
+    urls = ["https://vacancymail.co.zw/jobs/?ordering=later&page=3", "https://zimbojobs.com/jobs?start=20", "https://zimbojobs.com/?page=2", "https://other.example/", None]
+    pages = spark.createDataFrame([(u, "<p>") for u in urls], "url string, html string")
+    every = L.routed(pages, registry, list(registry)).select("site", "page_num").collect()
+    assert [(r.site, r.page_num) for r in every] == [("cards", 3), ("cards_alt_second", 3), ("jsonld", 2), (None, 1), (None, 1)]
+
+
+def test_deep_and_wide_pages_take_linear_steps(spark):
+    item = "<ul><li><i>{}</i></li></ul>"
+    html = "".join(item.format(i) for i in range(3000))
+    found = F.transform(N.select(F.col("nodes"), "i"), lambda n: N.trimmed_text(F.col("nodes"), N.ancestor(F.col("nodes"), n, "li")))
+    assert one(spark, html, found) == [str(i) for i in range(3000)]
+
+
+def test_quarantine_keeps_html_and_is_written(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "v", "<a href='/jobs/1'>one job</a><a href='/jobs/2'>two</a>")], "page_id long, url string, html string")
+    aside = L.quarantine(pages, Registry()["link_detail"])
+    sinks.write_quarantine(aside, str(tmp_path), "t")
+    (row,) = spark.read.json(str(tmp_path)).collect()
+    assert (row.page_id, row.html, row.n_links) == (1, "<p>x</p>", 0)
