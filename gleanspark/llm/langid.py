@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ WORDS, GRAMS = 200_000, 200_000
 WEIGHT = 24
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHED = 200_000
+_CACHED = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -67,15 +68,17 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of rows (lang, word, n), summed within a batch."""
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[str, dict[str, int]] = {}
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = counts.setdefault(lang, {})
             for k in range(1, LONGEST + 1):
                 for gram in grams_of(word, k):
-                    counts[lang, gram] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "gram", "n"])
+                    own[gram] = own.get(gram, 0) + n
+        langs = [x for x, own in counts.items() for _ in own]
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([g for own in counts.values() for g in own], pa.string()), pa.array([n for own in counts.values() for n in own.values()], pa.int64())], ["lang", "gram", "n"])
 
 
-def _most_frequent(counts: DataFrame, most: int) -> list:
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
     """The rows (…, n) of the largest n, at most so many: a histogram of n by steps gives the least n that is kept."""
     step = F.floor(F.log2("n") * 16).cast("int")
     total, least = 0, None
@@ -84,66 +87,53 @@ def _most_frequent(counts: DataFrame, most: int) -> list:
         if total > most:
             break
         least = r.step
-    return [] if least is None else counts.where(step >= least).collect()
+    return counts.where(F.lit(False) if least is None else step >= least).toArrow()
 
 
 class Model:
-    """Log frequencies of words and n-grams in every language."""
+    """Log frequencies of words and n-grams in every language, less their mean over the languages."""
 
-    def __init__(self, langs: list[str], shares: np.ndarray, words: list, grams: list) -> None:
+    def __init__(self, langs: list[str], shares: np.ndarray, words: pa.Table, grams: pa.Table) -> None:
+        """words, grams: rows (lang, text, n)."""
         self.langs, self.prior = langs, np.log(shares)
-        self.words = self._table([(r.lang, r.word, r.n) for r in words])
-        self.grams = [self._table([(r.lang, r.gram, r.n) for r in grams if len(r.gram) == k]) for k in range(1, LONGEST + 1)]
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.langs)))
-
-    def _table(self, rows: list[tuple]) -> dict[str, np.ndarray]:
-        place = {x: k for k, x in enumerate(self.langs)}
-        totals = np.ones(len(self.langs))
-        counts: dict[str, np.ndarray] = {}
-        for lang, text, n in rows:
-            if text not in counts:
-                counts[text] = np.zeros(len(self.langs))
-            counts[text][place[lang]] += n
-            totals[place[lang]] += n
-        return {k: np.log((x + 0.5) / (totals + 0.5 * max(len(counts), 1))) for k, x in counts.items()}
-
-    def speaks(self, word: str) -> np.ndarray:
-        """For each language, how the word speaks for it, less the mean of all."""
-        found = self.words.get(word)
+        self.words, self.word_rows = self._table(words)
+        self.grams, self.gram_rows = self._table(grams)
+        self.unseen: dict[str, list[int]] = {}
+
+    def _table(self, rows: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+        place, names = pd.factorize(rows.column(1).to_pandas())
+        lang = pd.Categorical(rows.column(0).to_pandas(), categories=self.langs).codes
+        counts = np.zeros((len(names), len(self.langs)))
+        np.add.at(counts, (place, lang), rows.column(2).to_numpy())
+        totals = counts.sum(axis=0) + 1
+        values = np.log((counts + 0.5) / (totals + 0.5 * max(len(names), 1)))
+        return {x: k for k, x in enumerate(names)}, values - values.mean(axis=1, keepdims=True)
+
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the word's longest n-grams of which any is known; none where no character is."""
+        found = self.unseen.get(word)
         if found is None:
             for k in range(LONGEST, 0, -1):
-                known = [x for x in map(self.grams[k - 1].get, grams_of(word, k)) if x is not None]
-                if known:
-                    found = np.mean(known, axis=0)
+                found = [x for x in map(self.grams.get, grams_of(word, k)) if x is not None]
+                if found:
                     break
-            else:
-                return np.zeros(len(self.langs))
-        return found - found.mean()
-
-    def place(self, word: str) -> int:
-        at = self.seen.get(word)
-        if at is None:
-            at = self.seen[word] = len(self.seen)
-            if at >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.speaks(word)
-        return at
+            if len(self.unseen) >= _CACHED:
+                self.unseen.clear()
+            self.unseen[word] = found
+        return found
 
     def predict(self, text: str) -> tuple[str, float]:
         words = words_of(text)
         if not self.langs or not any(map(str.isalpha, words)):
             return UNKNOWN, 0.0
-        if len(self.seen) > _CACHED:
-            self._fresh()
-        try:
-            at = [self.seen[x] for x in words]
-        except KeyError:
-            at = [self.place(x) for x in words]
-        value = self.rows[at].sum(axis=0) * min(1.0, WEIGHT / len(words)) + self.prior
+        known = list(map(self.words.get, words))
+        value = self.word_rows[[x for x in known if x is not None]].sum(axis=0)
+        others = [x for x in (self.backoff(w) for w, x in zip(words, known, strict=True) if x is None) if x]
+        if others:
+            sizes = np.array([len(x) for x in others])
+            sums = np.add.reduceat(self.gram_rows[[k for x in others for k in x]], np.cumsum(sizes) - sizes)
+            value = value + (sums / sizes[:, None]).sum(axis=0)
+        value = value * min(1.0, WEIGHT / len(words)) + self.prior
         odds = np.exp(value - value.max())
         best = int(np.argmax(value))  # of equals, the first by name
         return self.langs[best], float(odds[best] / odds.sum())

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import sha, tables
 
@@ -91,9 +92,9 @@ def test_language_of_odd_rows(spark):
 
 
 def test_unseen_words_back_off():
-    rows = [type("R", (), dict(lang=x, word=w, gram=w, n=n)) for x, w, n in (("a", "abab", 9), ("b", "cdcd", 9))]
-    grams = [type("R", (), dict(lang=x, gram=g, n=5)) for x, g in (("a", "ab"), ("b", "cd"), ("a", "a"), ("b", "c"))]
-    model = langid.Model(["a", "b"], np.array([0.5, 0.5]), rows, grams)
+    words = pa.table({"lang": ["a", "b"], "word": ["abab", "cdcd"], "n": [9, 9]})
+    grams = pa.table({"lang": ["a", "b", "a", "b"], "gram": ["ab", "cd", "a", "c"], "n": [5, 5, 5, 5]})
+    model = langid.Model(["a", "b"], np.array([0.5, 0.5]), words, grams)
     assert [model.predict(t)[0] for t in ("abab", "xxab", "yycd", "cz")] == ["a", "a", "b", "b"]
 
 
