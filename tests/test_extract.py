@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleanspark import fixed
 from gleanspark.operators import extract as X
 from gleanspark.operators.nodes import shred
 from gleanspark.plans import listings as L
-from gleanspark.plans.profiles import Registry
+from gleanspark.plans.profiles import Registry, builtin_profiles
 
 AS_OF = "1998-01-01"
 
@@ -123,12 +124,13 @@ def test_candidates(spark, registry):
     assert rows[0].category == "Legal"
 
 
-def test_candidate_caps(spark, registry):
+def test_candidates_are_limited_on_request_only(spark, registry):
     page = "".join(f"<article><a href='/job/{i}'>Post number {i}</a></article>" for i in range(60))
     details = [(f"https://vacancybox.co.zw/job/{i}", f"p{i}@x.com") for i in range(60)]
     rows = listed(spark, registry, "candidates", page, details=details)
-    assert [r.pos for r in rows] == list(range(1, 51))
-    assert sum("@" in r.apply_email for r in rows) == 5
+    assert [r.pos for r in rows] == list(range(1, 61)) and all("@" in r.apply_email for r in rows)
+    rows = listed(spark, Registry(builtin_profiles(fixed.LIMITS)), "candidates", page, details=details)
+    assert [r.pos for r in rows] == list(range(1, 51)) and sum("@" in r.apply_email for r in rows) == 5
 
 
 def test_link_fallback(spark, registry):

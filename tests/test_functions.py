@@ -137,7 +137,10 @@ def test_frontier(spark):
         urls.frontier(totals, lambda n, f=f: f(base, n)).alias(name) for name, f in made.items()
     ]
     (row,) = spark.range(1).select(*columns).collect()
-    assert [p.page_num for p in row.path] == list(range(2, 30))
+    assert [p.page_num for p in row.path] == list(range(2, 41))
+    for cap, last, end in ((20, None, 20), (None, 29, 29), (50, 49, 40)):
+        found = urls.frontier(totals, lambda n: base, cap, last)
+        assert [p.page_num for p in spark.range(1).select(found.alias("x")).first().x] == list(range(2, end + 1))
     assert row.parameter[0].url == row.query[0].url == "https://h.example/?page=2"
     assert row.path[0].url == "https://h.example/page/2/"
     assert row.offset[1].url == "https://h.example/?start=20"
@@ -232,7 +235,7 @@ def test_rules_by_table(spark):
     df = spark.createDataFrame(texts, "k int, title string, description string, company string")
     table = spark.createDataFrame(rules, "category string, ord int, tier string, keyword string")
     got = {r.k: (r.category, r.score) for r in C.classify_by_table(df, table, "k").collect()}
-    assert got == {0: ("A", 7), 1: ("C", 5), 2: (None, None), 3: ("D", 10), 4: (None, None)}
+    assert got == {0: ("A", 7), 1: ("C", 5), 2: (None, None), 3: ("D", 40), 4: (None, None)}
 
 
 def test_scores_like_a_plain_loop(spark):
