@@ -49,6 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp())
     done = df.checkpoint()
+    del df  # else its own shuffles would stay until the next step
     gc.collect()
     context._jvm.System.gc()
     return done

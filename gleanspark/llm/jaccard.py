@@ -79,14 +79,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *(pa.nulls(n, pa.int64()),) * 3, block, packed], names)
 
 
-def _may_link(one: str, other: str) -> Column:
-    """Size and position filter where this is the first shingle, in order, that two prefixes share.
+def _likely(met: DataFrame, one: str, other: str) -> DataFrame:
+    """Of rows (one, other, n1, n2), one for each prefix shingle that two groups share, the pairs that share enough to link.
 
-    A place is the size of a set and, in its low half, the shingle's position.
+    Two sets that link have at most size - common shingles of their own, so the first shared ones stand in both prefixes: at least
+    common - three quarters of the larger size + 1 of them.
     """
-    (n1, at1), (n2, at2) = ((F.shiftright(p, 32), F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))) for p in (one, other))
-    least = F.floor((3 * (n1 + n2) + 6) / 7)  # common shingles of two sets that link
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (1 + F.least(n1 - at1 - 1, n2 - at2 - 1) >= least)
+    n1, n2 = F.col("n1"), F.col("n2")
+    shared = met.where(4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)).groupBy(one, other, "n1", "n2").count()
+    common, most = F.floor((3 * (n1 + n2) + 6) / 7), F.greatest(n1, n2)
+    return shared.where(F.col("count") >= common - F.floor((3 * most + 3) / 4) + 1).select(one, other)
 
 
 def _prefix(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:
@@ -110,13 +112,13 @@ def _groups(counts):
 
 
 def _met(docs: DataFrame, counts) -> DataFrame:
-    """(token, lot, gid, place) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots."""
+    """(token, lot, gid, n) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # groups that this task has sent
         for batch in batches:
             for _, data, begin in slices(batch, "text"):
-                tokens, gids, places = [], [], []
+                tokens, gids, sizes = [], [], []
                 for x in shingle_sets(data, begin):
                     if not len(x):
                         continue
@@ -126,23 +128,34 @@ def _met(docs: DataFrame, counts) -> DataFrame:
                     done.add(gid)
                     tokens.append(prefix)
                     gids.append(np.full(len(prefix), gid, np.uint64))
-                    places.append(np.arange(len(prefix)) + (len(x) << 32))
+                    sizes.append(np.full(len(prefix), len(x)))
                 if len(done) > 1_000_000:
                     done.clear()
                 if tokens:
                     token, gid = np.concatenate(tokens), np.concatenate(gids)
                     lots = (counts.value[_bucket(token)] // LOT + 1).astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array((mixed(gid ^ np.uint64(0x51)) % lots).astype(np.int32)), _as_long(gid), pa.array(np.concatenate(places))], ["token", "lot", "gid", "place"])
+                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array((mixed(gid ^ np.uint64(0x51)) % lots).astype(np.int32)), _as_long(gid), pa.array(np.concatenate(sizes))], ["token", "lot", "gid", "n"])
 
-    rows = docs.mapInArrow(run, "token long, lot int, gid long, place long")
+    rows = docs.mapInArrow(run, "token long, lot int, gid long, n long")
     lot = W.partitionBy("token", "lot")
     shared = rows.withColumn("least", F.min("gid").over(lot)).withColumn("most", F.max("gid").over(lot))
     # equal groups of several tasks are several rows, which the pairs drop again
-    return shared.where("least <> most or lot > 0").select("token", "lot", "gid", "place")
+    return shared.where("least <> most or lot > 0").select("token", "lot", "gid", "n").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose whole shingle sets are alike enough."""
+def _linked(docs: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+    """Of the pairs (a, b) of documents, those whose whole shingle sets are alike enough; only their texts are shuffled."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpointed(pairs)
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, begin in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in shingle_sets(data, begin)], pa.binary())], ["key", "shingles"])
+
+    chosen = docs.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = checkpointed(chosen.mapInArrow(whole, f"key {kind}, shingles binary"))
     one = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
     both = one.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -191,50 +204,38 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     # the first of a lot stands for it: members against their group's leader, groups against their lot's first, lots against the first lot
     inner = members.join(leaders, "gid").where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b"))
-    lead = F.min(F.struct("gid", "place")).over(W.partitionBy("token", "lot"))
-    led = met.withColumn("lead", lead)
-    star = led.where(_may_link("place", "lead.place")).select(F.col("gid").alias("g"), F.col("lead.gid").alias("h"))
-    firsts = led.where("gid = lead.gid").select("token", "lot", "gid", "place").distinct()
-    later, zero = firsts.where("lot > 0").alias("x"), firsts.groupBy("token").agg(F.min(F.struct("lot", "gid", "place")).alias("f"))
-    zero = zero.select("token", F.col("f.gid").alias("h"), F.col("f.place").alias("p"))
-    across = later.join(zero, "token").where(_may_link("place", "p")).select(F.col("gid").alias("g"), "h")
-    outer = star.unionByName(across).where("g <> h").distinct()
+    led = met.withColumn("lead", F.min(F.struct("gid", "n")).over(W.partitionBy("token", "lot")))
+    star = led.where("gid <> lead.gid").select(F.col("gid").alias("g"), F.col("lead.gid").alias("h"), F.col("n").alias("n1"), F.col("lead.n").alias("n2"))
+    firsts = led.where("gid = lead.gid")
+    zero = firsts.groupBy("token").agg(F.min(F.struct("lot", "gid", "n")).alias("f")).select("token", F.col("f.gid").alias("h"), F.col("f.n").alias("n2"))
+    across = firsts.where("lot > 0").join(zero, "token").where("gid <> h").select(F.col("gid").alias("g"), "h", F.col("n").alias("n1"), "n2")
+    outer = _likely(star.unionByName(across), "g", "h")
     outer = outer.join(leaders.select(F.col("gid").alias("g"), F.col("leader").alias("a")), "g").join(leaders.select(F.col("gid").alias("h"), F.col("leader").alias("b")), "h")
-    pairs = outer.select("a", "b").unionByName(inner).where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # whole sets of the classes that may link, from their texts
-    several = members.groupBy("gid").count().where("count > 1").select("gid")
-    wanted = checkpointed(members.join(met.select("gid").unionByName(several).distinct(), "gid").select(F.col("cid").alias("key")).distinct())
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, begin in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in shingle_sets(data, begin)], pa.binary())], ["key", "shingles"])
-
-    chosen = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = checkpointed(chosen.mapInArrow(whole, f"key {kind}, shingles binary"))
     # rows that share a key are one document
     twins = same.groupBy("key").agg(F.min("cid").alias("b"), F.max("cid").alias("top")).where("b <> top")
     twins = same.join(twins, "key").select(F.col("cid").alias("a"), "b").where("a <> b")
-    links = checkpointed(_verified(pairs, sets).unionByName(twins))
+    links = checkpointed(_linked(keyed, outer.select("a", "b").unionByName(inner), kind).unionByName(twins))
     roots = components(links)
 
-    # what still lies in different components, though a shingle or a group is shared
-    root = wanted.join(roots, wanted["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"))
-    root = checkpointed(root)
-    units = checkpointed(members.join(root, members["cid"] == root["key"]).select("gid", "cid", "root"))
+    # what still lies in different components, though enough shingles or a group are shared
+    units = members.join(roots, members["cid"] == roots["node"], "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
+    units = checkpointed(units)
     spans = units.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
     spread = met.select("token", "gid").join(spans, "gid").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
-    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "place").distinct().join(units, "gid")
-    open_rows = checkpointed(open_rows.select("token", "cid", "root", "place"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).where("x.root < y.root").where(_may_link("x.place", "y.place"))
-    cross = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    x, y = units.alias("x"), units.alias("y")
-    within = x.join(y, F.col("x.gid") == F.col("y.gid")).where("x.root < y.root").select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-    rest = cross.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(checkpointed(_verified(rest, sets)))
+    # of a group, the first member of each component
+    parts = units.groupBy("gid", "root").agg(F.min("cid").alias("cid"))
+    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "n").distinct().join(spans, "gid")
+    open_rows = checkpointed(open_rows.select("token", "gid", "n", "r1", "r2"))
+    x, y = (open_rows.select("token", *[F.col(c).alias(c + k) for c in ("gid", "r1", "r2")], F.col("n").alias("n" + k[1])) for k in ("_1", "_2"))
+    apart = "r1_1 <> r2_1 OR r1_2 <> r2_2 OR r1_1 <> r1_2"  # not all of both groups in one component
+    cross = _likely(x.join(y, "token").where("gid_1 < gid_2").where(apart), "gid_1", "gid_2")
+    u, v = (units.select(F.col("gid").alias("gid" + k), F.col("cid").alias("cid" + k), F.col("root").alias("root" + k)) for k in ("_1", "_2"))
+    cross = cross.join(u, "gid_1").join(v, "gid_2").where("root_1 <> root_2").select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
+    several = parts.groupBy("gid").count().where("count > 1").select("gid")
+    some = units.join(several, "gid", "left_semi")
+    u, v = (some.select("gid", F.col("cid").alias("cid" + k), F.col("root").alias("root" + k)) for k in ("_1", "_2"))
+    within = u.join(v, "gid").where("root_1 < root_2").select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
+    links = links.unionByName(checkpointed(_linked(keyed, cross.unionByName(within), kind)))
     roots = components(links)
     found = same.join(roots, same["cid"] == roots["node"], "left").select("key", F.coalesce("root", "cid").alias("root"))
     found = found.groupBy("key").agg(F.min("root").alias("component_id"))

@@ -70,6 +70,7 @@ def close_vectors(rows, cosine=0.95):
     rows = sorted(rows, key=lambda r: r[0])
     good = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
     links = []
+    rows = [(k, (np.array(v, float) / np.abs(np.array(v, float)).max()).tolist() if g else v) for (k, v), g in zip(rows, good, strict=True)]
     for a in range(len(rows)):
         for b in range(a + 1, len(rows)):
             if good[a] and good[b] and len(rows[a][1]) == len(rows[b][1]):
