@@ -36,7 +36,7 @@ def shingle_sets(data: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     first = np.concatenate([[0], np.cumsum(n_words)])
     joint = np.zeros(len(word), np.uint64)
     for k in range(WORDS):  # a shingle that runs into the next text is not read below
-        joint[: len(word) - k] += word[k:] * _MULTIPLIERS[k]
+        joint[: max(0, len(word) - k)] += word[k:] * _MULTIPLIERS[k]
     joint = mixed(joint)
     found = []
     for n in range(texts):
