@@ -98,15 +98,34 @@ def _prefix(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:
     return prefix, int(mixed(np.array([mixed(prefix).sum(dtype=np.uint64) + np.uint64(size)], np.uint64))[0])
 
 
+#: Bits of a set's parity sketch, kept as 64-bit numbers.
+_SKETCH = [f"s{k}" for k in range(8)]
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """Every shingle turns one bit over: two sketches differ in no more bits than their sets in shingles."""
+    odd = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _close(one: str, other: str) -> Column:
+    """Size filter and sketches: sets that link differ in at most all their shingles less twice the common ones."""
+    n1, n2 = F.col("n" + one), F.col("n" + other)
+    differ = sum((F.bit_count(F.col(s + one).bitwiseXOR(F.col(s + other))) for s in _SKETCH), F.lit(0))
+    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (differ <= n1 + n2 - 2 * F.floor((3 * (n1 + n2) + 6) / 7))
+
+
 def _groups(counts):
-    """(key, gid) of every text with words."""
+    """(key, gid, n, sketch) of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, begin in slices(batch, "text"):
                 sets = shingle_sets(data, begin)
-                filled = pa.array([len(x) > 0 for x in sets])
-                yield pa.RecordBatch.from_arrays([rows.column(0).filter(filled), _as_long([_prefix(x, counts.value)[1] for x in sets if len(x)])], ["key", "gid"])
+                filled, sets = pa.array([len(x) > 0 for x in sets]), [x for x in sets if len(x)]
+                sketches = np.array([_sketch(x) for x in sets], np.int64).reshape(-1, 8)
+                columns = [_as_long([_prefix(x, counts.value)[1] for x in sets]), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(sketches[:, k]) for k in range(8))]
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(filled), *columns], ["key", "gid", "n", *_SKETCH])
 
     return run
 
@@ -197,8 +216,8 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     same = checkpointed(filled.join(classes, ["s1", "s2", "n"]).select("key", "n", "cid"))
     # groups: equal prefix and size, by a hash of both
     keyed = docs.where("key is not null")
-    grouped = keyed.mapInArrow(_groups(counts), f"key {kind}, gid long")
-    members = checkpointed(grouped.join(same.select("key", "cid"), "key").select("gid", "cid").distinct())
+    grouped = keyed.mapInArrow(_groups(counts), f"key {kind}, gid long, n long, " + ", ".join(f"{s} long" for s in _SKETCH))
+    members = checkpointed(grouped.join(same.select("key", "cid"), "key").select("gid", "cid", "n", *_SKETCH).distinct())
     leaders = checkpointed(members.groupBy("gid").agg(F.min("cid").alias("leader")))
     met = checkpointed(_met(keyed, counts))
 
@@ -218,23 +237,18 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     roots = components(links)
 
     # what still lies in different components, though enough shingles or a group are shared
-    units = members.join(roots, members["cid"] == roots["node"], "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
+    units = members.join(roots, members["cid"] == roots["node"], "left").select("gid", "cid", "n", *_SKETCH, F.coalesce("root", "cid").alias("root"))
     units = checkpointed(units)
     spans = units.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
     spread = met.select("token", "gid").join(spans, "gid").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
-    # of a group, the first member of each component
-    parts = units.groupBy("gid", "root").agg(F.min("cid").alias("cid"))
-    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "n").distinct().join(spans, "gid")
-    open_rows = checkpointed(open_rows.select("token", "gid", "n", "r1", "r2"))
-    x, y = (open_rows.select("token", *[F.col(c).alias(c + k) for c in ("gid", "r1", "r2")], F.col("n").alias("n" + k[1])) for k in ("_1", "_2"))
-    apart = "r1_1 <> r2_1 OR r1_2 <> r2_2 OR r1_1 <> r1_2"  # not all of both groups in one component
-    cross = _likely(x.join(y, "token").where("gid_1 < gid_2").where(apart), "gid_1", "gid_2")
-    u, v = (units.select(F.col("gid").alias("gid" + k), F.col("cid").alias("cid" + k), F.col("root").alias("root" + k)) for k in ("_1", "_2"))
-    cross = cross.join(u, "gid_1").join(v, "gid_2").where("root_1 <> root_2").select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
-    several = parts.groupBy("gid").count().where("count > 1").select("gid")
-    some = units.join(several, "gid", "left_semi")
-    u, v = (some.select("gid", F.col("cid").alias("cid" + k), F.col("root").alias("root" + k)) for k in ("_1", "_2"))
-    within = u.join(v, "gid").where("root_1 < root_2").select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
+    open_rows = met.join(spread, "token", "left_semi").select("token", "gid").distinct().join(units, "gid")
+    open_rows = checkpointed(open_rows.select("token", "cid", "root", "n", *_SKETCH))
+    columns = ["cid", "root", "n", *_SKETCH]
+    x, y = (open_rows.select("token", *[F.col(c).alias(c + k) for c in columns]) for k in ("_1", "_2"))
+    cross = x.join(y, ["token"]).where("root_1 < root_2").where(_close("_1", "_2")).select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
+    several = spans.where("r1 <> r2").select("gid")
+    x, y = (units.join(several, "gid", "left_semi").select("gid", *[F.col(c).alias(c + k) for c in columns]) for k in ("_1", "_2"))
+    within = x.join(y, "gid").where("root_1 < root_2").where(_close("_1", "_2")).select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
     links = links.unionByName(checkpointed(_linked(keyed, cross.unionByName(within), kind)))
     roots = components(links)
     found = same.join(roots, same["cid"] == roots["node"], "left").select("key", F.coalesce("root", "cid").alias("root"))
