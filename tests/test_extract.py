@@ -212,7 +212,7 @@ def test_page_counts(spark, registry):
         "link_detail": "<a href='?paged=6'>x</a>",
         "cards_alt": "<div class='np'><a>9</a></div><a>12</a>",
     }
-    expected = {"cards": 7, "headings": 12, "jsonld": 20, "candidates": 7, "link_detail": 6, "cards_alt": 9}
+    expected = {"cards": 7, "headings": 12, "jsonld": 44, "candidates": 7, "link_detail": 6, "cards_alt": 9}
     for name, html in pages.items():
         table = spark.createDataFrame([(1, html)], "page_id long, html string")
         assert L.max_page(table, registry[name]).first().total_pages == expected[name], name
