@@ -112,7 +112,11 @@ def _groups(counts):
 
 
 def _met(docs: DataFrame, counts) -> DataFrame:
-    """(token, lot, gid, n) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots."""
+    """(token, lot, gid, n) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots.
+
+    Lot 0 is that of shingles met in one lot. The lots of others count from 1 and are kept whole: a group alone in its lot still meets
+    the other lots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # groups that this task has sent
@@ -134,7 +138,8 @@ def _met(docs: DataFrame, counts) -> DataFrame:
                 if tokens:
                     token, gid = np.concatenate(tokens), np.concatenate(gids)
                     lots = (counts.value[_bucket(token)] // LOT + 1).astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array((mixed(gid ^ np.uint64(0x51)) % lots).astype(np.int32)), _as_long(gid), pa.array(np.concatenate(sizes))], ["token", "lot", "gid", "n"])
+                    lot = np.where(lots > 1, mixed(gid ^ np.uint64(0x51)) % lots + np.uint64(1), 0)
+                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array(lot.astype(np.int32)), _as_long(gid), pa.array(np.concatenate(sizes))], ["token", "lot", "gid", "n"])
 
     rows = docs.mapInArrow(run, "token long, lot int, gid long, n long")
     lot = W.partitionBy("token", "lot")

@@ -106,6 +106,19 @@ def test_near_copies(spark, monkeypatch, lot):
     assert got == want
 
 
+def test_exact_copies_and_one_near_copy(spark, monkeypatch):
+    """Two groups of a common shingle that fall in different lots meet, whichever of them is in the first."""
+    monkeypatch.setattr(jaccard, "LOT", 30)
+    rng, rows = random.Random(3), []
+    for n in range(12):
+        words = rng.choices([f"w{k}" for k in range(4000)], k=80)
+        rows += [(100 * n + k, " ".join(words)) for k in range(40)]
+        rows.append((100 * n + 99, " ".join([*words[:40], "other", *words[41:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in jaccard.cluster(df).collect()}
+    assert got == near_copies(rows)
+
+
 def test_near_copies_odd_rows(spark):
     text = "one two three four five six"
     rows = [(5, text), (5, text), (3, text), (None, text), (7, None), (9, "")]
