@@ -3,7 +3,7 @@
 The standard library's parser reports tags and text; every block of a page becomes a line with its text, its number of
 tags and the section it stands in. The ratios of text to tags are smoothed by a Gaussian, lines above the deviation of
 all ratios are the content cluster, and the sections that hold this cluster are kept whole, so that a short
-paragraph between long ones stays. Menus, notices, adverts and the like are left out by what their elements say of themselves.
+paragraph between long ones stays; so is what the page itself marks as article or main. Menus, notices, adverts and the like are left out by what their elements say of themselves.
 """
 
 from __future__ import annotations
@@ -167,28 +167,18 @@ def main_text(html: str, deviation: float = 1.0, threshold: float = 1.0) -> str:
     lines, sections = parser.lines, parser.sections
     if not lines:
         return ""
-    smooth = _smooth(np.array([len(text) / max(tags, 1) for text, tags, _ in lines]), deviation)
+    ratio = np.array([len(text) / max(tags, 1) for text, tags, _ in lines])
+    smooth = _smooth(ratio, deviation)
     content = smooth >= threshold * smooth.std()
-    mass = [0.0] * len(sections)  # text of the section's own lines, those of the content cluster count most
-    for (text, _, section), chosen in zip(lines, content, strict=True):
-        mass[section] += len(text) * (1.0 if chosen else 1e-3)
-    below = list(mass)
-    articles = [n for n, (_, tag) in enumerate(sections) if tag in ("article", "main")]
-    for n in range(len(sections) - 1, 0, -1):
-        below[sections[n][0]] += below[n]
-    kept = [False] * len(sections)
-    if any(below[n] > 0 for n in articles):
-        # of a main part with articles in it, the articles
-        inner = [n for n in articles if sections[n][1] == "article" and below[n] > 0]
-        for n in inner or articles:
-            kept[n] = True
-    else:
-        best = max(mass)
-        for n, x in enumerate(mass):
-            kept[n] = x > 0 and x >= 0.2 * best
+    # a section is kept whole where a line of the content cluster is so by itself, and where the page calls it article or main part;
+    # of other sections, the lines that the cluster reaches
+    whole = content & (ratio >= threshold * smooth.std())
+    kept = [tag in ("article", "main") for _, tag in sections]
+    for (_, _, section), chosen in zip(lines, whole, strict=True):
+        kept[section] = kept[section] or bool(chosen)
     for n in range(1, len(sections)):
         kept[n] = kept[n] or kept[sections[n][0]]
-    return "\n\n".join(text for k, (text, _, section) in enumerate(lines) if kept[section] or k in parser.heads)
+    return "\n\n".join(text for k, (text, _, section) in enumerate(lines) if kept[section] or content[k] or k in parser.heads)
 
 
 def extract(df: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

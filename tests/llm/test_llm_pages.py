@@ -27,6 +27,20 @@ def test_cases():
         assert html_text.main_text(page) == text, page
 
 
+def test_lines_choose_sections():
+    """Long lines beside articles and short parts of a split article stay; lines far below the others go."""
+    one, two = "first " * 60, "second " * 40
+    page = f"<main><p>Intro.</p><article><p>{one}</p></article><section><p>After.</p></section></main>"
+    assert html_text.main_text(page) == f"Intro.\n\n{one.strip()}\n\nAfter."
+    links = "".join(f"<li><a href=x><b>l{n}</b></a>" for n in range(20))
+    page = f"<div><ul>{links}</ul></div><article><p>{one}</p></article><div><p>{two}</p></div>"
+    text = html_text.main_text(page)
+    assert text.endswith(f"{one.strip()}\n\n{two.strip()}") and "l3" not in text
+    paragraph = "<p>" + "words " * 50 + "</p>"
+    page = f"<div><ul>{links}</ul></div><div>{paragraph * 7}</div><div>{paragraph}</div>"
+    assert html_text.main_text(page).count("words") == 400 and "l3" not in html_text.main_text(page)
+
+
 def test_long_and_deep_pages():
     assert html_text.main_text("<article>" + "<p>word</p>" * 5000 + "</article>").count("word") == 5000
     assert html_text.main_text("<div>" * 3000 + "<article><p>deep</p>") == "deep"
