@@ -29,7 +29,8 @@ _DROPPED = frozenset(
     "template textarea title video".split()
 )
 _BROKEN = frozenset(("nav", "header", "footer", "aside", "menu"))  # left open by mistake, an article ends them
-#: Words in class, id or role that mark a part as no article text; the second set counts unless the words speak of the article itself.
+#: Words in class, id or role that mark a part as no article text, unless it is named as the article; the second set counts unless any word
+#: speaks of the article.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup "
     "modal overlay newsletter subscribe subscription signup sidebar rail menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments "
@@ -38,6 +39,8 @@ _MARKS = frozenset(
 )
 _WEAK_MARKS = frozenset("header banner notice notices side form alert widget search toolbar topbar skip disclaimer".split())
 _ARTICLE = frozenset("article post entry story content main body text".split())
+#: Names like no-sidebar and with-sidebar tell the layout around a part, not what the part is.
+_LAYOUT = frozenset("no not with without has hide".split())
 _WORD = re.compile("[a-z]+|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -45,11 +48,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Lines(HTMLParser):
     """Collects lines (text, tags, section) of one page, without the parts that are left out."""
 
-    def __init__(self) -> None:
+    def __init__(self, allowed: frozenset[int] = frozenset()) -> None:
+        """allowed: elements, by the number of their start tag, that stay whatever words mark them."""
         super().__init__(convert_charrefs=True)
+        self.allowed, self.started = allowed, 0
+        self.aside: dict[int, int] = {}  # characters, without links, of each element that is left out by a word
         self.lines: list[tuple[str, int, int]] = []
         self.sections: list[tuple[int, str]] = [(-1, "html")]  # parent, tag
-        self.open: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, left out, section
+        self.open: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, left out (by the word of that element, or -1), section
         self.heads: set[int] = set()  # lines that are headings of the first rank
         self.words: list[str] = []
         self.tags = 0
@@ -80,6 +86,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        self.started += 1
         if tag not in _BLOCKS:
             if tag in _VOID or tag == "td" or tag == "th":
                 self.words.append(" ")
@@ -99,8 +106,14 @@ class _Lines(HTMLParser):
         if out and (tag == "article" or tag == "main") and (broken := [n for n, x in enumerate(self.open) if x[1]]) and self.open[broken[0]][0] in _BROKEN:
             self._close(broken[0])
             _, out, section = self.open[-1]
-        if not out:
-            out = tag in _DROPPED or tag == "header" and not self._in_article(section) or bool(attrs) and self._marked(tag, attrs)
+        if out >= 0:
+            if tag in _DROPPED or tag == "header" and not self._in_article(section):
+                out = -1
+            elif attrs and (marked := self._marked(tag, attrs)):
+                if marked == "hidden":
+                    out = -1
+                elif not out and self.started not in self.allowed:
+                    out = self.started
         if tag in _SECTIONS and not out:
             self.sections.append((section, tag))
             section = len(self.sections) - 1
@@ -114,18 +127,26 @@ class _Lines(HTMLParser):
         return False
 
     @staticmethod
-    def _marked(tag: str, attrs: list) -> bool:
+    def _marked(tag: str, attrs: list) -> str | None:
+        """Whether the element is hidden, or words mark it as no article text."""
         if tag == "html" or tag == "body" or tag == "main":
-            return False
+            return None
         said: set[str] = set()
+        article = False
         for name, value in attrs:
             if name == "hidden":
-                return True
+                return "hidden"
             if value and name in ("class", "id", "role"):
-                said.update(x.lower() for x in _WORD.findall(value))
+                for part in value.split():
+                    found = [x.lower() for x in _WORD.findall(part)]
+                    if found and found[0] not in _LAYOUT:
+                        said.update(found)
+                        article = article or _ARTICLE.issuperset(found)
             elif value and name == "style" and _HIDDEN.search(value):
-                return True
-        return bool(said & _MARKS) or bool(said & _WEAK_MARKS) and not said & _ARTICLE
+                return "hidden"
+        if article:
+            return None
+        return "word" if said & _MARKS or said & _WEAK_MARKS and not said & _ARTICLE else None
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -148,8 +169,11 @@ class _Lines(HTMLParser):
                 return  # an end tag without its start
 
     def handle_data(self, data: str) -> None:
-        if not self.open[-1][1]:
+        out = self.open[-1][1]
+        if not out:
             self.words.append(data)
+        elif out > 0 and not any(x[0] == "a" for x in self.open[-4:]):
+            self.aside[out] = self.aside.get(out, 0) + len(data.strip())
 
 
 def _smooth(ratio: np.ndarray, deviation: float) -> np.ndarray:
@@ -160,10 +184,18 @@ def _smooth(ratio: np.ndarray, deviation: float) -> np.ndarray:
 
 def main_text(html: str, deviation: float = 1.0, threshold: float = 1.0) -> str:
     """The article of one page, its blocks joined by an empty line."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser._end_line()
+    allowed: frozenset[int] = frozenset()
+    while True:
+        parser = _Lines(allowed)
+        parser.feed(html)
+        parser.close()
+        parser._end_line()
+        # a marked element that holds most of the page's text, where the page names no article, is no part beside the text
+        rest = sum(parser.aside.values()) + sum(len(text) for text, _, _ in parser.lines)
+        most = max(parser.aside, key=parser.aside.get, default=0)
+        if not most or 2 * parser.aside[most] <= rest or any(parser._in_article(section) for _, _, section in parser.lines):
+            break
+        allowed |= {most}
     lines, sections = parser.lines, parser.sections
     if not lines:
         return ""

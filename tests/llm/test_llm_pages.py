@@ -41,6 +41,17 @@ def test_lines_choose_sections():
     assert html_text.main_text(page).count("words") == 400 and "l3" not in html_text.main_text(page)
 
 
+def test_marks_speak_of_the_part_itself():
+    """Words about the layout, beside a name of the article, or on what holds most of the text leave nothing out."""
+    text = "words of the text " * 20
+    for name in ("post no-sidebar", "content with-sidebar", "entry-content share", "has-sidebar"):
+        assert html_text.main_text(f'<div class="{name}"><p>{text}</p></div>') == text.strip(), name
+    assert html_text.main_text(f'<h2>Title</h2><section id="discussion"><p>{text}</p><nav>n</nav></section>').endswith(text.strip())
+    assert html_text.main_text(f'<article><p>Short.</p></article><section id="discussion"><p>{text}</p></section>') == "Short."
+    assert html_text.main_text(f'<div class="story"><p>{text}</p></div><div class="post-comments"><p>c</p></div>') == text.strip()
+    assert html_text.main_text('<p>Text.</p><div class="menu">' + "<li><a href=x>link</a>" * 9 + "</div>") == "Text."
+
+
 def test_long_and_deep_pages():
     assert html_text.main_text("<article>" + "<p>word</p>" * 5000 + "</article>").count("word") == 5000
     assert html_text.main_text("<div>" * 3000 + "<article><p>deep</p>") == "deep"
