@@ -98,6 +98,29 @@ def test_unseen_words_back_off():
     assert [model.predict(t)[0] for t in ("abab", "xxab", "yycd", "cz")] == ["a", "a", "b", "b"]
 
 
+def test_rare_words_and_languages_are_kept(spark, monkeypatch):
+    """Whatever part of the words is sent: scores of a model that holds all of them, and a rare language is told by its own words."""
+    monkeypatch.setattr(langid, "WORDS", 3)
+    rows = [(n, f"common words of many texts {chr(97 + n % 26) * 3}{chr(97 + n // 26) * 2}", "a") for n in range(200)]
+    rows += [(1000 + n, w, "b") for n, w in enumerate(("zyxq", "vuqz yqqx", "qzzy zyxq", "zyxq vuqz", "yqqx qzzy", "zyxqs"))]
+    learnt = [r for r in rows if remainder(r[0], 3) != 1]
+    counts = {}
+    for _, text, lang in learnt:
+        for w in langid.words_of(text):
+            counts[lang, w] = counts.get((lang, w), 0) + 1
+    grams = {}
+    for (lang, w), n in counts.items():
+        for g in (g for k in range(1, 6) for g in langid.grams_of(w, k)):
+            grams[lang, g] = grams.get((lang, g), 0) + n
+    shares = np.array([sum(r[2] == x for r in learnt) for x in "ab"]) / len(learnt)
+    whole = langid.Model(["a", "b"], shares, *[pa.table({"lang": [x for x, _ in c], "text": [x for _, x in c], "n": list(c.values())}) for c in (counts, grams)])
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for key, text, lang in rows:
+        want = whole.predict(text)
+        assert (got[key].lang_pred, got[key].score) == (want[0], pytest.approx(want[1], abs=1e-6))
+        assert want[0] == lang or lang == "b" and remainder(key, 3) == 1
+
+
 def edited(docs):
     """Edited texts by descending key."""
     docs = sorted(docs, key=lambda d: -d[0])
