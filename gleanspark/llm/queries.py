@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, embed_dedup, fingerprint, html_text, jaccard, langid, packing, quality, suffix_dedup, toxicity, trie, whitening
+from gleanspark.llm import bpe, embed_dedup, fingerprint, html_text, jaccard, langid, packing, quality, secret_scan, suffix_dedup, toxicity, trie, whitening
 from gleanspark.llm.common import shipped
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +89,14 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document, by patterns and by a conditional random field."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.sha2(secret_scan.written(F.col("base")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the leading components, whitened; null for a deviation that no long can hold."""
