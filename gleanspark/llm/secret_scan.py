@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import checkpointed, lowered, prefix_hashes, slices, span_hashes
+from gleanspark.llm.common import checkpointed, lowered, mixed, prefix_hashes, slices, span_hashes
 
 #: Kind, pattern, group that has the value, least length of it. The kinds' order is that of equal starts; ADDED comes last.
 RULES = (
@@ -55,7 +55,16 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
+
+
+def _among(signs: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(signs)] = True
+    return table
+
+
+_HEX, _BLANK = _among(b"0123456789abcdef"), _among(b" \n\t\r")
+_MARKS = [_among(signs) for signs in (b"=:", b"\"'`", b"\n", b".@")]
 _LENGTHS = np.array([2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64])
 _HASHED = 1 << 12
 #: Entries that each feature has in the table of weights: shape and length, changes of class, share of digits, hex or not, first bytes;
@@ -101,8 +110,10 @@ def features(data: np.ndarray, begin: np.ndarray, start: np.ndarray, end: np.nda
     yield _OFFSETS[2] + count[2] * 8 // length * 16 + size
     hexes = _between(_HEX[data], start, end) == length
     yield _OFFSETS[3] + hexes * 16 + size
-    sums = prefix_hashes(data)
-    yield _OFFSETS[4] + (span_hashes(sums, start, np.minimum(start + 4, end)) >> np.uint64(52)).astype(np.int64)
+    four = np.zeros(n, np.uint64)
+    for k in range(4):
+        four = four << np.uint64(8) | np.where(start + k < end, data[np.minimum(start + k, len(data) - 1)], 0).astype(np.uint64)
+    yield _OFFSETS[4] + (mixed(four) >> np.uint64(52)).astype(np.int64)
     sums = prefix_hashes(lowered(data))
     word = (span_hashes(sums, start, end) >> np.uint64(52)).astype(np.int64)
     del sums
@@ -115,7 +126,7 @@ def features(data: np.ndarray, begin: np.ndarray, start: np.ndarray, end: np.nda
     before, after = text_start.copy(), text_end.copy()
     before[1:] = np.maximum(end[:-1], text_start[1:])
     after[:-1] = np.minimum(start[1:], text_end[:-1])
-    marks = [np.isin(data, list(signs)) for signs in (b"=:", b"\"'`", b"\n", b".@")]
+    marks = [table[data] for table in _MARKS]
     for k, (a, b) in enumerate(((before, start), (end, after)), 8):
         gap = sum((_between(m, a, b) > 0).astype(np.int64) << j for j, m in enumerate(marks))
         yield _OFFSETS[k] + gap * 2 + (b - a > 1)
@@ -125,7 +136,7 @@ def features(data: np.ndarray, begin: np.ndarray, start: np.ndarray, end: np.nda
     n_tokens = np.maximum(np.bincount(row, minlength=len(begin) - 1), 1)
     solid = _between(kind > 0, begin[:-1], begin[1:])
     digits = np.minimum(_between(kind == 3, begin[:-1], begin[1:]) * 40 // whole, 7)
-    signs = np.minimum(_between((kind == 0) & ~np.isin(data, list(b" \n\t\r")), begin[:-1], begin[1:]) * 40 // whole, 7)
+    signs = np.minimum(_between((kind == 0) & ~_BLANK[data], begin[:-1], begin[1:]) * 40 // whole, 7)
     for k, of_text in enumerate((digits, signs, np.minimum(solid // n_tokens, 7)), 10):
         yield _OFFSETS[k] + of_text[row] * 4 + odd
     yield _OFFSETS[13] + shape * 8 + hexes * 4 + (length >= 12) * 2 + (changes > 3)
@@ -202,31 +213,37 @@ class Field:
         blocks = -(-n // size)
         scores, fresh = np.zeros((blocks * size, 3)), np.ones(blocks * size, bool)
         scores[:n], fresh[:n] = emit, first
-        scores, fresh = scores.reshape(blocks, size, 3), fresh.reshape(blocks, size)
-        best = np.where(np.eye(3, dtype=bool), 0.0, -np.inf) * np.ones((blocks, 1, 1))
+        scores = np.ascontiguousarray(scores.reshape(blocks, size, 3).transpose(1, 2, 0))  # token, tag, block
+        fresh = [np.flatnonzero(x) for x in fresh.reshape(blocks, size).T]
+        step, start = self.step[:, :, None], self.start[:, None]
+        best = np.where(np.eye(3, dtype=bool), 0.0, -np.inf)[:, :, None] * np.ones(blocks)  # tag before the block, tag now, block
         for t in range(size):
-            goes = (best[:, :, :, None] + self.step).max(axis=2)
-            restart = best.max(axis=2, keepdims=True) + self.start
-            best = np.where(fresh[:, t, None, None], restart, goes) + scores[:, t, None, :]
-        entry = np.zeros((blocks + 1, 3))
+            goes = np.maximum(np.maximum(best[:, :1] + step[0], best[:, 1:2] + step[1]), best[:, 2:] + step[2])
+            if len(fresh[t]):
+                goes[:, :, fresh[t]] = best[:, :, fresh[t]].max(axis=1, keepdims=True) + start
+            best = goes + scores[t]
+        entry, by_block = np.zeros((blocks + 1, 3)), np.ascontiguousarray(best.transpose(2, 0, 1))
         for b in range(blocks):
-            entry[b + 1] = (entry[b][:, None] + best[b]).max(axis=0)
-            entry[b + 1] -= entry[b + 1].max()
-        back = np.zeros((size, blocks, 3), np.int8)
-        value = entry[:-1]
+            reached = (entry[b][:, None] + by_block[b]).max(axis=0)
+            entry[b + 1] = reached - reached.max()
+        back = np.empty((size, 3, blocks), np.int8)
+        value = np.ascontiguousarray(entry[:-1].T)
         for t in range(size):
-            goes = value[:, :, None] + np.where(fresh[:, t, None, None], self.start, self.step)
-            back[t] = goes.argmax(axis=1)
-            value = goes.max(axis=1) + scores[:, t]
-        last = np.zeros(blocks, np.int64)
-        last[-1] = value[-1].argmax()
+            goes = value[:, None, :] + step
+            if len(fresh[t]):
+                goes[:, :, fresh[t]] = value[:, None, fresh[t]] + start
+            most = np.maximum(goes[0], goes[1])
+            back[t] = goes[1] > goes[0]
+            np.copyto(back[t], 2, where=goes[2] > most)
+            value = np.maximum(most, goes[2]) + scores[t]
+        at = np.zeros(blocks, np.int64)
+        at[-1] = value[:, -1].argmax()
         for b in range(blocks - 1, 0, -1):
-            last[b - 1] = (entry[b] + best[b][:, last[b]]).argmax()
-        found = np.zeros((size, blocks), np.int8)
-        at = last
+            at[b - 1] = (entry[b] + by_block[b][:, at[b]]).argmax()
+        found, every = np.empty((size, blocks), np.int8), np.arange(blocks)
         for t in range(size - 1, -1, -1):
             found[t] = at
-            at = back[t, np.arange(blocks), at]
+            at = back[t, at, every]
         return found.T.ravel()[:n]
 
 
@@ -317,16 +334,17 @@ def _added(field: Field, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarra
     return row[opens], points[start[opens]] - base, points[end[closes]] - base
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
     """The secrets of every whole text: (key, n_assign, n_access, n_hex, base, spans).
 
     `base` has the patterns' matches as (kind, start, end) in code points, end exclusive, by start, then kind; `spans` has these and what
     the field adds, of kind `crf`, where it touches no match. A null text counts as an empty one; null keys and repeated rows are
-    returned like others; other columns are not read. Where no text has a match, nothing can be learnt and nothing is added.
+    returned like others; other columns are not read. Without a field, one is learnt from these texts; where none has a match,
+    nothing can be learnt and nothing is added.
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
-    field = learnt(docs.select("text"))
+    field = field or learnt(docs.select("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
