@@ -321,22 +321,30 @@ def _(spark, sf):
     return forms(spark, sf).select("k", urls.page_label(shown).alias("n"))
 
 
-_NEAR = "[n for n in list_distinct(regexp_extract_all(t, '\\b(\\d+)\\b', 1)) if try_cast(n AS BIGINT) BETWEEN 2 AND 100]"
-
-
-@query(
-    "page_number_context",
-    f"""WITH d AS (SELECT doc_id, {sql_clean('text')} || '; see page ' || (doc_id % 120) AS t FROM documents),
-        n AS (SELECT doc_id, t, unnest({_NEAR}) AS n FROM d),
+def _near_sql(most: str) -> str:
+    numbers = f"[n for n in list_distinct(regexp_extract_all(t, '\\b(\\d+)\\b', 1)) if try_cast(n AS BIGINT) >= 2 {most}]"
+    return f"""WITH d AS (SELECT doc_id, {sql_clean('text')} || '; see page ' || (doc_id % 120) AS t FROM documents),
+        n AS (SELECT doc_id, t, unnest({numbers}) AS n FROM d),
         w AS (SELECT *, instr(t, n) - 1 AS spot FROM n)
         SELECT d.doc_id, max(CAST(n AS BIGINT)) AS n FROM d LEFT JOIN (SELECT * FROM w WHERE
         {sql_any("lower(substring(t, greatest(spot - 50, 0) + 1, spot + 50 - greatest(spot - 50, 0)))", ['page', 'next', 'previous'])}) w
-        USING (doc_id) GROUP BY d.doc_id""",
-)
-def _(spark, sf):
+        USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _near(spark, sf, most=None):
     shown = F.concat(text.clean_text(col("text")), F.lit("; see page "), col("doc_id") % 120)
     docs = table(spark, sf, "documents").select("doc_id", shown.alias("t"))
-    return docs.select("doc_id", urls.page_number_near_words(col("t")).alias("n"))
+    return docs.select("doc_id", urls.page_number_near_words(col("t"), most=most).alias("n"))
+
+
+@query("page_number_context", _near_sql(""))
+def _(spark, sf):
+    return _near(spark, sf)
+
+
+@query("page_number_context_limited", _near_sql("AND try_cast(n AS BIGINT) <= 100"))
+def _(spark, sf):
+    return _near(spark, sf, most=100)
 
 
 @query(
