@@ -579,3 +579,37 @@ def _(spark, sf):
         F.lit(None).cast("string").alias("company"),
     )
     return C.classify_by_table(named, rules, "c_custkey", fold_keywords=True)
+
+
+def _own_rules(spark, rules):
+    """Rules as a table, as another system would hand them over."""
+    return spark.createDataFrame([tuple(r) for r in rules], "category string, ord int, tier string, keyword string")
+
+
+@query("keyword_hits_by_table", f"WITH {_SQL_SRC}, {HITS} SELECT id AS doc_id, category, tier, keyword, points FROM hits")
+def _(spark, sf):
+    found = C.hits_by_table(_docs(spark, sf), _own_rules(spark, C.weighted_rules()), "doc_id")
+    return found.select("doc_id", "category", "tier", "keyword", "points")
+
+
+@query("classify_first_by_table", f"WITH {_SQL_SRC}, {FIRST_CATEGORIES} SELECT id AS doc_id, nullif(category, 'Other') AS category FROM categories")
+def _(spark, sf):
+    found = C.classify_by_table(_docs(spark, sf), _own_rules(spark, C.first_match_rules()), "doc_id", mode="first")
+    return found.select("doc_id", "category")
+
+
+@query(
+    "classify_rules_of_terms",
+    f"""WITH {_SQL_SRC}, terms AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM documents),
+        rules AS (SELECT 'T' || length(keyword) AS category, length(keyword) AS ord, keyword FROM terms WHERE length(keyword) > 11), hits AS (SELECT id, category, ord, count(*) * 8 AS score FROM (SELECT id, lower(coalesce(description, '')) AS d FROM src), rules
+        WHERE contains(d, keyword) GROUP BY ALL),
+        best AS (SELECT id, arg_max(category, score * 1000 - ord) AS category, max(score) AS score FROM hits GROUP BY 1)
+        SELECT id AS doc_id, category, score FROM src LEFT JOIN best USING (id)""",
+)
+def _(spark, sf):
+    """Thousands of rules that Spark takes from the texts themselves, in several automata."""
+    docs = _docs(spark, sf)
+    terms = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).where("length(keyword) > 11").distinct()
+    rules = terms.selectExpr("concat('T', length(keyword)) AS category", "length(keyword) AS ord", "'primary' AS tier", "keyword")
+    untitled = docs.withColumns({"title": F.lit(None).cast("string"), "company": F.lit(None).cast("string")})
+    return C.classify_by_table(untitled, rules, "doc_id", characters=20_000).select("doc_id", "category", "score")

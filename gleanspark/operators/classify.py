@@ -7,6 +7,7 @@ all keywords, and only the few keywords found are weighed. Keywords match as pla
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.arrays import any_of, constant, first, let, words
+from . import keywords
 
 RULES_TYPE = "array<struct<category:string,ord:int,tier:string,keyword:string>>"
 
@@ -48,12 +50,15 @@ def first_match_rules() -> list[Rule]:
     ]
 
 
-def rules_from(table: DataFrame) -> list[Rule]:
+def rules_from(table: DataFrame, most: int = 5000) -> list[Rule]:
     """Rules of a table ``(category, ord, tier, keyword)`` that travel inside the plan.
 
-    Meant for rules that people wrote; a table of any size goes to ``classify_by_table``.
+    Meant for rules that people wrote; a table with over ``most`` is refused, one of any size goes to ``classify_by_table``.
     """
-    return sorted((Rule(*row) for row in table.select(*Rule._fields).collect()), key=lambda r: r.ord)
+    rows = table.select(*Rule._fields).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules do not fit in a plan; use classify_by_table")
+    return sorted((Rule(*row) for row in rows), key=lambda r: r.ord)
 
 
 def _prepared(rules: list[Rule], fold_keywords: bool) -> list[Rule]:
@@ -94,16 +99,16 @@ def _found_rules(rules: list[Rule], texts: Column) -> Column:
     One pass finds the longest keyword at every position; the other keywords starting there are its
     beginnings, so each keyword stands for its own rules and those of the keywords it starts with.
     """
-    keywords = sorted({r.keyword for r in rules})
+    known = sorted({r.keyword for r in rules})
     standing_for = constant(
-        [[r._asdict() for r in rules if k.startswith(r.keyword)] for k in keywords],
+        [[r._asdict() for r in rules if k.startswith(r.keyword)] for k in known],
         f"array<{RULES_TYPE}>",
     )
-    pattern = f"(?=({_prefix_pattern(keywords)}))"
+    pattern = f"(?=({_prefix_pattern(known)}))"
     found = F.array_distinct(F.regexp_extract_all(texts["all"], F.lit(pattern), F.lit(1)))
     groups = F.transform(
         found,
-        lambda k: F.get(standing_for, F.array_position(words(keywords), k).cast("int") - 1),
+        lambda k: F.get(standing_for, F.array_position(words(known), k).cast("int") - 1),
     )
     return F.array_distinct(F.flatten(groups))
 
@@ -243,27 +248,50 @@ def classify(
     return df.withColumn("category", category)
 
 
-def classify_by_table(df: DataFrame, rules: DataFrame, key: str, fold_keywords: bool = False) -> DataFrame:
-    """``(key, category, score)`` by a table of rules of any size: the category with the most points, null without any.
+def _rules_and_texts(df: DataFrame, rules: DataFrame, key: str, fold_keywords: bool) -> tuple[DataFrame, DataFrame]:
+    """Rules with keywords that can be found, and ``(key, title, description, company)`` in lower case."""
+    lowered = F.lower("keyword")
+    rules = rules.withColumn("keyword", lowered) if fold_keywords else rules.filter(F.col("keyword") == lowered)
+    texts = [_lower(F.col(name)).alias(name) for name in ("title", "description", "company")]
+    return rules, df.select(df[key].alias("key"), *texts)
+
+
+def hits_by_table(df: DataFrame, rules: DataFrame, key: str, fold_keywords: bool = False, characters: int = keywords.CHARACTERS) -> DataFrame:
+    """``(key, category, ord, tier, keyword, points)``: the rules of a table of any size that apply to each row."""
+    rules, texts = _rules_and_texts(df, rules, key, fold_keywords)
+    parts = [t.select(F.col("key").alias(key), F.inline("found")) for t in keywords.search(texts, rules, keywords.hits, characters)]
+    return reduce(DataFrame.unionByName, parts)
+
 
-    A keyword meets the texts that hold its first three characters (an equi join), and is then looked for as a whole;
-    neither side is collected or broadcast by hint.
+def classify_by_table(
+    df: DataFrame, rules: DataFrame, key: str, fold_keywords: bool = False, mode: str = "weighted", characters: int = keywords.CHARACTERS
+) -> DataFrame:
+    """``(key, category, score)`` for every row by a table of rules of any size; null without a category.
+
+    By mode ``weighted`` it is the category with the most points, the earliest of equals; by ``first`` the one of least order with a keyword in
+    any of the three texts, and the score is null. Keys may be null or repeated: each row is classified by itself. Where the rules
+    fit in one automaton, nothing is shuffled; else points by category and row are, and no text. ``characters`` bounds an automaton.
     """
-    table = rules.select(*Rule._fields).filter((F.col("keyword") != "") & F.col("keyword").isNotNull())
-    lowered = F.lower("keyword")
-    table = table.withColumn("keyword", lowered) if fold_keywords else table.filter(F.col("keyword") == lowered)
-    table = table.withColumn("_gram", F.substring("keyword", 1, 3)).distinct()
-    texts = df.select(F.col(key).alias("_key"), _texts(F.col("title"), F.col("description"), F.col("company")).alias("_t"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("_t.all"), F.lit(1)))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(starts, lambda i: F.substring(F.col("_t.all"), i, F.lit(n)))
-
-    grams = [grams_of(n) for n in (1, 2, 3)]
-    met = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams)))).join(table, "_gram")
-    rule = F.struct(*Rule._fields)
-    points = met.withColumn("_points", F.when(F.contains(F.col("_t.all"), F.col("keyword")), _points(rule, F.col("_t"))))
-    scores = points.filter(F.col("_points").isNotNull()).groupBy("_key", "category", "ord").agg(F.sum("_points").alias("score"))
-    best = scores.filter("score > 0").groupBy("_key").agg(F.min(F.struct((-F.col("score")).alias("rank"), "ord", "category")).alias("best"))
-    found = texts.select("_key").join(best, "_key", "left")
-    return found.select(F.col("_key").alias(key), F.col("best.category").alias("category"), (-F.col("best.rank")).alias("score"))
+    rules, texts = _rules_and_texts(df, rules, key, fold_keywords)
+    weighted = mode == "weighted"
+    parts = keywords.search(texts, rules, keywords.scores if weighted else keywords.firsts, characters)
+
+    def best(found: Column) -> Column:
+        if not weighted:
+            return F.array_min(found)
+        ranked = F.transform(F.filter(found, lambda s: s["score"] > 0), lambda s: F.struct((-s["score"]).alias("rank"), s["ord"], s["category"]))
+        return F.array_min(ranked)
+
+    if len(parts) == 1:
+        table = parts[0].select("key", best(F.col("found")).alias("best"))
+    else:
+        rows = reduce(DataFrame.unionByName, parts)
+        if weighted:
+            each = rows.select("row", F.inline("found")).groupBy("row", "category", "ord").agg(F.sum("score").alias("score"))
+            found = F.struct((-F.col("score")).alias("rank"), "ord", "category")
+            each = each.where("score > 0").groupBy("row").agg(F.min(found).alias("best"))
+        else:
+            each = rows.select("row", F.inline("found")).groupBy("row").agg(F.min(F.struct("ord", "category")).alias("best"))
+        table = parts[0].select("key", "row").join(each, "row", "left")
+    score = -F.col("best.rank") if weighted else F.lit(None).cast("bigint")
+    return table.select(F.col("key").alias(key), F.col("best.category").alias("category"), score.alias("score"))

@@ -238,6 +238,42 @@ def test_rules_by_table(spark):
     assert got == {0: ("A", 7), 1: ("C", 5), 2: (None, None), 3: ("D", 40), 4: (None, None)}
 
 
+@pytest.mark.parametrize("characters", [2_000_000, 300])
+def test_rules_by_table_for_any_keys(spark, characters):
+    """Null and repeated keys, keywords that contain each other or cross two texts, repeated and null rules; one automaton or several."""
+    rules = [("A", 0, "primary", "nurse"), ("A", 0, "primary", "nurse"), ("B", 1, "primary", "urs"), ("B", 1, "exclusion", "x y"), (None, 2, "primary", "odd"), ("C", 3, "primary", None), ("C", 3, "primary", "")]
+    rules += [("D", 4, "secondary", f"word{i}") for i in range(200)]
+    table = spark.createDataFrame(rules, "category string, ord int, tier string, keyword string")
+    texts = [(1, "nurse", "", ""), (1, "nurse", "", ""), (None, "a nurse", None, None), (None, "none", "", ""), (2, "urs x", "y", ""), (3, "", "odd", ""), (4, "", "", "word1 word7"), (5, "é word3", None, "")]
+    df = spark.createDataFrame(texts, "k int, title string, description string, company string").withColumn("found", F.lit(1)).withColumn("row", F.lit(2))
+    got = sorted(map(tuple, C.classify_by_table(df, table, "k", characters=characters).collect()), key=repr)
+    # both rules of a keyword inside another count; "x y" is met across the border of two texts
+    want = [(1, "A", 10), (1, "A", 10), (None, "A", 10), (None, None, None), (2, "B", 7), (3, None, 8), (4, "D", 2), (5, "D", 3)]
+    assert got == sorted(want, key=repr)
+    firsts = sorted(((r.k, r.category) for r in C.classify_by_table(df, table, "k", mode="first", characters=characters).collect()), key=repr)
+    assert firsts == sorted([(1, "A"), (1, "A"), (None, "A"), (None, None), (2, "B"), (3, None), (4, "D"), (5, "D")], key=repr)
+    hits = sorted((tuple(r) for r in C.hits_by_table(df, table, "k", characters=characters).where("k in (1, 2)").collect()), key=repr)
+    once = [(1, "A", 0, "primary", "nurse", 10), (1, "B", 1, "primary", "urs", 10)]
+    assert hits == sorted([*once, *once, (2, "B", 1, "exclusion", "x y", -3), (2, "B", 1, "primary", "urs", 10)], key=repr)
+    none = C.classify_by_table(df, table.limit(0), "k", characters=characters).collect()
+    assert len(none) == len(texts) and all(r.category is None for r in none)
+
+
+def test_hundred_thousand_rules_without_a_shuffle(spark):
+    rules = spark.range(100_000).selectExpr("concat('C', id % 50) AS category", "CAST(id % 50 AS INT) AS ord", "'primary' AS tier", "concat('word', id, 'x') AS keyword")
+    df = spark.range(200).selectExpr("id AS k", "concat('a word', id * 499, 'x here') AS title", "CAST(NULL AS STRING) AS description", "'' AS company")
+    found = C.classify_by_table(df, rules, "k")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: (r.category, r.score) for r in found.collect()} == {k: (f"C{k * 499 % 50}", 10) for k in range(200)}
+
+
+def test_too_many_rules_for_a_plan(spark):
+    table = spark.range(30).selectExpr("'A' AS category", "0 AS ord", "'primary' AS tier", "concat('word', id) AS keyword")
+    assert len(C.rules_from(table)) == 30
+    with pytest.raises(ValueError, match="classify_by_table"):
+        C.rules_from(table, most=20)
+
+
 def test_scores_like_a_plain_loop(spark):
     rng = random.Random(2)
     words = sorted({r.keyword for r in C.weighted_rules()}) + ["zz", "of", "IT", "accountants"]
