@@ -1,7 +1,8 @@
 """Listings joined to the facts of their detail pages.
 
 Detail pages are read where they lie and reduced to a few short columns before anything is
-shuffled, so no HTML crosses the network. One row per URL is kept, and repeats are dropped before the
+shuffled, so no HTML crosses the network. Listings are stored first, so that a filter over their URLs can tell
+which pages are wanted at all, and by which finder. One row per URL is kept, and repeats are dropped before the
 shuffle too. The join itself is a plain equi join: with adaptive execution Spark broadcasts a side only
 after measuring it, and splits the partition of a URL that very many listings share.
 """
@@ -15,8 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.urls import without_fragment
+from ..sources.stored import stored
 from .extract import detail_record
 from .nodes import shred
+from .wanted import uses_of
 
 
 Contact = Callable[[Column], Column]
@@ -27,19 +30,28 @@ def detail_facts(
     contacts: dict[str, Contact],
     with_record: bool = False,
     limits: dict[str, int] | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """``(detail_url, detail)`` with one row per URL (the lowest page id of several), fragments dropped.
 
     Each detail page is read once, however many profiles look it up: ``detail`` has a column per
-    entry of ``contacts`` and, if asked for, the fields of a whole listing as ``record``.
+    entry of ``contacts`` and, if asked for, the fields of a whole listing as ``record``. With ``wanted``, rows ``(url, use)``, only
+    pages of these URLs are parsed, and a page is searched only by the finders that it is looked up for: use n is the n-th of
+    ``contacts``, and one more number stands for the record.
     """
     nodes = F.col("nodes")
-    fields = {name: contact(nodes) for name, contact in contacts.items()}
+    finders = dict(contacts)
     if with_record:
-        fields["record"] = detail_record(nodes, limits)
+        finders["record"] = lambda found: detail_record(found, limits)
     order = ["page_id"] if "page_id" in details.columns else []
+    pages = details.select(*order, "url", "html")
+    if wanted is None:
+        fields = {name: find(nodes) for name, find in finders.items()}
+    else:
+        pages = pages.withColumn("_uses", uses_of(wanted, F.col("url"), len(finders))).filter("_uses <> 0")
+        fields = {name: F.when(F.col("_uses").bitwiseAND(1 << n) != 0, find(nodes)) for n, (name, find) in enumerate(finders.items())}
     facts = (
-        shred(details.select(*order, "url", "html"))
+        shred(pages)
         .filter(F.col("url").isNotNull() & F.col("parse_error").isNull())
         .select(
             without_fragment(F.col("url")).alias("detail_url"),
@@ -79,12 +91,16 @@ def enrich(
 
     A left join keeps every listing and uses the default where no address is found; an inner join
     drops listings without a detail page and adds the fields of that page as ``detail.record``. With
-    ``top_n`` only listings of that rank within their page (column ``rank``) are looked up.
+    ``top_n`` only listings of that rank within their page (column ``rank``) are looked up, and only their pages read.
     """
     if top_n is not None:
         looked_up = F.when(F.col("rank") <= top_n, F.col("detail_url"))
         listings = listings.withColumn("detail_url", looked_up)
-    facts = detail_facts(details, {"apply_email": contact}, with_record=how == "inner")
+    listings = stored(listings)
+    whole = how == "inner"
+    uses = F.array(F.lit(0), F.lit(1)) if whole else F.array(F.lit(0))
+    wanted = listings.select(F.col("detail_url").alias("url"), F.explode(uses).alias("use"))
+    facts = detail_facts(details, {"apply_email": contact}, with_record=whole, wanted=wanted)
     email = F.coalesce(F.col("detail.apply_email"), F.lit(default))
     found = lookup(listings, facts, how).withColumn("apply_email", email)
     return found if how == "inner" else found.drop("detail")

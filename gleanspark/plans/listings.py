@@ -14,6 +14,7 @@ from ..operators import enrich
 from ..operators.classify import CLASSIFIERS
 from ..operators.nodes import shred
 from ..sources.pages import first_pages
+from ..sources.stored import stored
 from .profiles import Registry, SiteProfile
 
 COLUMNS = [
@@ -73,7 +74,8 @@ def with_details(
 ) -> DataFrame:
     """Add addresses, and the whole listing where the detail page makes it.
 
-    One join serves all profiles. Links without a detail page are dropped, other listings stay.
+    One join serves all profiles. Links without a detail page are dropped, other listings stay. The listings are stored first:
+    detail pages that none of them looks up are not parsed.
     """
     default = _by_site(profiles, lambda p: p.default_contact)
     found_by = list(dict.fromkeys(p.contact for p in profiles if p.contact))
@@ -82,11 +84,19 @@ def with_details(
         return raw.filter(~F.col("site").isin(*made)).withColumn("apply_email", default)
     names = {contact: f"contact_{i}" for i, contact in enumerate(found_by)}
     from_detail = [p for p in profiles if p.detail_record]
+    raw = stored(raw)
+
+    def uses(p: SiteProfile) -> Column:
+        own = [found_by.index(p.contact)] if p.contact else []
+        return F.array(*map(F.lit, [*own, *([len(found_by)] if p.detail_record and p.contact else [])])).cast("array<int>")
+
+    wanted = raw.select(F.col("detail_url").alias("url"), F.explode(_by_site(profiles, uses)).alias("use"))
     facts = enrich.detail_facts(
         details,
         {name: contact for contact, name in names.items()},
         bool(from_detail),
         from_detail[0].limits if from_detail else None,
+        wanted,
     )
     # the URL is only a key for profiles that look their listings up
     key = _by_site(profiles, lambda p: F.col("detail_url") if p.contact else F.lit(None))

@@ -39,9 +39,32 @@ def test_one_read_and_one_join_for_all_sites(spark):
     schema = "page_id long, site string, page_num int, url string, html string"
     pages = spark.createDataFrame([(1, "cards", 1, "u", "<p>")], schema)
     text = plan(L.run(pages, pages.select("page_id", "url", "html"), AS_OF, registry))
-    assert text.count("MapInArrow") == 2
+    # listings are stored before the join, so what is left reads each detail page once, after the filter on its URL
+    assert text.count("MapInArrow") == 1 and text.count("ArrowEvalPython") == 1
+    assert text.index("MapInArrow") < text.index("ArrowEvalPython")
     assert text.count("Join") == 1
-    assert "PythonUDF" not in text and "CartesianProduct" not in text
+    assert "CartesianProduct" not in text
+
+
+def test_only_wanted_details_are_parsed(spark):
+    """No wanted page is lost, hardly any other is read, and a page is searched only for what it is looked up for."""
+    details = spark.range(30_000).selectExpr("id AS page_id", "concat('u', id, IF(id % 5 = 0, '#x', '')) AS url", "concat('<p>e', id, '@x.com</p>') AS html")
+    wanted = spark.range(0, 30_000, 10).selectExpr("concat('u', id, '#y') AS url", "CAST(id % 20 DIV 10 AS INT) AS use")
+    wanted = wanted.unionByName(wanted.limit(1).selectExpr("CAST(NULL AS STRING) AS url", "0 AS use"))
+    contact = Registry()["cards"].contact
+    facts = {int(r.detail_url[1:]): r.detail for r in enrich.detail_facts(details, {"a": contact, "b": contact}, wanted=wanted).collect()}
+    assert set(range(0, 30_000, 10)) <= set(facts) and len(facts) < 3_200
+    for k in range(0, 30_000, 10):
+        assert (facts[k].a, facts[k].b)[k % 20 // 10] == f"e{k}@x.com"
+    assert sum(f.a is not None and f.b is not None for f in facts.values()) < 200
+    assert enrich.detail_facts(details, {"a": contact}, wanted=wanted.limit(0)).isEmpty()
+
+
+def test_top_n_reads_only_their_pages(spark):
+    rows = spark.range(100).selectExpr("id AS page_id", "1 AS pos", "concat('u', id) AS detail_url", "CAST(id AS INT) AS rank")
+    details = spark.range(100).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('<p>e', id, '@x.com</p>') AS html")
+    found = enrich.enrich(rows, details, Registry()["cards"].contact, top_n=5, default="none")
+    assert {r.page_id: r.apply_email for r in found.collect()} == {k: f"e{k}@x.com" if k <= 5 else "none" for k in range(100)}
 
 
 def test_classify_is_map_only(spark):
