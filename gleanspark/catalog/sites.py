@@ -451,3 +451,19 @@ def _(spark, sf):
     folder = _folder(spark, "snapshot")
     sinks.write_snapshot(listed(spark, sf, "cards"), folder, "19980101_000000", f"{folder}/scratch")
     return sinks.read_json(spark, f"{folder}/json/latest")
+
+
+@query("sink_empty_run_keeps_latest", _JSON)
+def _(spark, sf):
+    """A run without listings leaves the snapshot before it as the latest."""
+    folder = _folder(spark, "snapshot")
+    found = listed(spark, sf, "cards")
+    sinks.write_snapshot(found, folder, "19980101_000000", f"{folder}/scratch")
+    sinks.write_snapshot(found.where("page_id < 0"), folder, "19980102_000000", f"{folder}/scratch")
+    return sinks.read_json(spark, f"{folder}/json/latest")
+
+
+@query("top3_company", f"SELECT company, count(*) AS n FROM ({_UNION}) GROUP BY company ORDER BY n DESC, company LIMIT 3")
+def _(spark, sf):
+    """A report of the caller's own column and length."""
+    return reports.count_by(_report(spark, sf), "company", top=3)

@@ -37,7 +37,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"`{name}` string" for name in fixed.CSV_NAMES.values())
-    return spark.read.options(**CSV_READ).schema(schema).csv(path)
+    return spark.read.options(**CSV_READ).schema(schema).csv(_followed(spark, path))
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -46,7 +46,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"`{name}` string" for name in fixed.JSON_NAMES.values())
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(_followed(spark, path))
 
 
 def write_quarantine(df: DataFrame, path: str, run_ts: str) -> None:
@@ -54,27 +54,68 @@ def write_quarantine(df: DataFrame, path: str, run_ts: str) -> None:
     df.write.mode("overwrite").json(f"{path}/run_ts={run_ts}")
 
 
+# --- snapshots ------------------------------------------------------------------------------------
+
+
 def _folder(spark: SparkSession, path: str):
     """The file system of a folder, whatever its store, and the folder in it."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
-def _replace(spark: SparkSession, new: str, old: str) -> None:
-    """Put a folder that is completely written in the place of another."""
-    system, target = _folder(spark, old)
-    system.delete(target, True)
-    system.mkdirs(target.getParent())
-    if not system.rename(_folder(spark, new)[1], target):
-        raise OSError(f"{new} could not be renamed to {old}")
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, file = _folder(spark, path)
+    stream = system.create(file, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None where there is none."""
+    system, file = _folder(spark, path)
+    if not system.exists(file):
+        return None
+    stream = system.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _put_over(spark: SparkSession, new: str, old: str) -> None:
+    """Put a file in the place of another in one step: at any time there is the old one or the new one."""
+    jvm, (system, target) = spark.sparkContext._jvm, _folder(spark, old)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(_folder(spark, new)[1]), context.makeQualified(target), options)
+
+
+POINTER = "_latest"
+
+
+def latest(spark: SparkSession, out: str) -> str | None:
+    """The folder's name of the last whole snapshot, the same for all its copies; None before the first."""
+    return _read_text(spark, f"{out}/{POINTER}")
+
+
+def _followed(spark: SparkSession, path: str) -> str:
+    """``<out>/<kind>/latest`` as the folder that the pointer names; other paths as they are."""
+    parent, _, last = path.rstrip("/").rpartition("/")
+    name = latest(spark, parent.rpartition("/")[0]) if last == "latest" else None
+    return path if name is None else f"{parent}/{name}"
 
 
 def write_snapshot(df: DataFrame, out: str, run_ts: str, scratch: str) -> bool:
-    """Write a timed snapshot, then the latest copy; nothing at all if there are no listings.
+    """Write a snapshot and make it the latest; nothing at all if there are no listings.
 
     The listings are computed once, into a table in ``scratch`` (a folder that all executors share) from which
-    all copies are written; it goes at the end. A latest copy is written beside the old one and takes its place when
-    it is complete.
+    all copies are written; it goes at the end. Every run has folders of its own, also when it is repeated. When all copies are complete,
+    a pointer file is put over the old one: ``read_csv`` and ``read_json`` of ``<out>/<kind>/latest`` follow it, so a reader gets
+    one whole snapshot, whenever the run stops.
     """
     spark = df.sparkSession
     name = uuid.uuid4().hex
@@ -85,10 +126,13 @@ def write_snapshot(df: DataFrame, out: str, run_ts: str, scratch: str) -> bool:
         stored = spark.read.schema(df.schema).parquet(table)
         if stored.isEmpty():
             return False
+        run = f"run_ts={run_ts}"
+        if any(system.exists(_folder(spark, f"{out}/{kind}/{run}")[1]) for kind in ("csv", "json")):
+            run = f"{run}-{name}"
         for kind, write in (("csv", write_csv), ("json", write_json)):
-            write(stored, f"{out}/{kind}/run_ts={run_ts}")
-            write(stored, f"{out}/{kind}/_new-{name}")
-            _replace(spark, f"{out}/{kind}/_new-{name}", f"{out}/{kind}/latest")
+            write(stored, f"{out}/{kind}/{run}")
+        _write_text(spark, f"{out}/{POINTER}-{name}", run)
+        _put_over(spark, f"{out}/{POINTER}-{name}", f"{out}/{POINTER}")
         return True
     finally:
         system.delete(folder, True)

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanspark import fixed
@@ -145,6 +146,29 @@ def test_snapshot_and_empty_guard(spark, tmp_path):
     assert sinks.read_json(spark, f"{out}/json/latest").count() == 1
 
 
+@pytest.mark.parametrize("step", ["write_csv", "write_json", "_write_text", "_put_over", None])
+def test_a_stopped_run_leaves_a_whole_snapshot(spark, tmp_path, monkeypatch, step):
+    """Wherever a second run stops, both copies are those of the first; when it ends, those of the second. A repeated run is one more."""
+    out, scratch = str(tmp_path), str(tmp_path / "scratch")
+    names = ["title", "company", "location", "category", "expiry_text", "description", "source_site", "apply_email"]
+    made = lambda n: spark.range(n).select(*[F.lit(f"{n}").alias(x) for x in names], F.lit("1").alias("id"))
+
+    def read():
+        return [(df.count(), df.first()[0]) for df in (sinks.read_csv(spark, f"{out}/csv/latest"), sinks.read_json(spark, f"{out}/json/latest"))]
+
+    assert sinks.latest(spark, out) is None
+    assert sinks.write_snapshot(made(3), out, "t1", scratch)
+    assert [n for n, _ in read()] == [3, 3]
+    if step is not None:
+        monkeypatch.setattr(sinks, step, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError, match="stopped"):
+            sinks.write_snapshot(made(2), out, "t1", scratch)
+        assert [n for n, _ in read()] == [3, 3] and sinks.latest(spark, out) == "run_ts=t1"
+        monkeypatch.undo()
+    assert sinks.write_snapshot(made(2), out, "t1", scratch)
+    assert [n for n, _ in read()] == [2, 2] and sinks.read_csv(spark, f"{out}/csv/run_ts=t1").count() == 3
+
+
 def test_csv_keeps_awkward_text(spark, tmp_path):
     values = [' a "b"\nc, ', "\\", "", None, "tab\t"]
     columns = ["title", "company", "location", "category", "expiry_text", "description", "source_site", "apply_email"]
