@@ -467,3 +467,35 @@ def _(spark, sf):
 def _(spark, sf):
     """A report of the caller's own column and length."""
     return reports.count_by(_report(spark, sf), "company", top=3)
+
+
+def _damaged(spark, sf):
+    """Cards and JSON-LD pages: some without HTML, some with a script more that is no JSON."""
+    found = listing_pages(spark, sf, "cards", "jsonld")
+    script = F.lit('<script type="application/ld+json">{"@type":</script>')
+    html = F.when(col("site") == "jsonld", F.concat(col("html"), F.when(col("page_id") % 6 == 1, script).otherwise(F.lit("")))).otherwise(col("html"))
+    return found.withColumn("html", F.when(col("page_id") % 7 != 3, html))
+
+
+@query(
+    "rejected_rows",
+    f"""WITH {POSTS}, n AS (SELECT page_id, max(pos) AS most FROM posts GROUP BY page_id)
+        SELECT page_id, site, 'page' AS part, CAST(NULL AS INT) AS pos, 'no html' AS reason, CAST(NULL AS VARCHAR) AS text
+        FROM n, (VALUES ('cards'), ('jsonld')) AS s(site) WHERE page_id % 7 = 3
+        UNION ALL SELECT page_id, 'cards', 'row', pos, 'date not read', nullif(expiry_text, 'N/A') FROM posts WHERE page_id % 7 <> 3 AND strict_day IS NULL
+        UNION ALL SELECT page_id, 'jsonld', 'script', pos, 'field of an unexpected type', NULL FROM posts
+        WHERE page_id % 7 <> 3 AND page_id % 4 <> 0 AND k % 5 = 3
+        UNION ALL SELECT page_id, 'jsonld', 'script', CAST(CASE WHEN page_id % 4 = 0 THEN 1 ELSE most + 1 END AS INT), 'no json', NULL
+        FROM n WHERE page_id % 7 <> 3 AND page_id % 6 = 1""",
+)
+def _(spark, sf):
+    _, rejects = L.run_with_rejects(_damaged(spark, sf), None, AS_OF, Registry(), ["cards", "jsonld"])
+    shown = F.when(col("part") == "row", col("text")).alias("text")
+    return rejects.select("page_id", "site", "part", "pos", "reason", shown)
+
+
+@query("listings_beside_rejects", expected("cards"))
+def _(spark, sf):
+    """The listings of a run that also keeps what it could not read."""
+    found, _ = L.run_with_rejects(listing_pages(spark, sf, "cards"), detail_pages(spark, sf, "cards"), AS_OF, Registry(), ["cards"])
+    return found.select(*OUTPUT)

@@ -224,8 +224,8 @@ def json_values(nodes: Column) -> Column:
     return F.transform(N.json_ld(nodes), lambda t: F.try_parse_json(t))
 
 
-def jsonld(nodes: Column, site: dict) -> Column:
-    """``JobPosting`` objects, one per script. Fields of an unexpected type drop the posting."""
+def _posting(v: Column, site: dict) -> Column:
+    """The listing of a ``JobPosting`` object; null where a field has an unexpected type."""
 
     def string_or(value: Column, path: str, default: str) -> Column:
         """Default where absent, null where present but not a string."""
@@ -238,31 +238,57 @@ def jsonld(nodes: Column, site: dict) -> Column:
         """The field is absent or an object."""
         return let(_variant(value, path), lambda v: v.isNull() | _is_object(v))
 
-    def read(v: Column) -> Column:
-        locality = _variant(v, "$.jobLocation.address.addressLocality")
-        whole = (
-            below(v, "$.hiringOrganization")
-            & below(v, "$.jobLocation")
-            & below(v, "$.jobLocation.address")
-        )
-        return F.when(
-            whole,
-            row(
-                pos=F.lit(1),
-                title=string_or(v, "$.title", fixed.JSONLD_TITLE),
-                company=string_or(v, "$.hiringOrganization.name", site["company"]),
-                location=F.when(locality.isNull(), F.lit(site["location"])).otherwise(
-                    _variant(v, "$.jobLocation.address.addressLocality", "string")
-                ),
-                description=string_or(v, "$.description", fixed.JSONLD_DESCRIPTION),
+    locality = _variant(v, "$.jobLocation.address.addressLocality")
+    whole = (
+        below(v, "$.hiringOrganization")
+        & below(v, "$.jobLocation")
+        & below(v, "$.jobLocation.address")
+    )
+    found = F.when(
+        whole,
+        row(
+            pos=F.lit(1),
+            title=string_or(v, "$.title", fixed.JSONLD_TITLE),
+            company=string_or(v, "$.hiringOrganization.name", site["company"]),
+            location=F.when(locality.isNull(), F.lit(site["location"])).otherwise(
+                _variant(v, "$.jobLocation.address.addressLocality", "string")
             ),
-        )
+            description=string_or(v, "$.description", fixed.JSONLD_DESCRIPTION),
+        ),
+    )
+    return let(
+        found,
+        lambda r: F.when(r["title"].isNotNull() & r["company"].isNotNull() & r["description"].isNotNull(), r),
+    )
 
+
+def jsonld(nodes: Column, site: dict) -> Column:
+    """``JobPosting`` objects, one per script. Fields of an unexpected type drop the posting."""
     postings = F.filter(json_values(nodes), lambda v: _is_object(v) & _is_posting(v))
-    return F.filter(
-        F.transform(postings, read),
-        lambda r: r["title"].isNotNull() & r["company"].isNotNull() & r["description"].isNotNull(),
-    )
+    return F.filter(F.transform(postings, lambda v: _posting(v, site)), lambda r: r.isNotNull())
+
+
+REJECT = "struct<part:string,pos:int,reason:string,text:string>"
+
+
+def reject(part: str, reason: str | Column, pos: Column | None = None, text: Column | None = None) -> Column:
+    """What could not be read: a ``page``, a ``script`` or a ``row``, its place in the page, why, and its text."""
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    values = {"part": F.lit(part), "pos": F.lit(None) if pos is None else pos, "reason": reason, "text": F.lit(None) if text is None else text}
+    return F.struct(*[v.cast("int" if n == "pos" else "string").alias(n) for n, v in values.items()])
+
+
+def script_rejects(nodes: Column, site: dict) -> Column:
+    """JSON-LD scripts that are no JSON, and postings that are dropped for a field's type, as ``array<struct<REJECT>>``."""
+
+    def read(text: Column, i: Column) -> Column:
+        def judge(v: Column) -> Column:
+            odd = _is_object(v) & _is_posting(v) & _posting(v, site).isNull()
+            return F.when(v.isNull(), F.lit("no json")).when(odd, F.lit("field of an unexpected type"))
+
+        return reject("script", let(F.try_parse_json(text), judge), i + 1, text)
+
+    return F.filter(F.transform(N.json_ld(nodes), read), lambda r: r["reason"].isNotNull())
 
 
 def generic(nodes: Column, site: dict) -> Column:

@@ -12,6 +12,7 @@ from ..functions.urls import frontier as still_to_fetch
 from ..functions.urls import page_of
 from ..operators import enrich
 from ..operators.classify import CLASSIFIERS
+from ..operators.extract import REJECT, ROW, reject
 from ..operators.nodes import shred
 from ..sources.pages import first_pages
 from ..sources.stored import stored
@@ -70,7 +71,7 @@ def current_only(df: DataFrame, profiles: list[SiteProfile], as_of: str) -> Data
 
 
 def with_details(
-    raw: DataFrame, profiles: list[SiteProfile], details: DataFrame | None
+    raw: DataFrame, profiles: list[SiteProfile], details: DataFrame | None, is_stored: bool = False
 ) -> DataFrame:
     """Add addresses, and the whole listing where the detail page makes it.
 
@@ -84,7 +85,7 @@ def with_details(
         return raw.filter(~F.col("site").isin(*made)).withColumn("apply_email", default)
     names = {contact: f"contact_{i}" for i, contact in enumerate(found_by)}
     from_detail = [p for p in profiles if p.detail_record]
-    raw = stored(raw)
+    raw = raw if is_stored else stored(raw)
 
     def uses(p: SiteProfile) -> Column:
         own = [found_by.index(p.contact)] if p.contact else []
@@ -169,6 +170,44 @@ def extract(
     return finish(with_details(raw, profiles, details), profiles, as_of)
 
 
+def tagged(shredded: DataFrame, profiles: list[SiteProfile]) -> DataFrame:
+    """What each page holds, as ``listing`` or, where it cannot be read, as ``reject``; the other one is null.
+
+    Rejects are the page itself, parts that a profile's ``rejects`` names, and listings whose date decides whether they are kept
+    but cannot be read.
+    """
+    nodes, none = F.col("nodes"), F.array().cast(f"array<{REJECT}>")
+    rows = _by_site(profiles, lambda p: p.rows(nodes))
+    parts = _by_site(profiles, lambda p: p.rejects(nodes) if p.rejects else none)
+    page = F.when(F.col("parse_error").isNotNull(), F.array(reject("page", F.col("parse_error")))).otherwise(none)
+    items = F.concat(
+        F.transform(rows, lambda r: F.struct(r.alias("listing"), F.lit(None).cast(REJECT).alias("reject"))),
+        F.transform(F.concat(page, parts), lambda r: F.struct(F.lit(None).cast(ROW).alias("listing"), r.alias("reject"))),
+    )
+    found = shredded.select("page_id", "site", "page_num", "url", F.inline(items))
+    dated = [p.name for p in profiles if p.filter_current and p.on_unparsed == "drop"]
+    listing = F.col("listing")
+    undated = listing.isNotNull() & F.col("site").isin(*dated) & listing["expiry_date"].isNull()
+    late = reject("row", "date not read", listing["pos"], listing["expiry_text"])
+    return found.withColumns({"reject": F.when(undated, late).otherwise(F.col("reject")), "listing": F.when(~undated, listing)})
+
+
+def extract_with_rejects(
+    pages: DataFrame, profiles: list[SiteProfile], as_of: str, details: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Finished listings, and what could not be read as ``(page_id, url, site, page_num, part, pos, reason, text)``.
+
+    Pages are read once: listings and rejects are written together and split when they are read again.
+    """
+    wanted = pages.filter(F.col("site").isin(*[p.name for p in profiles]))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    both = stored(tagged(shred(wanted.select("page_id", "site", "page_num", url.alias("url"), "html")), profiles))
+    raw = both.filter("listing IS NOT NULL").select("page_id", "site", "page_num", "listing.*")
+    found = with_details(current_only(raw, profiles, as_of), profiles, details, is_stored=True)
+    rejects = both.filter("reject IS NOT NULL").select("page_id", "url", "site", "page_num", "reject.*")
+    return finish(found, profiles, as_of), rejects
+
+
 def run(
     pages: DataFrame,
     details: DataFrame | None,
@@ -188,6 +227,15 @@ def run(
     return extract(first_pages(pages) if first_page_only else pages, chosen, as_of, details)
 
 
+def run_with_rejects(
+    pages: DataFrame, details: DataFrame | None, as_of: str, registry: Registry | None = None, profiles: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """As ``run``, and beside the listings everything that could not be read."""
+    registry = registry or Registry()
+    chosen = [registry[n] for n in profiles] if profiles else registry.current()
+    return extract_with_rejects(routed(pages, registry, chosen), chosen, as_of, details)
+
+
 def routed(pages: DataFrame, registry: Registry, profiles: list[SiteProfile]) -> DataFrame:
     """Pages with ``page_id, site, page_num``; those that are there stay."""
     url = F.col("url")

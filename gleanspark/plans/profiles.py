@@ -22,7 +22,8 @@ class SiteProfile:
     ``rows`` maps the nodes of a listing page to listings, ``total_pages`` to the number of pages,
     and ``contact`` maps the nodes of a detail page to an address. Without ``contact`` no detail page
     is looked up; with ``detail_record`` the detail page makes the whole listing. ``limits`` cut rows,
-    characters and page numbers (``fixed.LIMITS`` has those of the built-in sites); without them all are kept.
+    characters and page numbers (``fixed.LIMITS`` has those of the built-in sites); without them all are kept. ``rejects`` maps the
+    nodes of a listing page to the parts of it that ``rows`` cannot read.
     """
 
     name: str
@@ -39,6 +40,7 @@ class SiteProfile:
     on_unparsed: str = "drop"
     classifier: str = "weighted"
     limits: dict[str, int] = field(default_factory=dict)
+    rejects: Callable[[Column], Column] | None = None
 
     @property
     def host(self) -> str:
@@ -113,6 +115,7 @@ def builtin_profiles(limits: dict[str, dict[str, int]] | None = None) -> dict[st
             extract.jsonld_or_placeholder,
             total_pages=pagination.in_links,
             page_url=urls.query_url,
+            rejects=lambda nodes: extract.script_rejects(nodes, fixed.SITES["jsonld"]),
         ),
         make(
             "candidates",
