@@ -11,6 +11,7 @@ from ..functions.text import lines
 from ..operators import enrich
 from ..operators import extract as X
 from ..operators import nodes as N
+from ..operators.css import select_css
 from ..operators import pagination
 from ..operators.reports import count_by
 from ..plans import listings as L
@@ -120,6 +121,36 @@ def _(spark, sf):
     )
 
 
+@query(
+    "select_css",
+    f"""WITH {POSTS}, each AS (SELECT page_id, unnest(CASE k % 4 WHEN 0 THEN ['article'] WHEN 1 THEN ['div.job-listing', 'div.post']
+        WHEN 2 THEN ['div.job'] ELSE ['li.job'] END) AS selector FROM posts)
+        SELECT page_id, selector, CAST(count(*) AS INT) AS n FROM each GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Elements found by each of ten selectors, all given as strings."""
+    counts = [
+        F.struct(F.lit(s).alias("selector"), F.size(select_css(col("nodes"), s)).alias("n")) for s in fixed.CANDIDATE_SELECTORS
+    ]
+    found = N.shred(listing_pages(spark, sf, "candidates").select("page_id", "html"))
+    return found.select("page_id", F.inline(F.array(*counts))).where("n > 0")
+
+
+@query(
+    "select_css_paths",
+    f"""WITH {LINKS}, a AS (SELECT page_id, count(*) AS links FROM links GROUP BY page_id),
+        p AS (SELECT page_id, {ARTICLE} AS article FROM pages)
+        SELECT page_id, CAST(len(regexp_extract_all(article, '<p>')) AS INT) AS paragraphs,
+        CAST(len(regexp_extract_all(article, '<h1>')) AS INT) AS titles, CAST(coalesce(links, 0) AS INT) AS links
+        FROM p LEFT JOIN a USING (page_id)""",
+)
+def _(spark, sf):
+    """Elements below the article and right below it, and links wherever they are."""
+    wanted = {"paragraphs": "html body article p", "titles": "article > h1", "links": "body a[href], head > a"}
+    sizes = [F.size(select_css(col("nodes"), selector)).alias(name) for name, selector in wanted.items()]
+    return N.shred(pages(spark, sf).select("page_id", "html")).select("page_id", *sizes)
+
+
 @query(
     "first_alternative",
     f"WITH {POSTS} SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'p' ELSE 'script' END AS tag FROM posts",

@@ -174,6 +174,8 @@ SITES = {
     "cards_alt": dict(site="Jobs Zimbabwe", base_url="https://jobszimbabwe.co.zw/", id_prefix="ID", location="Zimbabwe", company="N/A", contact="Apply on Jobs Zimbabwe"),
     "cards_alt_second": dict(site="Jobs Zimbabwe", base_url="https://zimbojobs.com/jobs", id_prefix="ID", location="Zimbabwe", company="N/A", contact="Apply on ZimboJobs"),
 }
+# selectors of elements that may be listings, in the order in which they are tried
+CANDIDATE_SELECTORS = ["article", "div.job-listing", "div.job", "li.job", "div.listing-item", "div.job-item", "ul.jobs li", "div.row.job", "div.post", "div[itemtype*='JobPosting']"]
 # limits that a site may set; none holds unless it is asked for
 LIMITS = {
     "cards": dict(last_page=29),

@@ -19,6 +19,7 @@ from ..functions.arrays import any_of, first, first_by, let
 from ..functions.text import cut, lead_lines, lines, or_default, py_strip, split_title
 from ..functions.urls import href_hint, is_http, resolve_url
 from . import nodes as N
+from .css import select_css
 
 FIELDS = {
     "pos": "int",
@@ -326,31 +327,17 @@ def jsonld_or_placeholder(nodes: Column, site: dict) -> Column:
 # --- candidates ---------------------------------------------------------------------------------
 
 
-def candidate_nodes(nodes: Column) -> Column:
-    """Elements found by ten selectors in selector order, then parents of job-like links."""
-    items = F.filter(
-        N.select(nodes, "li"), lambda li: N.ancestor(nodes, li, "ul", "jobs").isNotNull()
-    )
+def candidate_nodes(nodes: Column, selectors: list[str] = fixed.CANDIDATE_SELECTORS) -> Column:
+    """Elements found by CSS selectors in selector order, then parents of job-like links."""
     linked = F.filter(N.select(nodes, "a", has="href"), lambda a: href_hint(N.attr(a, "href")))
-    return F.concat(
-        N.select(nodes, "article"),
-        N.select(nodes, "div", "job-listing"),
-        N.select(nodes, "div", "job"),
-        N.select(nodes, "li", "job"),
-        N.select(nodes, "div", "listing-item"),
-        N.select(nodes, "div", "job-item"),
-        items,
-        N.select(nodes, "div", ["row", "job"]),
-        N.select(nodes, "div", "post"),
-        N.select(nodes, "div", matches={"itemtype": "JobPosting"}),
-        F.transform(linked, lambda a: N.parent(nodes, a)),
-    )
+    found = [select_css(nodes, selector) for selector in selectors]
+    return F.concat(*found, F.transform(linked, lambda a: N.parent(nodes, a)))
 
 
-def unique_candidates(nodes: Column) -> Column:
+def unique_candidates(nodes: Column, selectors: list[str] = fixed.CANDIDATE_SELECTORS) -> Column:
     """Candidates with text, the first for each text: ``struct<node, text>``."""
     # an element found twice has the same text, so dropping repeats first saves reading it again
-    elements = first_by(candidate_nodes(nodes), lambda n: n["pre"])
+    elements = first_by(candidate_nodes(nodes, selectors), lambda n: n["pre"])
     read = F.transform(
         elements, lambda n: F.struct(n.alias("node"), N.joined_text(nodes, n, " ").alias("text"))
     )
@@ -422,7 +409,7 @@ def candidates(nodes: Column, site: dict) -> Column:
             detail_url=c["url"] if looked_up is None else F.when(i < looked_up, c["url"]),
         )
 
-    named = F.transform(F.transform(unique_candidates(nodes), locate), name)
+    named = F.transform(F.transform(unique_candidates(nodes, site.get("selectors", fixed.CANDIDATE_SELECTORS)), locate), name)
     # one row per URL before short titles are dropped; rows without a URL all stay
     by_url = first_by(named, lambda c: F.coalesce(c["url"], F.concat(F.lit("#"), c["pos"])))
     kept = _first_rows(min_title(by_url), limit(site, "candidates"))
