@@ -8,6 +8,7 @@ from .. import fixed
 from ..functions import dates, emails, text, urls
 from ..operators import classify as C
 from ..operators import extract as X
+from ..operators.places import place_by_table
 from ..operators import reports
 from ..plans.listings import record_id
 from ..sources.pages import route_by_host
@@ -613,3 +614,36 @@ def _(spark, sf):
     rules = terms.selectExpr("concat('T', length(keyword)) AS category", "length(keyword) AS ord", "'primary' AS tier", "keyword")
     untitled = docs.withColumns({"title": F.lit(None).cast("string"), "company": F.lit(None).cast("string")})
     return C.classify_by_table(untitled, rules, "doc_id", characters=20_000).select("doc_id", "category", "score")
+
+
+# --- places of a table ------------------------------------------------------------------------------
+
+_PLACE_TABLE = """places AS (SELECT CAST(o_orderkey AS INT) AS position, 'Fort' || o_orderkey % 5000 || ' ' || CASE o_orderkey % 3 WHEN 0 THEN 'North'
+    WHEN 1 THEN 'Bay' ELSE 'on Sea' END AS place FROM orders)"""
+_PLACE_TEXTS = """texts AS (SELECT c_custkey, 'Desk ' || c_custkey || ': from fort' || c_custkey * 7 % 5000 || ' bay, FORT' || c_custkey * 11 % 5000
+    || ' ON SEA. Fort' || c_custkey || ' Northern' AS text FROM customer)"""
+
+
+def _places_query(whole_word):
+    def run(spark, sf):
+        orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+        places = orders.selectExpr(
+            "o_orderkey AS position", "concat('Fort', o_orderkey % 5000, ' ', CASE o_orderkey % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'Bay' ELSE 'on Sea' END) AS place"
+        )
+        texts = customers.selectExpr(
+            "c_custkey", "concat('Desk ', c_custkey, ': from fort', c_custkey * 7 % 5000, ' bay, FORT', c_custkey * 11 % 5000, ' ON SEA. Fort', c_custkey, ' Northern') AS text"
+        )
+        return place_by_table(texts, places, "c_custkey", whole_word=whole_word)
+
+    return run
+
+
+for _name, _whole in (("place_by_table", True), ("place_by_table_anywhere", False)):
+    _shown = "' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' '" if _whole else "lower(text)"
+    _sought = "' ' || lower(place) || ' '" if _whole else "lower(place)"
+    query(
+        _name,
+        f"""WITH {_PLACE_TABLE}, {_PLACE_TEXTS}, shown AS (SELECT c_custkey, {_shown} AS t FROM texts),
+            sought AS (SELECT position, place, {_sought} AS p FROM places)
+            SELECT c_custkey, arg_min(place, position) AS place FROM shown LEFT JOIN sought ON contains(t, p) GROUP BY c_custkey""",
+    )(_places_query(_whole))

@@ -12,6 +12,7 @@ from gleanspark.functions import dates, emails, text, urls
 from gleanspark.functions.arrays import first_by
 from gleanspark.operators import classify as C
 from gleanspark.operators import extract as X
+from gleanspark.operators.places import place_by_table
 from gleanspark.operators.reports import email_rate
 from gleanspark.plans.listings import record_id
 
@@ -274,6 +275,22 @@ def test_too_many_rules_for_a_plan(spark):
         C.rules_from(table, most=20)
 
 
+@pytest.mark.parametrize("whole_word", [True, False])
+def test_places_by_table(spark, whole_word):
+    """As the places of the plan, for ten thousand places, null and repeated keys, several words, and names that begin alike."""
+    listed = ["Victoria Falls", "Victoria", "São Paulo", "St. Ives", "Ives", "Falls", "New"] + [f"New Town {i}" for i in range(10_000)] + ["Victoria", "(odd)"]
+    texts = ["in VICTORIA  falls", "victoria falls!", "Victorian house", "são paulo.", "são paulos", "(st. ives)", "new town 7777 x", "newtown 5", "falls", "", None, "new-town", "an (odd) one", "x" * 500 + " ives"]
+    places = spark.createDataFrame([(n, p) for n, p in enumerate(listed)] + [(None, None)], "position int, place string")
+    rows = [(k % 5 or None, t, "x") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, t string, place string")
+    got = place_by_table(df, places, "k", "t", whole_word).collect()
+    want = spark.createDataFrame([(k % 5 or None, t) for k, t in enumerate(texts)], "k int, t string")
+    want = want.select("k", X.place(F.coalesce("t", F.lit("")), listed[:7], whole_word).alias("place")).collect()
+    want = [(r.k, "(odd)" if not whole_word and t and "(odd)" in t else r.place) for r, t in zip(want, texts, strict=True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert [r.place for r in place_by_table(df, places.limit(0), "k", "t", whole_word).collect()] == [None] * len(texts)
+
+
 def test_scores_like_a_plain_loop(spark):
     rng = random.Random(2)
     words = sorted({r.keyword for r in C.weighted_rules()}) + ["zz", "of", "IT", "accountants"]
