@@ -329,6 +329,24 @@ def _(spark, sf):
     return _frontiers(spark, sf, fixed.LIMITS)
 
 
+_HELD = {"cards": "https://VacancyMail.co.zw/jobs/?page={n}&ordering=later#top", "headings": "https://jobszimbabwe.co.zw/page/{n}", "link_detail": f"{_BASE.rstrip('/')}?&paged={{n}}"}
+
+
+@query(
+    "frontier_open",
+    f"WITH {_PAGE_IDS} SELECT * FROM (" + " UNION ALL ".join(_frontier_sql(s, {}) for s in _HELD) + ") WHERE page_num % 2 = 1",
+)
+def _(spark, sf):
+    """Pages to fetch where every second page is there, in another form of its URL."""
+    numbers = table(spark, sf, "orders").selectExpr("CAST(o_orderkey % 600 * 2 AS STRING) AS n").distinct()
+    parts = []
+    for site, form in _HELD.items():
+        before, after = form.split("{n}")
+        held = numbers.select(F.concat(F.lit(before), col("n"), F.lit(after)).alias("url"))
+        parts.append(L.frontier(paging_pages(spark, sf, site), Registry()[site], held).withColumn("site", F.lit(site)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("first_page_only", f"WITH {POSTS} SELECT DISTINCT page_id FROM posts WHERE page_num = 1")
 def _(spark, sf):
     return first_pages(listing_pages(spark, sf, "cards")).select("page_id")

@@ -123,6 +123,9 @@ POSTED_VALID_DAYS = 30
 # --- fixed values: page numbers -----------------------------------------------------------------
 
 PAGE_IN_PATH = r"/page/(\d+)/"
+# how a URL asks for the first page
+FIRST_PAGE_PATH = r"/page/1/?$"
+FIRST_PAGE_PARAMETER = r"^(paged?=1|start=0)$"
 PAGE_PARAMETER = r"page=(\d+)"
 PAGE_OR_PAGED = r"pag(?:e|ed)=(\d+)"
 PAGE_OF_LAST = r"page[=/](\d+)"

@@ -105,6 +105,21 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, "#.*$", "")
 
 
+def page_key(url: Column) -> Column:
+    """One form for all URLs of a listing page, as a key to compare them by.
+
+    Scheme and host are in lower case, parameters in order, and what asks for the first page is left out, as are the fragment, blank
+    parameters and the slash at the end of the path.
+    """
+
+    def key(p: Column) -> Column:
+        path = F.regexp_replace(F.regexp_replace(p["path"], fixed.FIRST_PAGE_PATH, "/"), "/+$", "")
+        named = F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~q.rlike(fixed.FIRST_PAGE_PARAMETER))
+        return F.concat(p["scheme"], F.lit("://"), F.lower(p["host"]), path, F.lit("?"), F.array_join(F.array_sort(named), "&"))
+
+    return let(_split_url(url), key)
+
+
 def is_http(url: Column) -> Column:
     return url.rlike("^https?://")
 

@@ -37,7 +37,7 @@ def detail_facts(
     Each detail page is read once, however many profiles look it up: ``detail`` has a column per
     entry of ``contacts`` and, if asked for, the fields of a whole listing as ``record``. With ``wanted``, rows ``(url, use)``, only
     pages of these URLs are parsed, and a page is searched only by the finders that it is looked up for: use n is the n-th of
-    ``contacts``, and one more number stands for the record.
+    ``contacts``, and one more number stands for the record. Without a column ``use`` pages are searched by all finders.
     """
     nodes = F.col("nodes")
     finders = dict(contacts)
@@ -48,6 +48,8 @@ def detail_facts(
     if wanted is None:
         fields = {name: find(nodes) for name, find in finders.items()}
     else:
+        if "use" not in wanted.columns:
+            wanted = wanted.select("url", F.explode(F.array(*[F.lit(n) for n in range(len(finders))])).alias("use"))
         pages = pages.withColumn("_uses", uses_of(wanted, F.col("url"), len(finders))).filter("_uses <> 0")
         fields = {name: F.when(F.col("_uses").bitwiseAND(1 << n) != 0, find(nodes)) for n, (name, find) in enumerate(finders.items())}
     facts = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .. import fixed
 from ..functions.dates import is_current
 from ..functions.text import clean_text, cut
 from ..functions.urls import frontier as still_to_fetch
-from ..functions.urls import page_of
+from ..functions.urls import page_key, page_of
 from ..operators import enrich
 from ..operators.classify import CLASSIFIERS
 from ..operators.extract import REJECT, ROW, reject
@@ -70,13 +72,17 @@ def current_only(df: DataFrame, profiles: list[SiteProfile], as_of: str) -> Data
     return df.filter(_by_site(profiles, keep))
 
 
+#: Makes the facts of wanted detail pages, rows (url, use), given the function that reads them from the pages.
+Keep = Callable[[Callable[[DataFrame], DataFrame], DataFrame], DataFrame]
+
+
 def with_details(
-    raw: DataFrame, profiles: list[SiteProfile], details: DataFrame | None, is_stored: bool = False
+    raw: DataFrame, profiles: list[SiteProfile], details: DataFrame | None, is_stored: bool = False, keep: Keep | None = None
 ) -> DataFrame:
     """Add addresses, and the whole listing where the detail page makes it.
 
     One join serves all profiles. Links without a detail page are dropped, other listings stay. The listings are stored first:
-    detail pages that none of them looks up are not parsed.
+    detail pages that none of them looks up are not parsed. ``keep`` may take the facts of pages from where they are kept already.
     """
     default = _by_site(profiles, lambda p: p.default_contact)
     found_by = list(dict.fromkeys(p.contact for p in profiles if p.contact))
@@ -92,13 +98,12 @@ def with_details(
         return F.array(*map(F.lit, [*own, *([len(found_by)] if p.detail_record and p.contact else [])])).cast("array<int>")
 
     wanted = raw.select(F.col("detail_url").alias("url"), F.explode(_by_site(profiles, uses)).alias("use"))
-    facts = enrich.detail_facts(
-        details,
-        {name: contact for contact, name in names.items()},
-        bool(from_detail),
-        from_detail[0].limits if from_detail else None,
-        wanted,
-    )
+
+    def read(urls: DataFrame) -> DataFrame:
+        limits = from_detail[0].limits if from_detail else None
+        return enrich.detail_facts(details, {name: contact for contact, name in names.items()}, bool(from_detail), limits, urls)
+
+    facts = keep(read, wanted) if keep else read(wanted)
     # the URL is only a key for profiles that look their listings up
     key = _by_site(profiles, lambda p: F.col("detail_url") if p.contact else F.lit(None))
     joined = enrich.lookup(raw.withColumn("detail_url", key.cast("string")), facts)
@@ -157,6 +162,7 @@ def extract(
     profiles: list[SiteProfile],
     as_of: str,
     details: DataFrame | None = None,
+    keep: Keep | None = None,
 ) -> DataFrame:
     """Finished listings of any number of sites, read in one pass.
 
@@ -167,7 +173,7 @@ def extract(
     wanted = pages.filter(F.col("site").isin(*[p.name for p in profiles]))
     shredded = shred(wanted.select("page_id", "site", "page_num", "html"))
     raw = current_only(listings(shredded, profiles), profiles, as_of)
-    return finish(with_details(raw, profiles, details), profiles, as_of)
+    return finish(with_details(raw, profiles, details, keep=keep), profiles, as_of)
 
 
 def tagged(shredded: DataFrame, profiles: list[SiteProfile]) -> DataFrame:
@@ -253,8 +259,11 @@ def rejected(pages: DataFrame) -> DataFrame:
     return found.filter(F.col("parse_error").isNotNull()).select("page_id", "url", "parse_error")
 
 
-def frontier(pages: DataFrame, profile: SiteProfile) -> DataFrame:
-    """Pages still to fetch, from the first listing page of a site: ``(page_id, page_num, url)``."""
+def frontier(pages: DataFrame, profile: SiteProfile, held: DataFrame | None = None) -> DataFrame:
+    """Pages still to fetch, from the first listing page of a site: ``(page_id, page_num, url)``.
+
+    With ``held``, a table with the ``url`` of pages that are there, pages that it has in any form of their URL are left out.
+    """
     base = F.lit(profile.base_url)
     todo = still_to_fetch(
         profile.total_pages(F.col("nodes")),
@@ -262,7 +271,11 @@ def frontier(pages: DataFrame, profile: SiteProfile) -> DataFrame:
         profile.limits.get("pages"),
         profile.limits.get("last_page"),
     )
-    return shred(pages.select("page_id", "html")).select("page_id", F.inline(todo))
+    found = shred(pages.select("page_id", "html")).select("page_id", F.inline(todo))
+    if held is None:
+        return found
+    there = held.select(page_key(F.col("url")).alias("_key")).where("_key IS NOT NULL").distinct()
+    return found.withColumn("_key", page_key(F.col("url"))).join(there, "_key", "left_anti").drop("_key")
 
 
 def max_page(pages: DataFrame, profile: SiteProfile) -> DataFrame:

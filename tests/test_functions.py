@@ -334,3 +334,11 @@ def test_email_rate(spark):
     got = email_rate(spark.createDataFrame(rows, "apply_email string")).first()
     assert (got.email_rate, got.valid_email_rate) == (75.0, 50.0)
     assert email_rate(spark.createDataFrame([], "apply_email string")).first().email_rate == 0.0
+
+
+def test_page_key(spark):
+    same = ["https://A.example/jobs/?b=2&a=1", "HTTPS://a.example/jobs?a=1&b=2#x", "https://a.example/jobs/page/1/?b=2&&a=1", "https://a.example/jobs?a=1&b=2&page=1", "https://a.example/jobs?start=0&a=1&b=2"]
+    other = ["https://a.example/jobs?a=1&b=3", "https://a.example/jobs/page/2/?a=1&b=2", "https://a.example/jobs?a=1&b=2&page=11", "http://a.example/jobs?a=1&b=2", "https://a.example/Jobs?a=1&b=2"]
+    df = spark.createDataFrame([(u,) for u in [*same, *other, None]], "url string").select(urls.page_key(F.col("url")).alias("k"))
+    keys = [r.k for r in df.collect()]
+    assert len(set(keys[: len(same)])) == 1 and len(set(keys)) == len(other) + 2 and keys[-1] is None

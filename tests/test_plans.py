@@ -206,6 +206,23 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_stream_parses_each_detail_page_once(spark, tmp_path):
+    """Three batches that look up the same pages: each is read by the first of them alone, and all get what was read."""
+    pages = rendered.listing_pages(spark, SF, "cards").cache()
+    profile, details = [Registry()["cards"]], rendered.detail_pages(spark, SF, "cards")
+    for n in range(3):  # the first half of the pages twice, then all
+        part = pages if n == 2 else pages.where("page_id % 2 = 0")
+        part.write.parquet(str(tmp_path / "pages" / f"n{n}"))
+        stream = spark.readStream.schema(S.PAGE_SCHEMA).parquet(str(tmp_path / "pages" / "*"))
+        S.append_listings(stream, details, profile, AS_OF, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    facts = spark.read.parquet(str(tmp_path / "state-facts"))
+    per_batch = {r.batch: r["count"] for r in facts.groupBy("batch").count().collect()}
+    assert facts.count() == facts.select("detail_url").distinct().count() and set(per_batch) == {0, 2} and facts.count() > 50
+    got = spark.read.parquet(str(tmp_path / "out")).where("batch = 2").select("id", "apply_email")
+    expected = L.extract(pages, profile, AS_OF, details).select("id", "apply_email")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_shred_keeps_other_columns(spark):
     table = spark.createDataFrame([(1, ["a"], "<p>")], "k int, `odd name` array<string>, html string")
     row = shred(table).first()
