@@ -301,16 +301,17 @@ def _cut(length: int):
                     sizes.append(len(text)), removed.append(int(gone.sum()))
                     spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                     kept.append(text[~gone].tobytes())
+                whole = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
                 more = [n for n in rows.schema.names if n not in ("text", "found")]
-                yield pa.RecordBatch.from_arrays([*map(rows.column, more), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], [*more, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*map(rows.column, more), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary()), whole], [*more, "n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
 
     return run
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Texts without the bytes of strings of this length that start more than once: (key, *keep, n_bytes, n_removed, n_spans, kept).
+    """Texts without the bytes of strings of this length that start more than once: (key, *keep, n_bytes, n_removed, n_spans, kept, kept_text).
 
-    Strings are judged on the input; they may overlap, and both may lie in one text. kept is binary, since a cut can fall inside a
+    kept_text is what is kept as text, without the rest of characters that a cut falls into. Strings are judged on the input; they may overlap, and both may lie in one text. kept is binary, since a cut can fall inside a
     character; n_spans counts maximal removed runs. A null or empty text stays empty; repeated rows are repeats of
     each other, rows that share a key but not a text are handled apart, and columns beside those to keep are not read.
 
@@ -353,5 +354,5 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     found = segments.join(known, ["anchor", "whole"]).groupBy("doc").agg(F.collect_list(F.struct("first", "last", "hits")).alias("found"))
     joined = named.join(found, "doc", "left").drop("doc")
     schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in ("key", *more))
-    done = joined.mapInArrow(_cut(length), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.toDF(key, *keep, "n_bytes", "n_removed", "n_spans", "kept")
+    done = joined.mapInArrow(_cut(length), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
+    return done.toDF(key, *keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_text")

@@ -65,6 +65,22 @@ def test_odd_documents(spark):
                 assert found.columns == docs.columns
 
 
+def test_cuts_inside_characters(spark):
+    """Characters that a cut splits go whole, at both ends of it, and nothing else does."""
+    same, stage = "b" * 399, dict(corpus_pipeline.STAGES)["suffix-array dedup"]
+    texts = ["hello Ã" + same, "other ă" + same, "日" + "c" * 398 + "é1", "月" + "c" * 398 + "è2", "clean � text"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in stage(spark, docs, FOLDER).collect()}
+    want = [w[3].decode("utf-8", "ignore") for w in without_repeats([t.encode() for t in texts], 400)]
+    assert got == {k: (t, len(t)) for k, t in enumerate(want)} and got[4][0] == texts[4]
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    docs = spark.createDataFrame([(1, "one text of six plain words", "en"), (1, "one text of six plain words", "en"), (1, "quite another story told to nobody", "en"), (2, "a third text that stands alone here", "en")], "doc_id long, text string, lang string")
+    got = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, FOLDER).collect()
+    assert sorted(r.text for r in got) == sorted({r.text for r in docs.collect()})
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, FOLDER)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns) and found.count() > 50
