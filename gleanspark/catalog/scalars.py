@@ -600,20 +600,20 @@ def _(spark, sf):
 
 
 @query(
-    "classify_rules_of_terms",
-    f"""WITH {_SQL_SRC}, terms AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM documents),
-        rules AS (SELECT 'T' || length(keyword) AS category, length(keyword) AS ord, keyword FROM terms WHERE length(keyword) > 11), hits AS (SELECT id, category, ord, count(*) * 8 AS score FROM (SELECT id, lower(coalesce(description, '')) AS d FROM src), rules
+    "classify_benchmark_terms",
+    f"""WITH {_SQL_SRC}, terms AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM benchmark),
+        rules AS (SELECT 'T' || length(keyword) AS category, length(keyword) AS ord, keyword FROM terms WHERE length(keyword) > 7), hits AS (SELECT id, category, ord, count(*) * 8 AS score FROM (SELECT id, lower(coalesce(description, '')) AS d FROM src), rules
         WHERE contains(d, keyword) GROUP BY ALL),
         best AS (SELECT id, arg_max(category, score * 1000 - ord) AS category, max(score) AS score FROM hits GROUP BY 1)
         SELECT id AS doc_id, category, score FROM src LEFT JOIN best USING (id)""",
 )
 def _(spark, sf):
-    """Thousands of rules that Spark takes from the texts themselves, in several automata."""
+    """Rules that Spark takes from the benchmark's texts, one for each longer word."""
     docs = _docs(spark, sf)
-    terms = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).where("length(keyword) > 11").distinct()
+    terms = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).where("length(keyword) > 7").distinct()
     rules = terms.selectExpr("concat('T', length(keyword)) AS category", "length(keyword) AS ord", "'primary' AS tier", "keyword")
     untitled = docs.withColumns({"title": F.lit(None).cast("string"), "company": F.lit(None).cast("string")})
-    return C.classify_by_table(untitled, rules, "doc_id", characters=20_000).select("doc_id", "category", "score")
+    return C.classify_by_table(untitled, rules, "doc_id").select("doc_id", "category", "score")
 
 
 # --- places of a table ------------------------------------------------------------------------------
