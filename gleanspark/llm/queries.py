@@ -48,7 +48,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 400-byte strings that start more than once."""
-    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"), as_text=True)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept_text").alias("text"))
 
 

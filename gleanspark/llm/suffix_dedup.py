@@ -308,10 +308,11 @@ def _cut(length: int):
     return run
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Texts without the bytes of strings of this length that start more than once: (key, *keep, n_bytes, n_removed, n_spans, kept, kept_text).
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """Texts without the bytes of strings of this length that start more than once: (key, *keep, n_bytes, n_removed, n_spans, kept).
 
-    kept_text is what is kept as text, without the rest of characters that a cut falls into. Strings are judged on the input; they may overlap, and both may lie in one text. kept is binary, since a cut can fall inside a
+    With as_text there is a column kept_text more: what is kept, without the rest of characters that a cut falls into. Strings are
+    judged on the input; they may overlap, and both may lie in one text. kept is binary, since a cut can fall inside a
     character; n_spans counts maximal removed runs. A null or empty text stays empty; repeated rows are repeats of
     each other, rows that share a key but not a text are handled apart, and columns beside those to keep are not read.
 
@@ -355,4 +356,5 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     joined = named.join(found, "doc", "left").drop("doc")
     schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in ("key", *more))
     done = joined.mapInArrow(_cut(length), f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string")
-    return done.toDF(key, *keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
+    named = done.toDF(key, *keep, "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
+    return named if as_text else named.drop("kept_text")
