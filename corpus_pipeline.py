@@ -43,7 +43,7 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Every document without the strings of 400 bytes that occur again; characters that a cut splits go."""
     shipped(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix_dedup.dedup(docs, keep=rest)
+    found = suffix_dedup.dedup(docs, keep=rest, as_text=True)
     return found.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
