@@ -1,12 +1,14 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A term is a word or the first letters of one, hashed into a fixed table. Terms whose share among toxic texts differs most from
-their share among the others are the machine's inputs; it has a weight for each and a short vector for each, so that two terms that
-are harmless alone can count together.
+A term is a word or the first letters of one, hashed into a fixed table. Every term of the labelled texts is an input of the machine,
+which has a weight and a short vector for each, so that two terms that are harmless alone can count together. How strong an input is
+follows from counts over all labelled rows: terms whose share differs between the labels are strong, frequent ones weaker, those
+that hardly occur next to nothing.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +22,13 @@ FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 BUCKETS, BLOCK = 1 << 18, 1 << 14
 #: Bytes of the beginnings of words that are terms beside the whole word.
 BEGINNINGS = (4, 6)
-#: Terms that the machine sees, length of their vectors, and rounds over the sample.
-TERMS, RANK, ROUNDS, SEED = 2048, 6, 30, 5
-#: Labelled rows of each kind from which the machine is fitted, by order of a hash of their key; the counts above cover all.
+#: Likelihood gain at which a term has half its strength; strength of a term for its frequency alone, and the rows that give half of it.
+GAIN, COMMON, ROWS = 10.0, 0.2, 200.0
+#: Length of the vectors, rows of a step, steps, and first rate of the descent.
+RANK, BATCH, STEPS, RATE, DECAY, SEED = 6, 128, 600, 0.15, 1e-5, 5
+#: How often a labelled row of label 1 counts, as texts of that label are the rarer and the costlier to miss.
+POSITIVE = 3.0
+#: Labelled rows of each label from which the machine is fitted, by order of a hash of key and text; the counts above cover all.
 SAMPLE = 10_000
 
 
@@ -42,127 +48,143 @@ def term_sets(data: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [both[a:b] & (BUCKETS - 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _packed(terms: np.ndarray) -> bytes:
+    """An ascending set of terms as compressed steps from one to the next."""
+    return zlib.compress(np.diff(terms, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of each label a term occurs, by block; the second half of the table is label 1's."""
     counts = np.zeros(2 * BUCKETS, np.uint32)
     for batch in batches:
-        label = np.asarray(batch.column("label"))
-        at = 0
-        for _, data, begin in slices(batch, "text"):
-            for terms in term_sets(data, begin):
-                counts[terms + BUCKETS * int(label[at])] += 1
-                at += 1
+        for label, terms in zip(batch.column("label"), batch.column("terms"), strict=True):
+            counts[_unpacked(terms.as_py()) + BUCKETS * label.as_py()] += 1
     yield pa.RecordBatch.from_arrays(list(blocks_of(counts, BLOCK)), ["block", "counts"])
 
 
-def _telling(table: np.ndarray, negative: int, positive: int) -> np.ndarray:
-    """The terms that tell most about the label, by the likelihood ratio of their counts."""
-    n, p = table[:BUCKETS].astype(float), table[BUCKETS:].astype(float)
-    share, rows = (n + p) / max(negative + positive, 1), np.array([[negative], [positive]], float)
-    seen = np.stack([n, p])
+def strengths(table: np.ndarray, negative: int, positive: int) -> np.ndarray:
+    """How strong an input each term is, by the likelihood ratio of its counts in the two labels and by its frequency."""
+    seen, rows = table.reshape(2, BUCKETS).astype(float), np.array([[negative], [positive]], float)
+    share = seen.sum(axis=0) / max(negative + positive, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(seen > 0, seen * np.log(seen / (rows * share)), 0) + np.where(rows - seen > 0, (rows - seen) * np.log((rows - seen) / (rows * (1 - share))), 0)
-    gain = np.nan_to_num(ratio.sum(axis=0))
-    best = np.argsort(-gain, kind="stable")[:TERMS]
-    return np.sort(best[gain[best] > 6])
+    gain, n = np.maximum(np.nan_to_num(ratio.sum(axis=0)), 0), seen.sum(axis=0)
+    return (gain**2 / (gain**2 + GAIN**2) + COMMON * n / (n + ROWS)).astype(np.float32)
 
 
 class Machine:
-    """y = bias + sum of weights + sum over pairs of the product of their vectors, as a logistic score."""
+    """y = bias + sum of weights + sum over pairs of the product of their vectors, as a logistic score.
 
-    def __init__(self, terms: np.ndarray) -> None:
+    Each input counts by the strength of its term; the strengths of a text are divided by the fourth root of the sum of their squares.
+    """
+
+    def __init__(self, terms: np.ndarray, strength: np.ndarray | None = None) -> None:
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[terms] = np.arange(len(terms))
-        self.bias, self.weights = 0.0, np.zeros(len(terms) + 1)
-        self.vectors = np.random.default_rng(SEED).normal(0, 0.05, (len(terms) + 1, RANK))
-        self.vectors[-1] = 0  # the last stands for no term
+        self.strength = np.ones(len(terms), np.float32) if strength is None else strength
+        self.bias, self.weights = 0.0, np.zeros(len(terms), np.float32)
+        self.vectors = np.random.default_rng(SEED).normal(0, 0.05, (len(terms), RANK)).astype(np.float32)
 
     def inputs(self, sets: list[np.ndarray]) -> list[np.ndarray]:
         return [x[x >= 0] for x in (self.place[s] for s in sets)]
 
-    def _sums(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = self.vectors[flat]
-        total = np.add.reduceat(v, first)
-        value = self.bias + np.add.reduceat(self.weights[flat], first) + 0.5 * (total**2 - np.add.reduceat(v**2, first)).sum(axis=1)
-        return total, value
-
-    def _flat(self, inputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        none = len(self.weights) - 1
-        rows = [np.append(x, none) for x in inputs]  # no row is empty
-        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])[:-1]])
+    def _values(self, inputs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Inputs in a row and of which text each is, their strengths, vectors, the sum of a text's vectors, and its value."""
+        n = len(inputs)
+        flat, row = np.concatenate(inputs), np.repeat(np.arange(n), [len(x) for x in inputs])
+        x = self.strength[flat]
+        x = (x / np.maximum(np.bincount(row, x * x, n), 1e-6)[row] ** 0.25).astype(np.float32)
+        each = self.vectors[flat] * x[:, None]
+        total = np.stack([np.bincount(row, each[:, k], n) for k in range(RANK)], axis=1).astype(np.float32)
+        value = self.bias + np.bincount(row, self.weights[flat] * x, n) + 0.5 * ((total**2).sum(axis=1) - np.bincount(row, (each**2).sum(axis=1), n))
+        return flat, row, x, each, total, value
 
     def score(self, sets: list[np.ndarray]) -> np.ndarray:
-        _, value = self._sums(*self._flat(self.inputs(sets)))
-        return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
-
-    def fit(self, inputs: list[np.ndarray], label: np.ndarray, weight: np.ndarray, decay: float = 2e-4, rate: float = 0.02) -> None:
-        """Adam over mini-batches of the sampled rows."""
-        random, order = np.random.default_rng(SEED), np.arange(len(inputs))
-        state = [np.zeros_like(x) for x in (self.weights, self.weights, self.vectors, self.vectors)]
-        bias_m = bias_v = 0.0
-        step = 0
+        return 1 / (1 + np.exp(-np.clip(self._values(self.inputs(sets))[-1], -30, 30)))
+
+    def fit(self, inputs: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> None:
+        """Steps over mini-batches of the sampled rows; each touches the terms of its rows only, at a rate that falls with their past slopes."""
+        random = np.random.default_rng(SEED)
+        seen = np.zeros(len(self.weights), bool)
+        seen[np.concatenate(inputs)] = True
+        self.vectors[~seen] = 0  # what no step will reach must not count
+        past, past_vectors, past_bias = np.full_like(self.weights, 1e-8), np.full_like(self.vectors, 1e-8), 1e-8
         share = np.clip((weight * label).sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3)
         self.bias = float(np.log(share / (1 - share)))
-        for _ in range(ROUNDS):
-            random.shuffle(order)
-            for at in range(0, len(order), 256):
-                pick = order[at : at + 256]
-                flat, first = self._flat([inputs[k] for k in pick])
-                total, value = self._sums(flat, first)
-                error = (1 / (1 + np.exp(-np.clip(value, -30, 30))) - label[pick]) * weight[pick] / weight[pick].mean() / len(pick)
-                row = np.repeat(np.arange(len(pick)), np.diff(np.append(first, len(flat))))
-                grad_w = np.bincount(flat, weights=error[row], minlength=len(self.weights)) + decay * self.weights
-                each = error[row, None] * (total[row] - self.vectors[flat])
-                grad_v = np.stack([np.bincount(flat, weights=each[:, k], minlength=len(self.weights)) for k in range(RANK)], axis=1) + decay * self.vectors
-                step += 1
-                for value_, grad, m, v in ((self.weights, grad_w, state[0], state[1]), (self.vectors, grad_v, state[2], state[3])):
-                    m += 0.1 * (grad - m)
-                    v += 0.001 * (grad**2 - v)
-                    value_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                g = error.sum()
-                bias_m, bias_v = bias_m + 0.1 * (g - bias_m), bias_v + 0.001 * (g * g - bias_v)
-                self.bias -= rate * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_v / (1 - 0.999**step)) + 1e-8)
-                self.weights[-1], self.vectors[-1] = 0, 0
+        here, place, order = np.zeros(len(self.weights), bool), np.zeros(len(self.weights), np.int64), np.zeros(0, np.int64)
+        for _ in range(STEPS):
+            if not len(order):
+                order = random.permutation(len(inputs))
+            pick, order = order[:BATCH], order[BATCH:]
+            flat, row, x, each, total, value = self._values([inputs[k] for k in pick])
+            error = (1 / (1 + np.exp(-np.clip(value, -30, 30))) - label[pick]) * weight[pick] / weight.mean() / len(pick)
+            slope = float(error.sum())
+            past_bias += slope * slope
+            self.bias -= RATE * slope / past_bias**0.5
+            here[flat] = True
+            used = np.flatnonzero(here)
+            here[used], place[used] = False, np.arange(len(used))
+            at, part = place[flat], (error[row] * x).astype(np.float32)
+            slopes = np.bincount(at, part, len(used)) + DECAY * self.weights[used]
+            past[used] += slopes**2
+            self.weights[used] -= RATE * slopes / np.sqrt(past[used])
+            part = part[:, None] * (total[row] - each)
+            slopes = np.stack([np.bincount(at, part[:, k], len(used)) for k in range(RANK)], axis=1) + DECAY * self.vectors[used]
+            past_vectors[used] += slopes**2
+            self.vectors[used] -= RATE * slopes / np.sqrt(past_vectors[used])
 
 
 def fit(labelled: DataFrame) -> Machine:
-    """A machine from rows (key, text, label): terms are counted over all rows, the machine is fitted on at most SAMPLE of each label."""
-    blocks = labelled.select("text", "label").mapInArrow(_counts, "block int, counts binary")
-    table = table_of_blocks(blocks, 2 * BUCKETS, BLOCK)  # 2 MB
-    of = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    machine = Machine(_telling(table, of.get(0, 0), of.get(1, 0)))
-    place = machine.place
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, begin in slices(batch, "text"):
-                inputs = [x[x >= 0].astype("<i4").tobytes() for x in (place[s] for s in term_sets(data, begin))]
-                yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(inputs, pa.binary())], ["label", "inputs"])
+    """A machine from stored rows (key, digest, label, terms): strengths from all rows, the machine fitted on at most SAMPLE texts of each label.
 
+    A key's equal texts are one text of the sample. What reaches the driver is a table of 2 MB and the sample's sets of at most 2^18 terms.
+    """
+    blocks = labelled.select("label", "terms").mapInArrow(_counts, "block int, counts binary")
+    table = table_of_blocks(blocks, 2 * BUCKETS, BLOCK)
+    rows = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    known = np.flatnonzero(table.reshape(2, BUCKETS).any(axis=0))
+    machine = Machine(known, strengths(table, rows.get(0, 0), rows.get(1, 0))[known])
+    texts = checkpointed(labelled.select("label", "key", "digest").distinct().withColumn("place", F.xxhash64("key", "digest")))
+    of = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     inputs, label, weight = [], [], []
-    for y, n in of.items():
-        picked = labelled.where(F.col("label") == y).select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-        rows = labelled.where(F.col("label") == y).join(picked.distinct(), "key", "left_semi").select("text", "label").mapInArrow(chosen, "label int, inputs binary").collect()
-        inputs += [np.frombuffer(bytes(r.inputs), "<i4") for r in rows]
-        label += [y] * len(rows)
-        weight += [n / max(len(rows), 1)] * len(rows)
+    for y, n in sorted(of.items()):
+        last = min(int(-(2**63) + 2**64 * min(1, 2 * SAMPLE / n)), 2**63 - 1)  # twice the sample is expected up to here, whatever the rows
+        picked = texts.where((F.col("label") == y) & (F.col("place") <= last)).orderBy("place", "key", "digest").limit(SAMPLE)
+        found = labelled.join(F.broadcast(picked.drop("place")), ["label", "key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
+        sets = [_unpacked(r.terms) for r in found.orderBy("digest", "key").select("terms").toLocalIterator()]
+        inputs += machine.inputs(sets)
+        label += [y] * len(sets)
+        weight += [(POSITIVE if y else 1.0) * n / max(len(sets), 1)] * len(sets)
     if inputs:
         machine.fit(inputs, np.array(label, float), np.array(weight, float))
     return machine
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """Toxicity of every whole text: (key, held_out, score, predicted); score is the chance of label 1, predicted 1 from a half.
+    """Toxicity of every whole text: (key, held_out, score, predicted); score is the chance of label 1, counted POSITIVE times, predicted 1 from a half.
 
     Learns from the labelled rows (labels: key, label 0 or 1) that are not held out: crc32 of the key as text modulo 5 is not 0.
-    Null labels are left out; a null text is scored as an empty one; repeated rows are scored each; other columns are not read. Without
-    labels every score is a half.
+    Null labels are left out, a key with both labels counts for both; a null text is scored as an empty one; repeated rows are
+    scored each; other columns are not read. Without labels every score is a half. Texts become sets of terms where they lie, and
+    only those of rows that may be learnt from meet the labels.
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(df[key].alias("key"), df[text].alias("text"))
-    known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label in (0, 1)")
-    known = checkpointed(known.where("key is not null").where(~held_out("key", FOLDS, HELD_OUT)))
-    machine = fit(docs.join(known, "key"))
+    known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label in (0, 1) and key is not null")
+    known = known.where(~held_out("key", FOLDS, HELD_OUT)).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, begin in slices(batch, "text"):
+                terms = pa.array([_packed(x) for x in term_sets(data, begin)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("digest"), terms], ["key", "digest", "terms"])
+
+    learnt = docs.where("key is not null").where(~held_out("key", FOLDS, HELD_OUT)).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+    machine = fit(checkpointed(learnt.mapInArrow(sets, f"key {kind}, digest long, terms binary").join(known, "key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -165,3 +165,36 @@ def test_fingerprints_of_odd_rows(spark):
     (one,) = fingerprint.fingerprints(df.where("doc_id = 2")).collect()
     assert (one.edited_text, one.near_edited, one.near_next) == ("", 1.0, 1.0)
     assert fingerprint.fingerprints(df.limit(0)).collect() == []
+
+
+def test_pair_of_harmless_words_through_classify(spark):
+    """The label depends only on whether two words stand together; each alone tells nothing."""
+    random = np.random.default_rng(0)
+    rows = []
+    for k in range(1200):
+        said = [f"w{x}" for x in random.integers(0, 300, 20)]
+        said += ["alpha"] * (k % 4 in (1, 3)) + ["omega"] * (k % 4 in (2, 3))
+        rows.append((k, " ".join(said), int(k % 4 in (0, 3))))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(table, table).collect()}
+    right = [got[k].predicted == y for k, _, y in rows if got[k].held_out]
+    assert len(right) > 200 and np.mean(right) > 0.9
+
+
+def test_toxicity_of_plain_sums():
+    """The score of a text is that of the sum over its pairs of terms, written out."""
+    machine = toxicity.Machine(np.array([3, 7, 11]), np.array([0.5, 1, 0.25], np.float32))
+    machine.bias, machine.weights = -0.5, np.array([0.3, -0.2, 0.9], np.float32)
+    x = np.array([0.5, 1, 0.25]) / (0.25 + 1 + 0.0625) ** 0.25
+    value = -0.5 + x @ [0.3, -0.2, 0.9] + sum(x[a] * x[b] * machine.vectors[a] @ machine.vectors[b] for a in range(3) for b in range(a))
+    both = machine.score([np.array([3, 7, 11]), np.array([], int), np.array([5])])
+    assert both == pytest.approx([1 / (1 + np.exp(-value)), 1 / (1 + np.exp(0.5)), 1 / (1 + np.exp(0.5))], abs=1e-5)
+
+
+def test_sample_of_one_key_on_most_rows(spark):
+    """A key with a third of the rows and equal texts counts once in the sample."""
+    rows = [(7, "same text here")] * 300 + [(k, f"other text {k}") for k in range(8, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7, 200)], "doc_id long, toxic int")
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 7}) == 1
