@@ -2,8 +2,8 @@
 
 A term is a word or the first letters of one, hashed into a fixed table. Every term of the labelled texts is an input of the machine,
 which has a weight and a short vector for each, so that two terms that are harmless alone can count together. How strong an input is
-follows from counts over all labelled rows: terms whose share differs between the labels are strong, frequent ones weaker, those
-that hardly occur next to nothing.
+follows from counts over the texts that are learnt from: terms whose share differs between the labels are strong, frequent ones
+weaker, those that hardly occur next to nothing.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import blocks_of, checkpointed, held_out, lowered, prefix_hashes, slices, span_hashes, table_of_blocks, words
+from gleanspark.llm.common import checkpointed, held_out, lowered, prefix_hashes, slices, span_hashes, words
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-BUCKETS, BLOCK = 1 << 18, 1 << 14
+BUCKETS = 1 << 18
 #: Bytes of the beginnings of words that are terms beside the whole word.
 BEGINNINGS = (4, 6)
 #: Likelihood gain at which a term has half its strength; strength of a term for its frequency alone, and the rows that give half of it.
@@ -28,7 +28,7 @@ GAIN, COMMON, ROWS = 10.0, 0.2, 200.0
 RANK, BATCH, STEPS, RATE, DECAY, SEED = 6, 128, 600, 0.15, 1e-5, 5
 #: How often a labelled row of label 1 counts, as texts of that label are the rarer and the costlier to miss.
 POSITIVE = 3.0
-#: Labelled rows of each label from which the machine is fitted, by order of a hash of key and text; the counts above cover all.
+#: Labelled texts of each label from which counts and machine are learnt, by order of a hash of key and text.
 SAMPLE = 10_000
 
 
@@ -57,19 +57,12 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4"), dtype=np.int64)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each label a term occurs, by block; the second half of the table is label 1's."""
-    counts = np.zeros(2 * BUCKETS, np.uint32)
-    for batch in batches:
-        for label, terms in zip(batch.column("label"), batch.column("terms"), strict=True):
-            counts[_unpacked(terms.as_py()) + BUCKETS * label.as_py()] += 1
-    yield pa.RecordBatch.from_arrays(list(blocks_of(counts, BLOCK)), ["block", "counts"])
-
-
-def strengths(table: np.ndarray, negative: int, positive: int) -> np.ndarray:
+def strengths(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """How strong an input each term is, by the likelihood ratio of its counts in the two labels and by its frequency."""
-    seen, rows = table.reshape(2, BUCKETS).astype(float), np.array([[negative], [positive]], float)
-    share = seen.sum(axis=0) / max(negative + positive, 1)
+    seen, rows = np.zeros((2, BUCKETS)), np.bincount(label, minlength=2).astype(float)[:, None]
+    for terms, y in zip(sets, label, strict=True):
+        seen[y, terms] += 1
+    share = seen.sum(axis=0) / max(len(sets), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(seen > 0, seen * np.log(seen / (rows * share)), 0) + np.where(rows - seen > 0, (rows - seen) * np.log((rows - seen) / (rows * (1 - share))), 0)
     gain, n = np.maximum(np.nan_to_num(ratio.sum(axis=0)), 0), seen.sum(axis=0)
@@ -138,29 +131,51 @@ class Machine:
             self.vectors[used] -= RATE * slopes / np.sqrt(past_vectors[used])
 
 
-def fit(labelled: DataFrame) -> Machine:
-    """A machine from stored rows (key, digest, label, terms): strengths from all rows, the machine fitted on at most SAMPLE texts of each label.
+def chosen(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """At most SAMPLE texts (key, digest, label) of each label, and how many there are; a key's equal texts are one.
 
-    A key's equal texts are one text of the sample. What reaches the driver is a table of 2 MB and the sample's sets of at most 2^18 terms.
+    Digests instead of texts meet the labels, so what is shuffled and stored is a few bytes a row.
     """
-    blocks = labelled.select("label", "terms").mapInArrow(_counts, "block int, counts binary")
-    table = table_of_blocks(blocks, 2 * BUCKETS, BLOCK)
-    rows = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
-    known = np.flatnonzero(table.reshape(2, BUCKETS).any(axis=0))
-    machine = Machine(known, strengths(table, rows.get(0, 0), rows.get(1, 0))[known])
-    texts = checkpointed(labelled.select("label", "key", "digest").distinct().withColumn("place", F.xxhash64("key", "digest")))
-    of = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
-    inputs, label, weight = [], [], []
+    met = docs.select("key", "digest").distinct().join(known, "key").withColumn("place", F.xxhash64("key", "digest"))
+    met = checkpointed(met)
+    of = {r.label: r["count"] for r in met.groupBy("label").count().collect()}
+    parts = [met.limit(0)]
     for y, n in sorted(of.items()):
-        last = min(int(-(2**63) + 2**64 * min(1, 2 * SAMPLE / n)), 2**63 - 1)  # twice the sample is expected up to here, whatever the rows
-        picked = texts.where((F.col("label") == y) & (F.col("place") <= last)).orderBy("place", "key", "digest").limit(SAMPLE)
-        found = labelled.join(F.broadcast(picked.drop("place")), ["label", "key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
-        sets = [_unpacked(r.terms) for r in found.orderBy("digest", "key").select("terms").toLocalIterator()]
-        inputs += machine.inputs(sets)
-        label += [y] * len(sets)
-        weight += [(POSITIVE if y else 1.0) * n / max(len(sets), 1)] * len(sets)
-    if inputs:
-        machine.fit(inputs, np.array(label, float), np.array(weight, float))
+        last = min(int(-(2**63) + 2**64 * min(1, 2 * SAMPLE / n)), 2**63 - 1)  # twice the sample is expected up to here, whatever n is
+        parts.append(met.where((F.col("label") == y) & (F.col("place") <= last)).orderBy("place", "key", "digest").limit(SAMPLE))
+    picked = parts[0]
+    for part in parts[1:]:
+        picked = picked.unionByName(part)
+    return picked.drop("place"), of
+
+
+def fit(docs: DataFrame, known: DataFrame) -> Machine:
+    """A machine from rows (key, digest, text) and distinct labels (key, label), learnt from at most SAMPLE texts of each label.
+
+    The driver gets the sample's sets of terms, each of at most 2^18.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, begin in slices(batch, "text"):
+                terms = pa.array([_packed(x) for x in term_sets(data, begin)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], terms], ["key", "digest", "label", "terms"])
+
+    picked, of = chosen(docs, known)
+    found = docs.join(F.broadcast(picked), ["key", "digest"]).select("key", "digest", "label", "text")
+    kind = docs.schema["key"].dataType.simpleString()
+    found = found.mapInArrow(run, f"key {kind}, digest long, label int, terms binary").dropDuplicates(["key", "digest", "label"])
+    rows = sorted(found.select(F.xxhash64("key", "digest").alias("place"), "label", "terms").collect())  # at most 2 SAMPLE rows
+    sets, label = [_unpacked(r.terms) for r in rows], np.array([r.label for r in rows], np.int64)
+    seen = np.zeros(BUCKETS, bool)
+    for x in sets:
+        seen[x] = True
+    terms = np.flatnonzero(seen)
+    machine = Machine(terms, strengths(sets, label)[terms])
+    if sets:
+        each = np.bincount(label, minlength=2)
+        weight = np.array([1.0, POSITIVE]) * [of.get(y, 0) / max(each[y], 1) for y in (0, 1)]
+        machine.fit(machine.inputs(sets), label.astype(float), weight[label])
     return machine
 
 
@@ -169,22 +184,15 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     Learns from the labelled rows (labels: key, label 0 or 1) that are not held out: crc32 of the key as text modulo 5 is not 0.
     Null labels are left out, a key with both labels counts for both; a null text is scored as an empty one; repeated rows are
-    scored each; other columns are not read. Without labels every score is a half. Texts become sets of terms where they lie, and
-    only those of rows that may be learnt from meet the labels.
+    scored each; other columns are not read. Without labels every score is a half. No text is shuffled.
     """
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(df[key].alias("key"), df[text].alias("text"))
     known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where("label in (0, 1) and key is not null")
     known = known.where(~held_out("key", FOLDS, HELD_OUT)).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, begin in slices(batch, "text"):
-                terms = pa.array([_packed(x) for x in term_sets(data, begin)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("digest"), terms], ["key", "digest", "terms"])
-
     learnt = docs.where("key is not null").where(~held_out("key", FOLDS, HELD_OUT)).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    machine = fit(checkpointed(learnt.mapInArrow(sets, f"key {kind}, digest long, terms binary").join(known, "key")))
+    machine = fit(learnt, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
