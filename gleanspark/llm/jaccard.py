@@ -91,6 +91,20 @@ def _likely(met: DataFrame, one: str, other: str) -> DataFrame:
     return shared.where(F.col("count") >= common - F.floor((3 * most + 3) / 4) + 1).select(one, other)
 
 
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Pairs (gid_1, gid_2) of groups that may link and do not lie in one component, of rows (token, pos, gid, n, r1, r2).
+
+    pos is a token's place among all of a set, r1 and r2 the least and the largest component of a group. All that two sets share stands at
+    or behind the first token that they share, so that one leaves room for common tokens in both; other shared tokens tell nothing new.
+    """
+    x, y = (rows.select("token", *[F.col(c).alias(c + k) for c in ("gid", "r1", "r2")], F.col("n").alias("n" + k[1]), F.col("pos").alias("p" + k[1])) for k in ("_1", "_2"))
+    apart = F.expr("r1_1 <> r2_1 OR r1_2 <> r2_2 OR r1_1 <> r1_2")  # not all of both groups in one component
+    n1, n2 = F.col("n1"), F.col("n2")
+    common = F.floor((3 * (n1 + n2) + 6) / 7)
+    room = (F.col("p1") <= n1 - common) & (F.col("p2") <= n2 - common) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2))
+    return x.join(y, "token").where("gid_1 < gid_2").where(apart & room).select("gid_1", "gid_2")
+
+
 def _prefix(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:
     """The rarest shingles of a set, of which two sets that link share one, and a hash of them with the set's size."""
     size = len(shingles)
@@ -112,17 +126,17 @@ def _groups(counts):
 
 
 def _met(docs: DataFrame, counts) -> DataFrame:
-    """(token, lot, gid, n) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots.
+    """(token, lot, gid, n, pos) of every prefix shingle that several groups have; one that the table shows as common is dealt into lots.
 
     Lot 0 is that of shingles met in one lot. The lots of others count from 1 and are kept whole: a group alone in its lot still meets
-    the other lots.
+    the other lots. pos is the shingle's place among those of the set, the rarest first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # groups that this task has sent
         for batch in batches:
             for _, data, begin in slices(batch, "text"):
-                tokens, gids, sizes = [], [], []
+                tokens, gids, sizes, places = [], [], [], []
                 for x in shingle_sets(data, begin):
                     if not len(x):
                         continue
@@ -133,19 +147,20 @@ def _met(docs: DataFrame, counts) -> DataFrame:
                     tokens.append(prefix)
                     gids.append(np.full(len(prefix), gid, np.uint64))
                     sizes.append(np.full(len(prefix), len(x)))
+                    places.append(np.arange(len(prefix)))
                 if len(done) > 1_000_000:
                     done.clear()
                 if tokens:
                     token, gid = np.concatenate(tokens), np.concatenate(gids)
                     lots = (counts.value[_bucket(token)] // LOT + 1).astype(np.uint64)
                     lot = np.where(lots > 1, mixed(gid ^ np.uint64(0x51)) % lots + np.uint64(1), 0)
-                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array(lot.astype(np.int32)), _as_long(gid), pa.array(np.concatenate(sizes))], ["token", "lot", "gid", "n"])
+                    yield pa.RecordBatch.from_arrays([_as_long(token), pa.array(lot.astype(np.int32)), _as_long(gid), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "lot", "gid", "n", "pos"])
 
-    rows = docs.mapInArrow(run, "token long, lot int, gid long, n long")
+    rows = docs.mapInArrow(run, "token long, lot int, gid long, n long, pos long")
     lot = W.partitionBy("token", "lot")
     shared = rows.withColumn("least", F.min("gid").over(lot)).withColumn("most", F.max("gid").over(lot))
     # equal groups of several tasks are several rows, which the pairs drop again
-    return shared.where("least <> most or lot > 0").select("token", "lot", "gid", "n").distinct()
+    return shared.where("least <> most or lot > 0").select("token", "lot", "gid", "n", "pos").distinct()
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
@@ -229,11 +244,9 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spread = met.select("token", "gid").join(spans, "gid").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
     # of a group, the first member of each component
     parts = units.groupBy("gid", "root").agg(F.min("cid").alias("cid"))
-    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "n").distinct().join(spans, "gid")
-    open_rows = checkpointed(open_rows.select("token", "gid", "n", "r1", "r2"))
-    x, y = (open_rows.select("token", *[F.col(c).alias(c + k) for c in ("gid", "r1", "r2")], F.col("n").alias("n" + k[1])) for k in ("_1", "_2"))
-    apart = "r1_1 <> r2_1 OR r1_2 <> r2_2 OR r1_1 <> r1_2"  # not all of both groups in one component
-    cross = _likely(x.join(y, "token").where("gid_1 < gid_2").where(apart), "gid_1", "gid_2")
+    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "n", "pos").distinct().join(spans, "gid")
+    open_rows = checkpointed(open_rows.select("token", "pos", "gid", "n", "r1", "r2"))
+    cross = _crossing(open_rows).distinct()
     u, v = (units.select(F.col("gid").alias("gid" + k), F.col("cid").alias("cid" + k), F.col("root").alias("root" + k)) for k in ("_1", "_2"))
     cross = cross.join(u, "gid_1").join(v, "gid_2").where("root_1 <> root_2").select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))
     several = parts.groupBy("gid").count().where("count > 1").select("gid")

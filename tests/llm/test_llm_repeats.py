@@ -119,6 +119,16 @@ def test_exact_copies_and_one_near_copy(spark, monkeypatch):
     assert got == near_copies(rows)
 
 
+def test_groups_that_share_too_little_are_no_pairs(spark):
+    """Sets of 140 with 28 rare shingles of their own and a common rest cannot link; with 10 of their own they are pairs still."""
+    rows = []
+    for gid in range(200):
+        own = 10 if gid < 3 else 28
+        rows += [(k, own + k, gid, 140, gid, gid) for k in range(36 - own)]
+    made = jaccard._crossing(spark.createDataFrame(rows, "token long, pos long, gid long, n long, r1 long, r2 long"))
+    assert set(map(tuple, made.collect())) == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_near_copies_odd_rows(spark):
     text = "one two three four five six"
     rows = [(5, text), (5, text), (3, text), (None, text), (7, None), (9, "")]
