@@ -24,7 +24,7 @@ _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?*%&#$|]*)")  # letters, then signs of which the tokenizer makes one word
 _PIECES, _WORDS, _PAIRS, _CACHED_CHARS = 100_000, 400_000, 400_000, 48
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[tuple[int, int], Vocabulary] = {}
 
 
 def byte_characters() -> list[str]:
@@ -57,7 +57,7 @@ class _Recent(dict):
 class Vocabulary:
     """One tokenizer file: word-level BPE over byte characters with an end-of-word mark."""
 
-    def __init__(self, content: str) -> None:
+    def __init__(self, content: str, pieces: int = _PIECES) -> None:
         file = json.loads(content)
         vocabulary, mark = file["model"]["vocab"], file["model"]["end_of_word_suffix"]
         split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -89,7 +89,7 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
         self.code = {i: int(i).to_bytes(4, "little") for i in spelled}
-        self.known_words, self.pieces = _Recent(self.encode_word, _WORDS), _Recent(self.encode_piece, _PIECES)
+        self.known_words, self.pieces = _Recent(self.encode_word, _WORDS), _Recent(self.encode_piece, pieces)
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether the merge rules leave these two tokens side by side; kept in the pair table."""
@@ -207,11 +207,11 @@ class Vocabulary:
         return b"".join(out)[:-1]
 
 
-def loaded(content: str) -> Vocabulary:
-    """The vocabulary of a file's content, built once for each Python worker."""
-    key = hash(content)
+def loaded(content: str, pieces: int = _PIECES) -> Vocabulary:
+    """The vocabulary of a file's content, built once for each Python worker; it keeps the ids of about this many pieces, twice at most."""
+    key = hash(content), pieces
     if key not in _loaded:
-        _loaded[key] = Vocabulary(content)
+        _loaded[key] = Vocabulary(content, pieces)
     return _loaded[key]
 
 

@@ -24,6 +24,8 @@ from gleanspark.llm.common import checkpointed, slices
 CAPACITY, END = 4096, 1
 #: Pieces of one length that are ranked together in one task, about.
 RANKED = 2_000
+#: Pieces of text whose ids a worker keeps: nothing else takes memory beside them here.
+KEPT = 400_000
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,7 +37,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, k
     mark = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = loaded(file.value)
+        vocabulary = loaded(file.value, KEPT)
         for batch in batches:
             for rows, data, begin in slices(batch, "text"):
                 raw, row, number, size, check = data.tobytes(), [], [], [], []

@@ -133,3 +133,12 @@ def test_packing_query(spark):
     got = queries.op3_packing(spark, FOLDER).collect()
     assert {r.doc_id for r in got} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert sequences(got, 4096) <= 1.01 * sum(r.length for r in got) / 4096 + 1
+
+
+def test_packing_keeps_ids_of_many_pieces():
+    """A quarter of a million different pieces are encoded once, however often they come again."""
+    vocabulary, made = bpe.loaded(open(PATH, encoding="utf-8").read(), packing.KEPT), []
+    make = vocabulary.pieces.make
+    vocabulary.pieces.make = lambda piece: made.append(1) or make(piece)
+    text = " ".join(f"{k}" for k in range(250_000))
+    assert vocabulary.encode(text) == vocabulary.encode(text) and len(made) == 250_000
