@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.catalog import rendered
-from gleanspark.functions import emails
+from gleanspark.functions import emails, urls
 from gleanspark.operators import keywords, nodes, places
 from gleanspark.operators.shredder import NodeReader
 from gleanspark.plans import listings as L
@@ -103,3 +103,18 @@ def test_addresses_without_their_sign_are_not_sought(spark):
     df = spark.createDataFrame([("a@b.example",), ("x [AT] y [DOT] example",), ("no address",), (None,)], "t string")
     got = df.select(emails.first_email(F.col("t")), emails.all_emails(F.col("t")), emails.link_or_text_email(F.array().cast("array<string>"), F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("a@b.example", ["a@b.example"] * 2, "a@b.example"), (None, ["x [AT] y [DOT] example"], "x[at]y[dot]example"), (None, [], None), (None, None, None)]
+
+
+def test_plain_paths_follow_the_host(spark, monkeypatch):
+    base = "HTTPS://Host.example/a/b?x=1"
+    given = ["/", "/j/1", "/j//1/", "/j/1\n", "//other/x", "/./a", "/a/../b", "/.x", "/a.b/c.d", "/a?b=1", "/a#b", "/a/.", "/é x", "j/1", "", "mailto:x"]
+    rows = spark.createDataFrame([(x, base) for x in given], "h string, b string")
+    got = rows.select("h", urls.resolve_url(base, F.col("h")).alias("one"), urls.resolve_url(F.col("b"), F.col("h")).alias("other")).collect()
+    assert all(r.one == r.other for r in got)
+    assert [r.one for r in got][:6] == ["https://Host.example" + x for x in ("/", "/j/1", "/j//1/", "/j/1\n")] + ["https://other/x", "https://Host.example/a"]
+    slow = spark.createDataFrame([(x,) for x in given], "h string").select("h", urls._join_path(F.lit("/a/b"), F.col("h")).alias("p")).collect()
+    plain = [x for x in given if x.startswith("/") and not any(c in x for c in "?#") and not x.startswith("//")]
+    assert {r.h: "https://Host.example" + r.p for r in slow if r.h in plain} == {r.h: r.one for r in got if r.h in plain}
+    # such a path is not taken apart: it is there where taking apart fails
+    monkeypatch.setattr(urls, "_join_path", lambda *_: F.raise_error(F.lit("taken apart")).cast("string"))
+    assert spark.createDataFrame([("/j/1",)], "h string").select(urls.resolve_url(base, F.col("h"))).first()[0] == "https://Host.example/j/1"
