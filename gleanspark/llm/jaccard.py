@@ -96,13 +96,16 @@ def _crossing(rows: DataFrame) -> DataFrame:
 
     pos is a token's place among all of a set, r1 and r2 the least and the largest component of a group. All that two sets share stands at
     or behind the first token that they share, so that one leaves room for common tokens in both; other shared tokens tell nothing new.
+    A token whose forerunner among its set's rows is the same in both sets is such another one: the pair is met at the forerunner.
     """
-    x, y = (rows.select("token", *[F.col(c).alias(c + k) for c in ("gid", "r1", "r2")], F.col("n").alias("n" + k[1]), F.col("pos").alias("p" + k[1])) for k in ("_1", "_2"))
+    rows = rows.withColumn("before", F.lag("token").over(W.partitionBy("gid").orderBy("pos")))
+    x, y = (rows.select("token", *[F.col(c).alias(c + k) for c in ("gid", "r1", "r2", "before")], F.col("n").alias("n" + k[1]), F.col("pos").alias("p" + k[1])) for k in ("_1", "_2"))
     apart = F.expr("r1_1 <> r2_1 OR r1_2 <> r2_2 OR r1_1 <> r1_2")  # not all of both groups in one component
     n1, n2 = F.col("n1"), F.col("n2")
     common = F.floor((3 * (n1 + n2) + 6) / 7)
     room = (F.col("p1") <= n1 - common) & (F.col("p2") <= n2 - common) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2))
-    return x.join(y, "token").where("gid_1 < gid_2").where(apart & room).select("gid_1", "gid_2")
+    first = F.coalesce(F.col("before_1") != F.col("before_2"), F.lit(True))
+    return x.join(y, "token").where("gid_1 < gid_2").where(apart & room & first).select("gid_1", "gid_2")
 
 
 def _prefix(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:

@@ -129,6 +129,20 @@ def test_groups_that_share_too_little_are_no_pairs(spark):
     assert set(map(tuple, made.collect())) == {(0, 1), (0, 2), (1, 2)}
 
 
+def test_near_copies_meet_once_in_a_run_of_shared_shingles(spark):
+    # 20 groups of one document share tokens 1 to 6 in a row, behind a token of their own; half of them share token 9 further on, too
+    rows = []
+    for gid in range(20):
+        own = [100 + gid, *range(1, 7), *([9] if gid % 2 else [])]
+        rows += [(token, pos, gid, 100, gid, gid) for pos, token in enumerate(own)]
+    made = jaccard._crossing(spark.createDataFrame(rows, "token long, pos long, gid long, n long, r1 long, r2 long")).collect()
+    assert sorted(map(tuple, made)) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+    # another token between two shared ones makes a pair meet again, and a forerunner that is shared but has no row here hides nothing
+    rows = [(1, 0, 0, 100, 0, 0), (2, 1, 0, 100, 0, 0), (1, 0, 1, 100, 1, 1), (7, 1, 1, 100, 1, 1), (2, 2, 1, 100, 1, 1), (2, 2, 2, 100, 2, 2)]
+    made = jaccard._crossing(spark.createDataFrame(rows, "token long, pos long, gid long, n long, r1 long, r2 long")).collect()
+    assert sorted(map(tuple, made)) == [(0, 1), (0, 1), (0, 2), (1, 2)]
+
+
 def test_near_copies_odd_rows(spark):
     text = "one two three four five six"
     rows = [(5, text), (5, text), (3, text), (None, text), (7, None), (9, "")]
