@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanspark import fixed
 from gleanspark.catalog import rendered, sites
-from gleanspark.operators import enrich, reports
+from gleanspark.operators import enrich, reports, wanted
 from gleanspark.operators import extract as X
 from gleanspark.operators import nodes as N
 from gleanspark.operators.classify import classify
@@ -61,6 +61,21 @@ def test_only_wanted_details_are_parsed(spark):
     assert enrich.detail_facts(details, {"a": contact}, wanted=wanted.limit(0)).isEmpty()
 
 
+def test_filter_of_wanted_details_takes_a_row_for_each_url(spark):
+    """A URL sets bits of one word, so that a row for each is all that is shuffled, and every URL is found again."""
+    one = spark.sql("SELECT 'u' AS url, 1 AS use UNION ALL SELECT 'u#x', 1 UNION ALL SELECT NULL, 1 UNION ALL SELECT 'v', NULL")
+    size, bits = wanted.filter_of(one)
+    assert len(bits) * 8 == size == 1 << 16
+    assert [1 <= n.bit_count() <= 4 for n in memoryview(bits).cast("Q") if n] == [True]
+    many = spark.range(20_000).selectExpr("concat('u', id) AS url", "CAST(id % 3 AS INT) AS use")
+    size, bits = wanted.filter_of(many)
+    assert size == 1 << 18 and sum(n != 0 for n in memoryview(bits).cast("Q")) > 3_900
+    found = spark.range(40_000).selectExpr("id", "concat('u', id) AS url")
+    found = found.select("id", wanted.uses_of(many, found["url"], 3).alias("uses")).collect()
+    assert all(r.uses >> r.id % 3 & 1 for r in found if r.id < 20_000)
+    assert sum(r.uses == 0 for r in found if r.id >= 20_000) > 19_000
+
+
 def test_top_n_reads_only_their_pages(spark):
     rows = spark.range(100).selectExpr("id AS page_id", "1 AS pos", "concat('u', id) AS detail_url", "CAST(id AS INT) AS rank")
     details = spark.range(100).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('<p>e', id, '@x.com</p>') AS html")
