@@ -23,6 +23,8 @@ WORDS = 5
 BUCKETS, BLOCK = 1 << 20, 1 << 14
 #: Groups that share a shingle are met in lots of about this many.
 LOT = 20_000
+#: At most so many turns of verifying groups against a few of their shingle, as long as a row of open pairs meets this many on average.
+TURNS, CROWD, LEADS = 6, 50, 4
 _MULTIPLIERS = mixed(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -108,6 +110,37 @@ def _crossing(rows: DataFrame) -> DataFrame:
     return x.join(y, "token").where("gid_1 < gid_2").where(apart & room & first).select("gid_1", "gid_2")
 
 
+def _open(units: DataFrame, met: DataFrame) -> DataFrame:
+    """Rows (token, pos, gid, n, r1, r2) of the shingles whose groups do not all lie in one component; r1 and r2 are a group's least and largest."""
+    spans = units.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    spread = met.select("token", "gid").join(spans, "gid").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
+    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "n", "pos").distinct().join(spans, "gid")
+    return checkpointed(open_rows.select("token", "pos", "gid", "n", "r1", "r2"))
+
+
+def _crowded(open_rows: DataFrame) -> bool:
+    """So many groups meet at one shingle that their pairs are far more than the rows."""
+    pairs, rows = open_rows.groupBy("token").count().select(F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
+    return rows is not None and pairs > CROWD * rows
+
+
+def _star(open_rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (gid_1, gid_2) that may link, of a group and one that lies in the component with most groups of a shingle of both, as it does not.
+
+    Up to LEADS groups stand for such a component this turn, and each other group meets one of them.
+    """
+    most = open_rows.groupBy("token", "r1").count().groupBy("token").agg(F.max(F.struct("count", "r1")).alias("most"))
+    rows = open_rows.join(most.select("token", F.col("most.r1").alias("main"), F.col("most.count").alias("size")), "token")
+    at = F.xxhash64("gid", F.lit(turn))
+    rows = rows.withColumn("slot", F.pmod(at, F.greatest(F.lit(1), F.least(F.lit(LEADS), F.floor(F.col("size") / 4)))))
+    leads = rows.where("r1 = main").groupBy("token", "slot").agg(F.min(F.struct(at.alias("at"), "gid", "n", "pos", "r2")).alias("lead"))
+    met = rows.where("r1 <> main").join(leads, ["token", "slot"])
+    n1, n2 = F.col("n"), F.col("lead.n")
+    common = F.floor((3 * (n1 + n2) + 6) / 7)
+    room = (F.col("pos") <= n1 - common) & (F.col("lead.pos") <= n2 - common) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2))
+    return met.where(room).select(F.col("gid").alias("gid_1"), F.col("lead.gid").alias("gid_2")).distinct()
+
+
 def _prefix(shingles: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, int]:
     """The rarest shingles of a set, of which two sets that link share one, and a hash of them with the set's size."""
     size = len(shingles)
@@ -240,15 +273,23 @@ def cluster(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     links = checkpointed(_linked(keyed, outer.select("a", "b").unionByName(inner), kind).unionByName(twins))
     roots = components(links)
 
-    # what still lies in different components, though enough shingles or a group are shared
-    units = members.join(roots, members["cid"] == roots["node"], "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
-    units = checkpointed(units)
-    spans = units.groupBy("gid").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-    spread = met.select("token", "gid").join(spans, "gid").groupBy("token").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 <> r2").select("token")
+    # what still lies in different components, though enough shingles or a group are shared; as long as very many groups meet at one
+    # shingle, they are verified against a few of them in turns, since links found there spare all pairs between two components
+    turn, worth = 0, True
+    while True:
+        units = members.join(roots, members["cid"] == roots["node"], "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
+        units = checkpointed(units)
+        open_rows = _open(units, met)
+        if turn == TURNS or not worth or not _crowded(open_rows):
+            break
+        g, h = (leaders.select(F.col("gid").alias("gid" + k), F.col("leader").alias(c)) for k, c in (("_1", "a"), ("_2", "b")))
+        tried = checkpointed(_star(open_rows, turn).join(g, "gid_1").join(h, "gid_2").select("a", "b"))
+        more = checkpointed(_linked(keyed, tried, kind))
+        links = links.unionByName(more)
+        roots = components(links)
+        turn, worth = turn + 1, 10 * more.count() >= tried.count()
     # of a group, the first member of each component
     parts = units.groupBy("gid", "root").agg(F.min("cid").alias("cid"))
-    open_rows = met.join(spread, "token", "left_semi").select("token", "gid", "n", "pos").distinct().join(spans, "gid")
-    open_rows = checkpointed(open_rows.select("token", "pos", "gid", "n", "r1", "r2"))
     cross = _crossing(open_rows).distinct()
     u, v = (units.select(F.col("gid").alias("gid" + k), F.col("cid").alias("cid" + k), F.col("root").alias("root" + k)) for k in ("_1", "_2"))
     cross = cross.join(u, "gid_1").join(v, "gid_2").where("root_1 <> root_2").select(F.col("cid_1").alias("a"), F.col("cid_2").alias("b"))

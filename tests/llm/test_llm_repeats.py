@@ -119,6 +119,25 @@ def test_exact_copies_and_one_near_copy(spark, monkeypatch):
     assert got == near_copies(rows)
 
 
+def test_many_near_copies_unlike_their_first_make_few_pairs(spark, monkeypatch):
+    """Near copies of which many do not link with the first of a shingle's groups are joined in turns, not by all their pairs."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    hot = rng.choices(words, k=120)
+    rows = []
+    for n in range(160):  # two that differ in two places each from the common text do not link
+        copy = list(hot)
+        for at in rng.sample(range(120), rng.choice([1, 2, 2])):
+            copy[at] = rng.choice(words)
+        rows.append((n, " ".join(copy)))
+    found, crossing = [], jaccard._crossing
+    monkeypatch.setattr(jaccard, "_crossing", lambda x: found.append(crossing(x).count()) or crossing(x))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in jaccard.cluster(df).collect()}
+    assert got == near_copies(rows)
+    assert found[0] < 10 * len(rows)
+
+
 def test_groups_that_share_too_little_are_no_pairs(spark):
     """Sets of 140 with 28 rare shingles of their own and a common rest cannot link; with 10 of their own they are pairs still."""
     rows = []
