@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanspark.catalog import rendered
-from gleanspark.functions import emails, urls
-from gleanspark.operators import keywords, nodes, places
+from gleanspark.functions import dates, emails, urls
+from gleanspark.operators import classify, keywords, nodes, places
 from gleanspark.operators.shredder import NodeReader
 from gleanspark.plans import listings as L
 from gleanspark.plans.profiles import Registry
@@ -118,3 +118,40 @@ def test_plain_paths_follow_the_host(spark, monkeypatch):
     # such a path is not taken apart: it is there where taking apart fails
     monkeypatch.setattr(urls, "_join_path", lambda *_: F.raise_error(F.lit("taken apart")).cast("string"))
     assert spark.createDataFrame([("/j/1",)], "h string").select(urls.resolve_url(base, F.col("h"))).first()[0] == "https://Host.example/j/1"
+
+
+def test_a_search_is_made_once(spark, monkeypatch):
+    """Reading a date or an address does not search a text a second time to tell whether something was found."""
+    searches = []
+    search, replace = F.regexp_extract, F.regexp_replace
+    monkeypatch.setattr(F, "regexp_extract", lambda *a: searches.append(a) or search(*a))
+    df = spark.createDataFrame([("May 5, 2001",), ("June 31, 2001",), ("May 5, 0000",), ("june 3 1970",), ("Jun 3 1970",), ("soon",), (None,)], "t string")
+    found = df.select(dates.month_day_year(F.col("t"), full_names_only=True).alias("d"))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.lower().count("regexp_extract(") == len(searches) == 3
+    assert [r.d and str(r.d) for r in found.collect()] == ["2001-05-05", None, None, "1970-06-03", None, None, None]
+    monkeypatch.setattr(F, "regexp_replace", lambda *a: searches.append(a) or replace(*a))
+    searches.clear()
+    links = spark.createDataFrame([("MAILTO: A@b.example ?x",), ("mailto:noreply@b.example",), ("mailto:",), ("/a",), (None,)], "h string")
+    found = links.select(emails.mailto_address(F.col("h")).alias("e"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(") == len(searches) == 1
+    assert [r.e for r in found.collect()] == ["a@b.example", None, None, None, None]
+
+
+def test_scores_are_summed_for_categories_with_a_hit_only(spark):
+    """The points of a category are added up where one of its rules applies, and not for all others."""
+    rules = [classify.Rule(f"c{i}", i, "primary", f"word{i}") for i in range(40)]
+    scores = classify.category_scores(F.lit("word3 and word7"), F.lit("word3"), F.lit(""), rules)
+    df = spark.range(1).select(scores.alias("s"))
+    assert [(r.category, r.score) for r in df.first().s] == [("c3", 10), ("c7", 10)]
+    assert "exists(" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_items_of_rendered_pages_are_collected_once(spark):
+    """Pages of several layouts come from one aggregation, and each page is as it is alone."""
+    names = ["cards", "headings", "jsonld", "candidates", "link_detail"]
+    together = rendered.listing_pages(spark, "/root/testdata/sf0.001", *names)
+    assert together._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    for name in names:
+        alone = rendered.listing_pages(spark, "/root/testdata/sf0.001", name)
+        assert sorted(map(tuple, together.where(F.col("site") == name).collect())) == sorted(map(tuple, alone.collect()))
